@@ -1,0 +1,35 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from pyspark.sql import DataFrame, functions as F
+
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 1_000
+
+
+def spread_join(many: DataFrame, unique: DataFrame, key: str, spread_by: list[str],
+                how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join rows that may repeat a key without limit to a side that has each key at most once.
+
+    Keys above `hot_rows` are cut into slices of about that size by a hash of `spread_by`, and
+    their one matching row is copied to every slice. The hash makes a recomputed task send each
+    row to the same slice. Only the list of hot keys is broadcast, never more than MAX_HOT_KEYS
+    rows; keys past the list join by plain hash, so the result does not depend on it.
+    """
+    hot = (
+        many.groupBy(key).count()
+        .where((F.col("count") > hot_rows) & F.col(key).isNotNull())
+        .orderBy(F.desc("count"), key).limit(MAX_HOT_KEYS)
+        .select(key, F.ceil(F.col("count") / hot_rows).cast("int").alias("_slices"))
+    )
+    left = (
+        many.join(F.broadcast(hot), key, "left")
+        .withColumn("_slice", F.coalesce(
+            F.pmod(F.xxhash64(*spread_by), F.col("_slices")).cast("int"), F.lit(0)))
+        .drop("_slices")
+    )
+    right = (
+        unique.join(F.broadcast(hot), key, "left")
+        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
+        .drop("_slices")
+    )
+    return left.join(right, [key, "_slice"], how).drop("_slice")
