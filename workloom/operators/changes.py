@@ -3,6 +3,7 @@
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -38,7 +39,15 @@ class _OpenRun:
                 for version, low_high in self.standing.items() if low_high is not None]
 
 
-def _check_versions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_EDGE_FIELDS = [
+    pa.field("outcome", pa.string()), pa.field("low", pa.int64()), pa.field("high", pa.int64()),
+    pa.field("segment", pa.int32()), pa.field("lows", pa.list_(pa.int64())),
+    pa.field("highs", pa.list_(pa.int64())), pa.field("exits", pa.list_(pa.int64())),
+    pa.field("exit_version", pa.int64()),
+]
+
+
+def _check_versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Decides the requests of one range partition, sorted by id and order.
 
     An id's own row comes before its requests. Only the first id of a partition can lack it
@@ -46,32 +55,34 @@ def _check_versions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     with the range of entry versions that would accept them.
     """
     segment = TaskContext.get().partitionId()
-    current, first_id, version, run, exits = None, None, None, None, []
+    current = version = run = schema = None
+    seen_first = False
 
-    def edge():
+    def edge() -> dict | None:
         if run is not None:
-            return {"id": current, "lows": [e[0] for e in run.exits()],
-                    "highs": [e[1] for e in run.exits()], "exits": [e[2] for e in run.exits()]}
+            lows, highs, exits = (list(part) for part in zip(*run.exits()))
+            return {"id": current, "segment": segment, "lows": lows, "highs": highs, "exits": exits}
         if version is not None:
-            return {"id": current, "exit_version": version}
+            return {"id": current, "segment": segment, "exit_version": version}
         return None
 
     for batch in batches:
+        schema = schema or pa.schema([*batch.schema, *_EDGE_FIELDS])
         outcomes, lows, highs, edges = [], [], [], []
-        for key, own, expected in zip(batch["id"], batch["_own_version"], batch["expected_version"]):
+        for key, own, expected in zip(*(batch.column(name).to_pylist()
+                                        for name in ("id", "_own_version", "expected_version"))):
             if key != current:
                 if run is not None:
                     edges.append(edge())
-                first_id = key if current is None else first_id
-                known = own == own and own is not None
-                current, version = key, int(own) if known else None
-                run = _OpenRun() if key == first_id and not known else None
-                if known:
+                current, version = key, own
+                run = _OpenRun() if own is None and not seen_first else None
+                seen_first = True
+                if own is not None:
                     outcomes.append(None), lows.append(None), highs.append(None)
                     continue
             low = high = None
             if run is not None:
-                low, high = run.accept(int(expected))
+                low, high = run.accept(expected)
                 outcome = _OPEN
             elif version is None:
                 outcome = _MISSING
@@ -81,18 +92,17 @@ def _check_versions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 outcome = _CONFLICT
             outcomes.append(outcome), lows.append(low), highs.append(high)
-        batch = batch.assign(outcome=outcomes, low=pd.array(lows, "Int64"), high=pd.array(highs, "Int64"),
-                             segment=segment, lows=None, highs=None, exits=None, exit_version=None)
-        yield batch[batch["outcome"].notna()]
+        n = batch.num_rows
+        decided = pa.RecordBatch.from_arrays([
+            *batch.columns, pa.array(outcomes, pa.string()), pa.array(lows, pa.int64()),
+            pa.array(highs, pa.int64()), pa.array([segment] * n, pa.int32()),
+            *[pa.nulls(n, field.type) for field in _EDGE_FIELDS[4:]]], schema=schema)
+        yield decided.filter(decided.column("outcome").is_valid())
         if edges:
-            yield _edge_rows(edges, batch.columns, segment)
+            yield pa.RecordBatch.from_pylist(edges, schema=schema)
     last = edge() if current is not None else None
     if last is not None:
-        yield _edge_rows([last], batch.columns, segment)
-
-
-def _edge_rows(edges: list[dict], columns, segment: int) -> pd.DataFrame:
-    return pd.DataFrame(edges).reindex(columns=columns).assign(segment=segment, outcome=None)
+        yield pa.RecordBatch.from_pylist([last], schema=schema)
 
 
 def _entry_versions(edges: pd.DataFrame) -> pd.DataFrame:
@@ -138,7 +148,7 @@ def apply_updates(tasks: DataFrame, updates: DataFrame, order: list[str],
                        ("segment", T.IntegerType()), ("lows", longs), ("highs", longs),
                        ("exits", longs), ("exit_version", T.LongType())):
         schema = schema.add(name, kind, True)
-    checked = stash(ranged.mapInPandas(_check_versions, schema), "version-checks")
+    checked = stash(ranged.mapInArrow(_check_versions, schema), "version-checks")
 
     edges = checked.where(F.col("outcome").isNull())
     entries = edges.groupBy("id").applyInPandas(

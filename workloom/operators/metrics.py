@@ -114,7 +114,7 @@ def event_rate(df: DataFrame, ts: str, window: str, slide: str, by: list[str] =
     offsets = F.sequence(F.lit(0), F.lit(length // step - 1))
     return (
         panes.withColumn("_back", F.explode(offsets))
-        .groupBy(*by, (F.col("_pane") - F.col("_back") * step).alias("window_start_us"))
+        .groupBy(*by, (F.col("_pane") - F.col("_back").cast("long") * step).alias("window_start_us"))
         .agg(F.sum("_n").alias("n_events"))
         .withColumn("rate_per_sec", F.col("n_events") / (length / 1_000_000))
     )
