@@ -1,10 +1,9 @@
 """From raw request bodies and messages to typed rows, with every reject explained."""
 
-import datetime
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from workloom.functions.ids import valid_uuid
+from workloom.functions.once import computed_once
 from workloom.functions.payload import is_text_or_unset, kind, member
 from workloom.functions.text import subject_of
 from workloom.schemas import DEAD_LETTER_SUBJECT, DEFAULT_PRIORITY, PRIORITIES
@@ -44,14 +43,14 @@ def ingest_requests(raw: DataFrame, body: str = "body") -> DataFrame:
         .when(F.col("details").isNotNull(), F.lit("validation_error")),
     )
     accepted = F.col("error").isNull()
-    return checked.select(
-        *[c for c in raw.columns],
-        F.when(accepted, F.col("_type_text")).alias("type"),
-        F.when(accepted, F.to_json("_payload")).alias("payload"),
-        F.when(accepted, F.coalesce(F.nullif("_priority_text", F.lit("")), F.lit(DEFAULT_PRIORITY)))
-        .alias("priority"),
-        "error", "details",
-    )
+    return computed_once(
+        checked,
+        type=F.when(accepted, F.col("_type_text")),
+        payload=F.when(accepted, F.to_json("_payload")),
+        priority=F.when(accepted, F.coalesce(F.nullif("_priority_text", F.lit("")),
+                                             F.lit(DEFAULT_PRIORITY))),
+        error=F.col("error"), details=F.col("details"),
+    ).select(*raw.columns, "type", "payload", "priority", "error", "details")
 
 
 def new_tasks(accepted: DataFrame, id_column: Column | None = None,
@@ -100,16 +99,12 @@ def decode_messages(messages: DataFrame, exclude_dlq: bool = False) -> DataFrame
         "_shaped": F.coalesce(shaped, F.lit(False)),
         "_id": valid_uuid(F.col("_task_id").cast("string")),
     })
-    return decoded.select(
-        *messages.columns,
-        F.when(F.col("_shaped"), F.col("_id")).alias("task_id"),
-        F.when(F.col("_shaped") & F.col("_id").isNotNull(),
-               F.coalesce(F.col("_priority").cast("string"), F.lit(""))).alias("priority"),
-        F.when(~F.col("_shaped"), F.lit("bad_message"))
-        .when(F.col("_id").isNull(), F.lit("bad_task_id")).alias("reject"),
-    )
-
+    return computed_once(
+        decoded,
+        task_id=F.when(F.col("_shaped"), F.col("_id")),
+        priority=F.when(F.col("_shaped") & F.col("_id").isNotNull(),
+                        F.coalesce(F.col("_priority").cast("string"), F.lit(""))),
+        reject=F.when(~F.col("_shaped"), F.lit("bad_message"))
+        .when(F.col("_id").isNull(), F.lit("bad_task_id")),
+    ).select(*messages.columns, "task_id", "priority", "reject")
 
-def utc_now() -> Column:
-    """The driver's clock as a literal, so that all tasks of a job agree on it."""
-    return F.lit(datetime.datetime.now(datetime.timezone.utc))

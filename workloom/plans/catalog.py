@@ -300,7 +300,7 @@ def list_tasks(spark, sf_dir):
 
 @query
 def list_executions(spark, sf_dir):
-    task_id = "c4ca4238-a0b9-2382-0dcc-509a6f75849b"
+    task_id = "00000000-0000-4000-8000-000000000001"
     return lookup.list_executions(view(spark, sf_dir, "execution_attempts"), task_id).drop("tie")
 
 

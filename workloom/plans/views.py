@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 _TABLES = "region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|pages|benchmark|labels|conversations"
 
 
-def _uuid(expr: str) -> str:
-    digest = f"md5(cast({expr} AS string))"
-    parts = ", '-', ".join(f"substr({digest}, {start}, {length})"
-                           for start, length in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
-    return f"concat({parts})"
+def _uuid(key: str, lead: str = "'00000000'") -> str:
+    """SQL for an id made from a whole number, led by eight hex digits."""
+    return f"concat({lead}, '-0000-4000-8000-', lpad(cast({key} AS string), 12, '0'))"
 
 
-_TASK_KEY = "CASE WHEN l_suppkey % 50 = 0 THEN -1 - l_orderkey ELSE l_orderkey END"
+_ABSENT = "'ffffffff'"
+_LED_KEY = ("CASE WHEN l_suppkey % 50 = 0 THEN 'ffffffff' ELSE '00000000' END")
+_TASK_ID = _uuid("l_orderkey", _LED_KEY)
+_PAIR_ID = _uuid("l_orderkey", "lpad(cast(l_linenumber AS string), 8, '0')")
+_ATTEMPT_ID = ("concat(lpad(cast(l_partkey AS string), 8, '0'), '-', lpad(cast(l_linenumber AS string), 4, '0'), "
+               "'-4000-8000-', lpad(cast(l_orderkey AS string), 12, '0'))")
 
 VIEWS = {
     "tasks": f"""
@@ -34,8 +37,8 @@ VIEWS = {
                o_orderdate AS created_at, o_orderdate AS updated_at, 1 AS version
         FROM orders""",
     "execution_attempts": f"""
-        SELECT {_uuid("concat(l_orderkey, ':', l_linenumber, ':', l_partkey, ':', l_shipdate)")} AS id,
-               {_uuid(_TASK_KEY)} AS task_id, l_linenumber AS attempt,
+        SELECT {_ATTEMPT_ID} AS id,
+               {_TASK_ID} AS task_id, l_linenumber AS attempt,
                CASE l_returnflag WHEN 'A' THEN 'succeeded' WHEN 'R' THEN 'failed' ELSE 'started' END AS status,
                CASE l_returnflag WHEN 'R' THEN concat('handler error ', cast(l_suppkey AS string)) END AS error,
                l_shipdate AS started_at,
@@ -43,22 +46,22 @@ VIEWS = {
                l_partkey AS tie
         FROM lineitem""",
     "recorded_executions": f"""
-        SELECT {_uuid("concat(l_orderkey, ':', l_linenumber)")} AS id,
+        SELECT {_PAIR_ID} AS id,
                {_uuid('l_orderkey')} AS task_id, l_linenumber AS attempt, 'failed' AS status,
                'recorded before' AS error, min(l_shipdate) AS started_at, max(l_shipdate) AS finished_at
         FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey, l_linenumber""",
     "deliveries": f"""
-        SELECT {_uuid(_TASK_KEY)} AS task_id, l_linenumber AS attempt, l_shipdate AS delivered_at,
+        SELECT {_TASK_ID} AS task_id, l_linenumber AS attempt, l_shipdate AS delivered_at,
                l_partkey AS tie,
                CASE l_returnflag WHEN 'A' THEN 'ok' WHEN 'R' THEN 'permanent' ELSE 'retryable' END AS outcome,
                concat('handler error ', cast(l_suppkey AS string)) AS error,
                CASE l_suppkey % 3 WHEN 0 THEN 'tasks.high' WHEN 1 THEN 'tasks.normal' ELSE 'tasks.low' END AS subject,
                CASE l_suppkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'normal' ELSE 'low' END AS message_priority,
-               concat('{{"task_id":"', {_uuid(_TASK_KEY)}, '"}}') AS data,
+               concat('{{"task_id":"', {_TASK_ID}, '"}}') AS data,
                l_quantity / 8 AS duration_seconds
         FROM lineitem""",
     "status_updates": f"""
-        SELECT {_uuid(_TASK_KEY)} AS id, 1 + l_linenumber % 3 AS expected_version,
+        SELECT {_TASK_ID} AS id, 1 + l_linenumber % 3 AS expected_version,
                CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'R' THEN 'failed' ELSE 'processing' END AS new_status,
                l_shipdate AS requested_at, l_linenumber AS tie1, l_partkey AS tie2
         FROM lineitem""",
@@ -87,7 +90,7 @@ VIEWS = {
                  WHEN 2 THEN '[1]'
                  WHEN 3 THEN '{{"task_id":5,"priority":"low"}}'
                  WHEN 4 THEN '{{"priority":"low"}}'
-                 WHEN 5 THEN concat('{{"task_id":"', md5(cast(user_id AS string)), '"}}')
+                 WHEN 5 THEN concat('{{"task_id":"', replace({_uuid('user_id')}, '-', ''), '"}}')
                  WHEN 6 THEN concat('{{"task_id":"URN:UUID:', upper({_uuid('user_id')}), '","priority":"high"}}')
                  WHEN 7 THEN concat('{{"task_id":"{{', {_uuid('user_id')}, '}}","priority":"high"}}')
                  ELSE concat('{{"task_id":"', {_uuid('user_id')}, '","priority":"normal"}}') END AS data
@@ -137,13 +140,13 @@ VIEWS = {
         FROM events""",
     "lookup_ids": f"""
         SELECT CASE user_id % 10 WHEN 0 THEN concat('bad-', cast(user_id AS string))
-                    WHEN 1 THEN {_uuid('-1 - event_id')}
+                    WHEN 1 THEN {_uuid('event_id', _ABSENT)}
                     WHEN 2 THEN upper({_uuid('event_id')})
                     ELSE {_uuid('event_id')} END AS requested_id
         FROM events""",
     "execution_results": f"""
-        SELECT CASE WHEN l_suppkey % 7 = 0 THEN {_uuid("concat('none', l_orderkey)")}
-                    ELSE {_uuid("concat(l_orderkey, ':', l_linenumber)")} END AS id,
+        SELECT CASE WHEN l_suppkey % 7 = 0 THEN {_uuid('l_orderkey', _ABSENT)}
+                    ELSE {_PAIR_ID} END AS id,
                CASE l_returnflag WHEN 'A' THEN 'succeeded' ELSE 'failed' END AS status,
                CASE l_returnflag WHEN 'A' THEN NULL ELSE concat('late error ', cast(l_suppkey AS string)) END AS error,
                l_shipdate AS finished_at, l_linenumber AS tie1, l_partkey AS tie2, l_orderkey AS tie3

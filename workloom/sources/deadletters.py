@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from workloom.functions.once import computed_once
 from workloom.functions.text import with_header
 from workloom.functions.timing import rfc3339
 from workloom.operators.lifecycle import error_text
@@ -41,7 +42,7 @@ def write_dlq(letters: DataFrame, path: str, mode: str = "append") -> None:
 
 def parse_dlq(messages: DataFrame) -> DataFrame:
     """Adds the letter's fields and `bad`: text that is no such record. Works on streams too."""
-    parsed = messages.withColumn("_letter", F.from_json(
+    parsed = computed_once(messages, _letter=F.from_json(
         "data", T.StructType([*DEAD_LETTER, T.StructField("_corrupt", T.StringType())]),
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     letter = {name: F.col(f"_letter.{name}") for name in DEAD_LETTER.names}
