@@ -88,7 +88,7 @@ def test_smoke_scenarios(spark):
     assert after == {"dup": ("completed", 3), "unk": ("failed", 3)}
 
 
-def test_effects_keeps_two_rows_per_attempt_before_the_shuffle(spark):
+def test_effects_keeps_few_rows_per_task_before_the_shuffle(spark):
     tasks, log, _ = random_case(1)
     task_df, delivery_df = frames(spark, tasks, log)
     plan = lifecycle.effects(task_df, delivery_df, ORDER)._jdf.queryExecution().executedPlan().toString()

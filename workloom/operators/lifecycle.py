@@ -2,10 +2,10 @@
 
 A queued task stays queued through deliveries that fail and may be tried again. Each of those
 leaves an execution for its attempt, and attempts at the limit end the task, so at most
-`max_attempts - 1` deliveries can requeue it. The first delivery that does anything else ends
-the task; whatever follows has no effect. A task's outcome therefore needs only the first two
-deliveries of each attempt, and those are kept by a row-number filter that runs before the
-shuffle. The length of a task's delivery log never matters.
+`max_attempts - 1` deliveries can requeue it and the next one ends it. Whatever follows has no
+effect. A task's outcome therefore needs only its first `max_attempts` deliveries, and those
+are kept by a row-number filter that already runs before the shuffle. The length of a task's
+delivery log never matters.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -24,19 +24,15 @@ def effects(tasks: DataFrame, deliveries: DataFrame, order: list[str],
             executions: DataFrame | None = None) -> DataFrame:
     """The deliveries that changed something, each with its `disposition`.
 
-    `deliveries` has task_id, attempt, outcome (ok, permanent or retryable: what the handler
-    would say) and columns to carry along; `order` names columns that order a task's deliveries
-    totally. Adds task_type, task_priority, task_version, pair_exists. At most `max_attempts + 1`
-    rows per task come out.
+    `deliveries` has task_id, attempt (from 1), outcome (ok, permanent or retryable: what the
+    handler would say) and columns to carry along; `order` names columns that order a task's
+    deliveries totally. Adds task_type, task_priority, task_version and pair_exists. At most
+    `max_attempts` rows per task come out.
     """
-    beyond = F.col("attempt") > max_attempts
-    step = F.when(beyond, F.lit(max_attempts + 1)).otherwise(F.col("attempt"))
-    per_attempt = Window.partitionBy("task_id", "_step").orderBy(*order)
-    early = (
-        deliveries.withColumn("_step", step)
-        .withColumn("_nth", F.row_number().over(per_attempt))
-        .where(F.col("_nth") <= 2)
-    )
+    in_order = Window.partitionBy("task_id").orderBy(*order)
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    early = (deliveries.withColumn("_nth", F.row_number().over(in_order))
+             .where(F.col("_nth") <= max_attempts).drop("_nth"))
     if executions is None:
         early = early.withColumn("pair_exists", F.lit(False))
     else:
@@ -47,22 +43,21 @@ def effects(tasks: DataFrame, deliveries: DataFrame, order: list[str],
         F.col("id").alias("task_id"), F.col("type").alias("task_type"),
         F.col("priority").alias("task_priority"), F.col("version").alias("task_version"))
     own = (
-        F.when(beyond, "max_attempts_dlq")
+        F.when(F.col("attempt") > max_attempts, "max_attempts_dlq")
         .when(~F.col("task_type").isin(*handlers), "no_handler_dlq")
-        .when((F.col("_nth") > 1) | F.col("pair_exists"), "dup_execution_stuck")
+        .when(F.col("pair_exists") | F.array_contains("_tried", F.col("attempt")), "dup_execution_stuck")
         .when(F.col("outcome") == "ok", "completed")
         .when(F.col("outcome") == "permanent", "permanent_dlq")
         .when(F.col("attempt") >= max_attempts, "exhausted_dlq")
         .otherwise("requeued")
     )
-    position = F.struct(*order)
-    per_task = Window.partitionBy("task_id")
     return (
         early.join(queued, "task_id")
+        .withColumn("_tried", F.collect_list("attempt").over(before))
         .withColumn("disposition", own)
-        .withColumn("_end", F.min(F.when(F.col("disposition") != "requeued", position)).over(per_task))
-        .where(F.col("_end").isNull() | (position <= F.col("_end")))
-        .drop("_step", "_nth", "_end")
+        .withColumn("_ended", F.count_if(F.col("disposition") != "requeued").over(before))
+        .where(F.col("_ended") == 0)
+        .drop("_tried", "_ended")
     )
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1_000
+_SAMPLE = 64
 
 
 def spread_join(many: DataFrame, unique: DataFrame, key: str, spread_by: list[str],
@@ -11,15 +12,20 @@ def spread_join(many: DataFrame, unique: DataFrame, key: str, spread_by: list[st
     """Join rows that may repeat a key without limit to a side that has each key at most once.
 
     Keys above `hot_rows` are cut into slices of about that size by a hash of `spread_by`, and
-    their one matching row is copied to every slice. The hash makes a recomputed task send each
-    row to the same slice. Only the list of hot keys is broadcast, never more than MAX_HOT_KEYS
-    rows; keys past the list join by plain hash, so the result does not depend on it.
+    their one matching row is copied to every slice. All rows take part in the join; which keys
+    are cut affects only the balance. Hot keys are found by counting a share of the rows picked
+    by hash, so that recomputing a lost task finds the same ones. Only their list is broadcast,
+    never more than MAX_HOT_KEYS rows; further keys join by plain hash.
     """
+    share = max(1, min(_SAMPLE, hot_rows // 10_000))
+    counted = many.select(key, *[c for c in spread_by if c != key])
+    if share > 1:
+        counted = counted.where(F.pmod(F.xxhash64(F.lit(share), key, *spread_by), F.lit(share)) == 0)
     hot = (
-        many.groupBy(key).count()
-        .where((F.col("count") > hot_rows) & F.col(key).isNotNull())
+        counted.groupBy(key).count()
+        .where((F.col("count") * share > hot_rows) & F.col(key).isNotNull())
         .orderBy(F.desc("count"), key).limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(F.col("count") / hot_rows).cast("int").alias("_slices"))
+        .select(key, F.ceil(F.col("count") * share / hot_rows).cast("int").alias("_slices"))
     )
     left = (
         many.join(F.broadcast(hot), key, "left")

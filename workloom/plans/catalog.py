@@ -300,7 +300,7 @@ def list_tasks(spark, sf_dir):
 
 @query
 def list_executions(spark, sf_dir):
-    task_id = "00000000-0000-4000-8000-000000000001"
+    task_id = "10000000-0000-4000-8000-000000000000"
     return lookup.list_executions(view(spark, sf_dir, "execution_attempts"), task_id).drop("tie")
 
 

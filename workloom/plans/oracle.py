@@ -314,7 +314,7 @@ _add("list_tasks", "tasks", f"""
 SELECT {_TASK_COLUMNS} FROM tasks WHERE status = 'queued' ORDER BY created_at DESC, id LIMIT 50 OFFSET 20""")
 _add("list_executions", "execution_attempts", """
 SELECT id, task_id, attempt, status, error, started_at, finished_at FROM execution_attempts
-WHERE task_id = '00000000-0000-4000-8000-000000000001' ORDER BY attempt DESC, id LIMIT 50""")
+WHERE task_id = '10000000-0000-4000-8000-000000000000' ORDER BY attempt DESC, id LIMIT 50""")
 _add("latest_executions", "execution_attempts", """
 SELECT task_id, attempt, id, cast(recency AS integer) AS recency FROM (
   SELECT task_id, attempt, id, row_number() OVER (PARTITION BY task_id ORDER BY attempt DESC, id) AS recency

@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 _TABLES = "region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|pages|benchmark|labels|conversations"
 
 
-def _uuid(key: str, lead: str = "'00000000'") -> str:
-    """SQL for an id made from a whole number, led by eight hex digits."""
-    return f"concat({lead}, '-0000-4000-8000-', lpad(cast({key} AS string), 12, '0'))"
+def _uuid(key: str, tail: str = "'000000000000'") -> str:
+    """SQL for an id made from a whole number; `tail` gives its last twelve hex digits.
 
+    The digits come lowest first, so that ids differ in their first characters as random ones do.
+    """
+    digits = f"reverse(lpad(cast({key} AS string), 12, '0'))"
+    return f"concat(substr({digits}, 1, 8), '-', substr({digits}, 9, 4), '-4000-8000-', {tail})"
 
-_ABSENT = "'ffffffff'"
-_LED_KEY = ("CASE WHEN l_suppkey % 50 = 0 THEN 'ffffffff' ELSE '00000000' END")
-_TASK_ID = _uuid("l_orderkey", _LED_KEY)
-_PAIR_ID = _uuid("l_orderkey", "lpad(cast(l_linenumber AS string), 8, '0')")
-_ATTEMPT_ID = ("concat(lpad(cast(l_partkey AS string), 8, '0'), '-', lpad(cast(l_linenumber AS string), 4, '0'), "
-               "'-4000-8000-', lpad(cast(l_orderkey AS string), 12, '0'))")
+
+_ABSENT = "'ffffffffffff'"
+_TASK_ID = _uuid("l_orderkey", "CASE WHEN l_suppkey % 50 = 0 THEN 'ffffffffffff' ELSE '000000000000' END")
+_PAIR_ID = _uuid("l_orderkey", "lpad(cast(l_linenumber AS string), 12, '0')")
+_ATTEMPT_ID = _uuid("l_orderkey", "concat(lpad(cast(l_linenumber AS string), 3, '0'), lpad(cast(l_partkey AS string), 9, '0'))")
 
 VIEWS = {
     "tasks": f"""

@@ -1,6 +1,8 @@
 """The delivery replay on a stream, one state per task."""
 
+import heapq
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -19,12 +21,14 @@ def stream_replay(deliveries: DataFrame, tasks: DataFrame, order: list[str],
     """Dispositions of a delivery stream, as in the batch `replay`.
 
     A delivery that changes its task gives a row with the status and version after it.
-    Deliveries without effect are counted per task, micro-batch and disposition. Micro-batches
-    must arrive in log order; inside one, `order` decides.
+    Deliveries without effect are counted in `n_deliveries`. Micro-batches must arrive in log
+    order; inside one, `order` decides. `tasks` is the table as the stream begins: tasks that are
+    not queued there never change, so their deliveries are settled by the join and only the
+    others carry state.
 
     The state holds the status, the version and the attempts already run, never more than
-    `max_attempts - 1`. A hot task's rows pass as Arrow batches of which only the first two per
-    attempt are kept, so memory does not grow with them.
+    `max_attempts - 1`. A hot task's rows pass as Arrow batches of which only the first
+    `max_attempts` are kept, so memory does not grow with them.
     """
     known = tasks.select(F.col("id").alias("task_id"), F.col("type").alias("_type"),
                          F.col("status").alias("_status"), F.col("version").alias("_version"))
@@ -32,9 +36,18 @@ def stream_replay(deliveries: DataFrame, tasks: DataFrame, order: list[str],
         F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if kind.startswith("timestamp")
         else F.lpad(F.col(c).cast("string"), 20, "0")
         for c, kind in deliveries.select(*order).dtypes])
-    keyed = deliveries.join(known, "task_id", "left").select(
+    joined = deliveries.join(known, "task_id", "left")
+    settled = joined.where(F.col("_status").isNull() | (F.col("_status") != "queued")).select(
+        "task_id",
+        F.when(F.col("_status").isNull(), "not_found")
+        .when(F.col("_status").isin(*TERMINAL_STATUSES), "terminal_noop")
+        .otherwise("in_flight_noop").alias("disposition"),
+        F.col("attempt").cast("int").alias("attempt"), position.alias("position"),
+        F.lit(1).cast("bigint").alias("n_deliveries"), F.col("_status").alias("status"),
+        F.col("_version").cast("int").alias("version"))
+    keyed = joined.where(F.col("_status") == "queued").select(
         "task_id", F.col("attempt").cast("int").alias("attempt"), "outcome",
-        position.alias("position"), "_type", "_status", F.col("_version").cast("int").alias("_version"))
+        position.alias("position"), "_type", F.col("_version").cast("int").alias("_version"))
     handlers = frozenset(handlers)
 
     def own_disposition(attempt, outcome, task_type, tried):
@@ -49,49 +62,36 @@ def stream_replay(deliveries: DataFrame, tasks: DataFrame, order: list[str],
         return "exhausted_dlq" if attempt >= max_attempts else "requeued"
 
     def advance(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        early, total, first = None, 0, None
+        early, total, task = [], 0, None
         for batch in batches:
-            first = batch.iloc[0] if first is None else first
+            task = task or (batch["_type"].iat[0], int(batch["_version"].iat[0]))
             total += len(batch)
-            early = batch if early is None else pd.concat([early, batch])
-            steps = early["attempt"].clip(upper=max_attempts + 1)
-            early = early.sort_values("position")
-            early = early[early.groupby(steps.loc[early.index].values).cumcount() < 2].reset_index(drop=True)
-        if state.exists:
-            status, version, tried = state.get
-            tried = set(tried or ())
-        elif first["_status"] is None:
-            yield _counted(key[0], "not_found", total, None, None)
-            return
-        else:
-            status, version, tried = first["_status"], int(first["_version"]), set()
-        rows = []
+            rows = zip(batch["position"], batch["attempt"], batch["outcome"])
+            early = heapq.nsmallest(max_attempts, chain(early, rows))
+        status, version, tried = state.get if state.exists else ("queued", task[1], ())
+        tried, rows = set(tried or ()), []
         if status == "queued":
-            for row in early.itertuples():
-                disposition = own_disposition(row.attempt, row.outcome, first["_type"], tried)
-                tried.add(row.attempt)
+            for position, attempt, outcome in early:
+                disposition = own_disposition(attempt, outcome, task[0], tried)
+                tried.add(attempt)
                 version += 1 if disposition in ("max_attempts_dlq", "dup_execution_stuck") else 2
                 status = "queued" if disposition == "requeued" else _FINAL.get(disposition, "failed")
-                rows.append((key[0], disposition, row.attempt, row.position, 1, status, version))
+                rows.append((key[0], disposition, attempt, position, 1, status, version))
                 if status != "queued":
                     break
-        state.update((status, version, sorted(tried) if status == "queued" else []))
-        if rows:
-            yield pd.DataFrame(rows, columns=_columns())
-        rest = total - len(rows)
-        if rest:
+        state.update((status, version, sorted(int(a) for a in tried) if status == "queued" else []))
+        if total > len(rows):
             quiet = "terminal_noop" if status in TERMINAL_STATUSES else "in_flight_noop"
-            yield _counted(key[0], quiet, rest, status, version)
+            rows.append((key[0], quiet, None, None, total - len(rows), status, version))
+        yield _rows(rows)
 
-    return keyed.groupBy("task_id").applyInPandasWithState(
+    advanced = keyed.groupBy("task_id").applyInPandasWithState(
         advance, _OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return settled.unionByName(advanced)
 
 
-def _columns() -> list[str]:
-    return [part.split()[0] for part in _OUTPUT.split(", ")]
+_COLUMNS = [part.split()[0] for part in _OUTPUT.split(", ")]
 
 
-def _counted(task_id, disposition, n, status, version) -> pd.DataFrame:
-    row = (task_id, disposition, None, None, n, status, version)
-    return pd.DataFrame([row], columns=_columns()).astype(
-        {"attempt": "Int32", "version": "Int32", "position": "object", "status": "object"})
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({name: list(values) for name, values in zip(_COLUMNS, zip(*rows))}, dtype="object")
