@@ -41,6 +41,14 @@ def test_tables_by_day_are_pruned(spark, tasks, tmp_path):
     assert tables.read_tasks(spark, str(tmp_path / "t")).count() == 120
 
 
+def test_filters_and_columns_reach_the_scan(spark, tasks, tmp_path):
+    tables.write_tasks(tasks, str(tmp_path / "t"))
+    listed = lookup.filter_tasks(tables.read_tasks(spark, str(tmp_path / "t")), "queued", "demo").select("id")
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(status,queued)" in plan and "EqualTo(type,demo)" in plan
+    assert "ReadSchema: struct<id:string,type:string,status:string>" in plan
+
+
 def test_executions_round_trip_and_missing_columns_fail(spark, tmp_path):
     df = spark.createDataFrame([(uid(1), uid(2), 1, "started", None, T0, None)], EXECUTIONS)
     tables.write_executions(df, str(tmp_path / "e"))

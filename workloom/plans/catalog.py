@@ -11,7 +11,7 @@ from workloom.functions.text import (
 )
 from workloom.functions.timing import epoch_micros
 from workloom.operators import changes, checks, handlers, ingest, lifecycle, logs, lookup, metrics, traces
-from workloom.plans.views import view
+from workloom.plans.views import stream_view, view
 from workloom.session import fresh_path
 from workloom.sources import deadletters, export, loglines, messages, tables
 from workloom.streaming import jobs
@@ -453,19 +453,6 @@ def retry_executions(spark, sf_dir):
 
 # Streams
 
-def _stream(spark, sf_dir, table: str, name: str) -> DataFrame:
-    """A view as a stream: the table's file is read as it would be while files arrive."""
-    import re
-
-    from workloom.plans.views import VIEWS
-
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir))
-    source = fresh_path(spark, "src").rsplit("-", 1)[1]
-    raw.createOrReplaceTempView(f"stream_{source}")
-    return spark.sql(re.sub(rf"\bFROM {table}\b", f"FROM stream_{source}", VIEWS[name]))
-
-
 def _drain(stream: DataFrame) -> DataFrame:
     """Runs an append stream over what is there and reads back what it wrote."""
     spark = stream.sparkSession
@@ -477,7 +464,7 @@ def _drain(stream: DataFrame) -> DataFrame:
 
 @query
 def stream_replay_query(spark, sf_dir):
-    rows = _drain(stream_replay(_stream(spark, sf_dir, "lineitem", "deliveries"),
+    rows = _drain(stream_replay(stream_view(spark, sf_dir, "lineitem", "deliveries"),
                                 view(spark, sf_dir, "tasks"), DELIVERY_ORDER))
     return rows.groupBy("task_id", "disposition").agg(
         F.sum("n_deliveries").alias("n_deliveries"), F.max("version").alias("version"))
@@ -485,14 +472,14 @@ def stream_replay_query(spark, sf_dir):
 
 @query
 def stream_dedup(spark, sf_dir):
-    stream = _stream(spark, sf_dir, "lineitem", "execution_attempts").select("task_id", "attempt")
+    stream = stream_view(spark, sf_dir, "lineitem", "execution_attempts").select("task_id", "attempt")
     return _drain(jobs.stream_dedup(stream))
 
 
 @query
 def stream_dlq(spark, sf_dir):
     out, checkpoint = fresh_path(spark, "lanes"), fresh_path(spark, "lanes-checkpoint")
-    replayed = stream_replay(_stream(spark, sf_dir, "lineitem", "deliveries"), view(spark, sf_dir, "tasks"),
+    replayed = stream_replay(stream_view(spark, sf_dir, "lineitem", "deliveries"), view(spark, sf_dir, "tasks"),
                              DELIVERY_ORDER)
     jobs.stream_route(replayed, out, checkpoint).awaitTermination()
     lanes = spark.read.schema("disposition string, n_deliveries bigint, batch bigint, lane string").parquet(out)
@@ -501,6 +488,6 @@ def stream_dlq(spark, sf_dir):
 
 @query
 def stream_rate(spark, sf_dir):
-    stream = _stream(spark, sf_dir, "events", "http_requests").select("ts", "method")
+    stream = stream_view(spark, sf_dir, "events", "http_requests").select("ts", "method")
     rates = _drain(jobs.stream_rate(stream, "ts", "1 day", "12 hours", "1 hour"))
     return _naive(rates).select("window_start", "window_end", "n_events")

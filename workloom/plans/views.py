@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from workloom.session import use_rocksdb_state
+
 _TABLES = "region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|pages|benchmark|labels|conversations"
 
 
@@ -165,3 +167,12 @@ def view_sql(name: str) -> str:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the parquet files of `sf_dir`."""
     return spark.sql(re.sub(rf"\bFROM ({_TABLES})\b", rf"FROM parquet.`{sf_dir}/\1.parquet`", VIEWS[name]))
+
+
+def stream_view(spark: SparkSession, sf_dir: str, table: str, name: str) -> DataFrame:
+    """A view as a stream: its table's file is read as files are while they arrive."""
+    use_rocksdb_state(spark)
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    literal = VIEWS[name].replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub(rf"\bFROM {table}\b", "FROM {source}", literal), source=raw)

@@ -5,6 +5,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def build_session(app_name: str = "workloom", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators are tuned for; `conf` overrides any of them."""
@@ -13,8 +16,7 @@ def build_session(app_name: str = "workloom", master: str | None = None, **conf)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        _STATE_STORE: _ROCKSDB,
     }
     settings.update({key.replace("__", "."): str(value) for key, value in conf.items()})
     builder = SparkSession.builder.appName(app_name)
@@ -25,6 +27,11 @@ def build_session(app_name: str = "workloom", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Makes streams started from now on keep their state in RocksDB."""
+    spark.conf.set(_STATE_STORE, _ROCKSDB)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Only a local master falls back to a scratch folder."""
     context = spark.sparkContext

@@ -28,12 +28,13 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def write_tasks(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
                 by_day: bool = False) -> None:
     """Writes the task table. `by_day` lays files out by creation day, sorted by status and type,
-    so listings and retention skip days and row groups."""
+    so listings and retention skip days and row groups. Days are cut into equal ranges, so a day
+    of any size is written by as many tasks as it needs."""
     out = conform(df, TASKS)
     if by_day:
-        out = out.withColumn(_DAY, F.to_date("created_at"))
-        (out.repartition(_DAY, F.pmod(F.xxhash64("id"), F.lit(64)))
-         .sortWithinPartitions(_DAY, "status", "type")
+        layout = [_DAY, "status", "type", "id"]
+        (out.withColumn(_DAY, F.to_date("created_at"))
+         .repartitionByRange(*layout).sortWithinPartitions(*layout)
          .write.mode(mode).format(fmt).partitionBy(_DAY).save(path))
         return
     out.write.mode(mode).format(fmt).save(path)

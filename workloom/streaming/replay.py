@@ -1,21 +1,73 @@
 """The delivery replay on a stream, one state per task."""
 
 import heapq
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from workloom.schemas import BUILTIN_TASK_TYPES, MAX_ATTEMPTS, TERMINAL_STATUSES
 
 _OUTPUT = ("task_id string, disposition string, attempt int, position string, n_deliveries bigint, "
            "status string, version int")
-_STATE = "status string, version int, tried array<int>"
 _FINAL = {"completed": "completed", "dup_execution_stuck": "processing"}
 
 
+class _TaskReplay(StatefulProcessor):
+    """Advances one queued task by the deliveries of a micro-batch."""
+
+    def __init__(self, handlers: frozenset[str], max_attempts: int):
+        self._handlers = handlers
+        self._max_attempts = max_attempts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._task = handle.getValueState("task", "status string, version int, tried array<int>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        total, current = 0, None
+
+        def counted():
+            nonlocal total, current
+            for row in rows:
+                total += 1
+                current = current or row
+                yield row.position, row.attempt, row.outcome
+
+        early = heapq.nsmallest(self._max_attempts, counted())
+        status, version, tried = self._task.get() or ("queued", current.first_version, ())
+        tried, n_effective = set(tried or ()), 0
+        if status == "queued":
+            for position, attempt, outcome in early:
+                disposition = self._own_disposition(attempt, outcome, current.task_type, tried)
+                tried.add(attempt)
+                n_effective += 1
+                version += 1 if disposition in ("max_attempts_dlq", "dup_execution_stuck") else 2
+                status = "queued" if disposition == "requeued" else _FINAL.get(disposition, "failed")
+                yield Row(task_id=key[0], disposition=disposition, attempt=attempt, position=position,
+                          n_deliveries=1, status=status, version=version)
+                if status != "queued":
+                    break
+            self._task.update((status, version, sorted(tried) if status == "queued" else []))
+        if total > n_effective:
+            quiet = "terminal_noop" if status in TERMINAL_STATUSES else "in_flight_noop"
+            yield Row(task_id=key[0], disposition=quiet, attempt=None, position=None,
+                      n_deliveries=total - n_effective, status=status, version=version)
+
+    def _own_disposition(self, attempt, outcome, task_type, tried) -> str:
+        if attempt > self._max_attempts:
+            return "max_attempts_dlq"
+        if task_type not in self._handlers:
+            return "no_handler_dlq"
+        if attempt in tried:
+            return "dup_execution_stuck"
+        if outcome in ("ok", "permanent"):
+            return "completed" if outcome == "ok" else "permanent_dlq"
+        return "exhausted_dlq" if attempt >= self._max_attempts else "requeued"
+
+    def close(self) -> None:
+        pass
+
+
 def stream_replay(deliveries: DataFrame, tasks: DataFrame, order: list[str],
                   handlers=BUILTIN_TASK_TYPES, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """Dispositions of a delivery stream, as in the batch `replay`.
@@ -27,8 +79,9 @@ def stream_replay(deliveries: DataFrame, tasks: DataFrame, order: list[str],
     others carry state.
 
     The state holds the status, the version and the attempts already run, never more than
-    `max_attempts - 1`. A hot task's rows pass as Arrow batches of which only the first
-    `max_attempts` are kept, so memory does not grow with them.
+    `max_attempts - 1`. A hot task's rows pass one by one and only the first `max_attempts` of a
+    micro-batch are kept, so memory does not grow with them. Needs the RocksDB state store
+    (`session.use_rocksdb_state`).
     """
     known = tasks.select(F.col("id").alias("task_id"), F.col("type").alias("_type"),
                          F.col("status").alias("_status"), F.col("version").alias("_version"))
@@ -47,51 +100,8 @@ def stream_replay(deliveries: DataFrame, tasks: DataFrame, order: list[str],
         F.col("_version").cast("int").alias("version"))
     keyed = joined.where(F.col("_status") == "queued").select(
         "task_id", F.col("attempt").cast("int").alias("attempt"), "outcome",
-        position.alias("position"), "_type", F.col("_version").cast("int").alias("_version"))
-    handlers = frozenset(handlers)
-
-    def own_disposition(attempt, outcome, task_type, tried):
-        if attempt > max_attempts:
-            return "max_attempts_dlq"
-        if task_type not in handlers:
-            return "no_handler_dlq"
-        if attempt in tried:
-            return "dup_execution_stuck"
-        if outcome in ("ok", "permanent"):
-            return "completed" if outcome == "ok" else "permanent_dlq"
-        return "exhausted_dlq" if attempt >= max_attempts else "requeued"
-
-    def advance(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        early, total, task = [], 0, None
-        for batch in batches:
-            task = task or (batch["_type"].iat[0], int(batch["_version"].iat[0]))
-            total += len(batch)
-            rows = zip(batch["position"], batch["attempt"], batch["outcome"])
-            early = heapq.nsmallest(max_attempts, chain(early, rows))
-        status, version, tried = state.get if state.exists else ("queued", task[1], ())
-        tried, rows = set(tried or ()), []
-        if status == "queued":
-            for position, attempt, outcome in early:
-                disposition = own_disposition(attempt, outcome, task[0], tried)
-                tried.add(attempt)
-                version += 1 if disposition in ("max_attempts_dlq", "dup_execution_stuck") else 2
-                status = "queued" if disposition == "requeued" else _FINAL.get(disposition, "failed")
-                rows.append((key[0], disposition, attempt, position, 1, status, version))
-                if status != "queued":
-                    break
-        state.update((status, version, sorted(int(a) for a in tried) if status == "queued" else []))
-        if total > len(rows):
-            quiet = "terminal_noop" if status in TERMINAL_STATUSES else "in_flight_noop"
-            rows.append((key[0], quiet, None, None, total - len(rows), status, version))
-        yield _rows(rows)
-
-    advanced = keyed.groupBy("task_id").applyInPandasWithState(
-        advance, _OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+        position.alias("position"), F.col("_type").alias("task_type"),
+        F.col("_version").cast("int").alias("first_version"))
+    advanced = keyed.groupBy("task_id").transformWithState(
+        _TaskReplay(frozenset(handlers), max_attempts), _OUTPUT, "append", "none")
     return settled.unionByName(advanced)
-
-
-_COLUMNS = [part.split()[0] for part in _OUTPUT.split(", ")]
-
-
-def _rows(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame({name: list(values) for name, values in zip(_COLUMNS, zip(*rows))}, dtype="object")
