@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from workloom.functions.ids import stable_uuid
 from workloom.operators.skew import HOT_ROWS, spread_join
-from workloom.session import stash
+from workloom.session import ship_package, stash
 
 _UPDATED, _CONFLICT, _MISSING, _OPEN = "updated", "version_conflict", "not_found", "open"
 
@@ -135,6 +135,7 @@ def apply_updates(tasks: DataFrame, updates: DataFrame, order: list[str],
     followed per id and joined back by broadcast, at most one row per partition. The checked
     rows are written once, as both steps must see the same ranges.
     """
+    ship_package(updates.sparkSession)
     kept = list(dict.fromkeys(["id", *order, "expected_version", "new_status", clock]))
     requests = updates.select(*kept, F.lit(1).alias("_after"), F.lit(None).cast("int").alias("_own_version"))
     own = tasks.select("id", F.lit(0).alias("_after"), F.col("version").alias("_own_version"))

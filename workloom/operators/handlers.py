@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from workloom.functions.ids import stable_uuid
 from workloom.functions.timing import backoff_ms
 from workloom.schemas import DEAD_LETTER_SUBJECT, MAX_ATTEMPTS, NO_HANDLER_TEXT
-from workloom.session import stash
+from workloom.session import ship_package, stash
 
 Handler = Callable[[dict], None]
 
@@ -61,6 +61,7 @@ def run_handlers(tasks: DataFrame, registry: HandlerRegistry) -> DataFrame:
     Tasks without a function are settled by Spark; only the rest go through Python, in Arrow
     batches and without a shuffle.
     """
+    ship_package(tasks.sparkSession)
     known = F.col("type").isin(*registry.types) if registry.types else F.lit(False)
     handled = F.coalesce(known, F.lit(False))
     columns = list(tasks.columns)

@@ -1,5 +1,7 @@
 """Session construction and the shared folder for data that must outlive an executor."""
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,6 +34,21 @@ def use_rocksdb_state(spark: SparkSession) -> None:
     spark.conf.set(_STATE_STORE, _ROCKSDB)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="workloom-"), "workloom"), "zip",
+                                  root_dir=os.path.dirname(package), base_dir=os.path.basename(package))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Only a local master falls back to a scratch folder."""
     context = spark.sparkContext

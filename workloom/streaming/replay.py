@@ -1,13 +1,19 @@
 """The delivery replay on a stream, one state per task."""
 
 import heapq
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from workloom.schemas import BUILTIN_TASK_TYPES, MAX_ATTEMPTS, TERMINAL_STATUSES
 
+# The process that sets up a stream's state does not see files added to the session, so this
+# module's code travels with the query.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _OUTPUT = ("task_id string, disposition string, attempt int, position string, n_deliveries bigint, "
            "status string, version int")
 _FINAL = {"completed": "completed", "dup_execution_stuck": "processing"}
