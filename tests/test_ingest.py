@@ -116,8 +116,9 @@ def test_headers(spark):
 
 
 def test_messages_of_tasks(spark):
-    tasks = spark.createDataFrame([("a", "high", "r1"), ("b", "low", "")], "id string, priority string, rid string")
-    rows = {r.subject: r for r in task_messages(tasks, "rid").collect()}
+    tasks = spark.createDataFrame([("a", "high", "r1", None), ("b", "low", "", None)],
+                                  "id string, priority string, rid string, tp string")
+    rows = {r.subject: r for r in task_messages(tasks, "rid", "tp").collect()}
     assert rows["tasks.high"].data == '{"task_id":"a","priority":"high"}'
     assert rows["tasks.high"].headers == {"X-Request-Id": "r1"} and rows["tasks.low"].headers == {}
     assert filter_subjects(task_messages(tasks), "tasks.high").count() == 1

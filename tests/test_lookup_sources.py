@@ -156,6 +156,9 @@ def test_publish_replicate_retain(spark, tasks, tmp_path):
     messages.publish(tasks, str(tmp_path / "m"))
     stored = spark.read.parquet(str(tmp_path / "m"))
     assert stored.count() == 120 and {r.subject for r in stored.select("subject").distinct().collect()} == {"tasks.normal"}
+    assert messages.read_messages(spark, str(tmp_path / "m"), "tasks.*").count() == 120
+    low = messages.read_messages(spark, str(tmp_path / "m"), "tasks.low")
+    assert low.count() == 0 and "PartitionFilters: [isnotnull(subject" in low._jdf.queryExecution().executedPlan().toString()
     one = spark.createDataFrame([("m", T0)], "data string, published_at timestamp")
     copies = messages.replicate(one, 3, "50 milliseconds").orderBy("copy").collect()
     assert [r.published_at - T0 for r in copies] == [dt.timedelta(milliseconds=50 * i) for i in range(3)]

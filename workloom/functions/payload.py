@@ -17,10 +17,10 @@ def member(document: Column, path: str) -> Column:
     return F.try_variant_get(document, path, "variant")
 
 
-def kind(value: Column) -> Column:
-    """STRING, BIGINT, OBJECT, ARRAY, VOID ... of a parsed value; null when the value is absent."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+def is_object_or_null(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
+    return F.startswith(kind, F.lit("OBJECT")) | (kind == "VOID")
 
 
 def is_text_or_unset(value: Column) -> Column:
-    return value.isNull() | kind(value).isin("STRING", "VOID")
+    return value.isNull() | F.schema_of_variant(value).isin("STRING", "VOID")

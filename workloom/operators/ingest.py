@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from workloom.functions.ids import valid_uuid
 from workloom.functions.once import computed_once
-from workloom.functions.payload import is_text_or_unset, kind, member
+from workloom.functions.payload import is_object_or_null, is_text_or_unset, member
 from workloom.functions.text import subject_of
 from workloom.schemas import DEAD_LETTER_SUBJECT, DEFAULT_PRIORITY, PRIORITIES
 
@@ -18,7 +18,6 @@ def ingest_requests(raw: DataFrame, body: str = "body") -> DataFrame:
     names are matched in lower case only, and a repeated key counts as bad JSON.
     """
     parsed = raw.withColumn("_doc", F.try_parse_json(body)).withColumns({
-        "_kind": kind(F.col("_doc")),
         "_type": member(F.col("_doc"), "$.type"),
         "_payload": member(F.col("_doc"), "$.payload"),
         "_priority": member(F.col("_doc"), "$.priority"),
@@ -28,7 +27,7 @@ def ingest_requests(raw: DataFrame, body: str = "body") -> DataFrame:
         "_priority_text": F.coalesce(F.col("_priority").cast("string"), F.lit("")),
     })
     well_formed = (
-        F.col("_kind").isin("OBJECT", "VOID")
+        is_object_or_null(F.col("_doc"))
         & is_text_or_unset(F.col("_type")) & is_text_or_unset(F.col("_priority"))
     )
     details = (
@@ -92,7 +91,7 @@ def decode_messages(messages: DataFrame, exclude_dlq: bool = False) -> DataFrame
         "_priority": member(F.col("_doc"), "$.priority"),
     })
     shaped = (
-        (F.col("_end") == _END_OF_MESSAGE) & kind(F.col("_doc")).isin("OBJECT", "VOID")
+        (F.col("_end") == _END_OF_MESSAGE) & is_object_or_null(F.col("_doc"))
         & is_text_or_unset(F.col("_task_id")) & is_text_or_unset(F.col("_priority"))
     )
     decoded = parsed.withColumns({

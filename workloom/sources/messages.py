@@ -34,12 +34,17 @@ def filter_subjects(messages: DataFrame, pattern: str = SUBJECT_PATTERN) -> Data
     return messages.where(subject_matches("subject", pattern))
 
 
-def task_messages(tasks: DataFrame, request_id: str | None = None) -> DataFrame:
-    """One message per task, on the subject of its priority, with its request id as a header."""
+def task_messages(tasks: DataFrame, request_id: str | None = None,
+                  traceparent: str | None = None) -> DataFrame:
+    """One message per task, on the subject of its priority.
+
+    `request_id` and `traceparent` name columns that travel as headers where they are not empty.
+    """
     headers = F.create_map().cast("map<string,string>")
-    if request_id:
-        headers = F.when(F.coalesce(F.col(request_id), F.lit("")) != "",
-                         with_header(headers, "X-Request-Id", F.col(request_id))).otherwise(headers)
+    for key, column in (("X-Request-Id", request_id), ("traceparent", traceparent)):
+        if column:
+            headers = F.when(F.coalesce(F.col(column), F.lit("")) != "",
+                             with_header(headers, key, F.col(column))).otherwise(headers)
     return tasks.select(
         subject_of("priority").alias("subject"),
         F.to_json(F.struct(F.col("id").alias("task_id"), "priority")).alias("data"),
@@ -47,14 +52,14 @@ def task_messages(tasks: DataFrame, request_id: str | None = None) -> DataFrame:
     )
 
 
-def publish(tasks: DataFrame, path: str, request_id: str | None = None, mode: str = "append") -> None:
-    """Writes the messages of `tasks`, one folder per subject."""
-    task_messages(tasks, request_id).write.mode(mode).partitionBy("subject").parquet(path)
+def publish(tasks: DataFrame, path: str, mode: str = "append", **headers: str) -> None:
+    """Writes the messages of `tasks`, one folder per subject; `headers` as for `task_messages`."""
+    task_messages(tasks, **headers).write.mode(mode).partitionBy("subject").parquet(path)
 
 
-def publish_kafka(tasks: DataFrame, servers: str, request_id: str | None = None) -> None:
+def publish_kafka(tasks: DataFrame, servers: str, **headers: str) -> None:
     """Sends the messages of `tasks` to Kafka, the subject as topic. Needs the Kafka connector."""
-    (task_messages(tasks, request_id)
+    (task_messages(tasks, **headers)
      .select(F.col("subject").alias("topic"), F.col("data").alias("value"),
              F.transform(F.map_entries("headers"), lambda e: F.struct(
                  e["key"].alias("key"), e["value"].cast("binary").alias("value"))).alias("headers"))
