@@ -27,6 +27,11 @@ def epoch_micros(ts: Column | str) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def pane_start(micros: Column, length: int) -> Column:
+    """The start of the pane of time that a moment lies in; panes are counted from 1970."""
+    return micros - F.pmod(micros, F.lit(length))
+
+
 def shifted(ts: Column | str, micros: Column | int) -> Column:
     """A timestamp moved by a number of microseconds, keeping its type."""
     ts = F.col(ts) if isinstance(ts, str) else ts

@@ -11,7 +11,7 @@ delivery log never matters.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from workloom.functions.ids import stable_uuid
-from workloom.functions.timing import backoff_ms, epoch_micros, micros_of, shifted
+from workloom.functions.timing import backoff_ms, epoch_micros, micros_of, pane_start, shifted
 from workloom.operators.skew import HOT_ROWS, spread_join
 from workloom.schemas import (
     BACKOFF_BASE_MS, BACKOFF_CAP_MS, BUILTIN_TASK_TYPES, DEAD_LETTERED, EFFECTIVE, MAX_ATTEMPTS,
@@ -159,7 +159,7 @@ def number_attempts(deliveries: DataFrame, message: str, clock: str, order: list
     Rows are numbered inside panes of time first; a pane's start is the number of rows in the
     panes before it. A message delivered any number of times is thus cut along its panes.
     """
-    paned = deliveries.withColumn("_pane", F.floor(epoch_micros(clock) / micros_of(pane)))
+    paned = deliveries.withColumn("_pane", pane_start(epoch_micros(clock), micros_of(pane)))
     in_pane = Window.partitionBy(message, "_pane").orderBy(clock, *order)
     earlier = Window.partitionBy(message).orderBy("_pane").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from workloom.functions.text import route_template
-from workloom.functions.timing import epoch_micros, micros_of
+from workloom.functions.timing import epoch_micros, micros_of, pane_start
 from workloom.operators.lifecycle import failure_class
 from workloom.schemas import HISTOGRAM_BOUNDS, NO_HANDLER_TEXT, RAN
 
@@ -108,7 +108,7 @@ def event_rate(df: DataFrame, ts: str, window: str, slide: str, by: list[str] =
     if length % step:
         raise ValueError("the window must be a multiple of the slide")
     panes = (
-        df.groupBy(*by, (F.floor(epoch_micros(ts) / step) * step).alias("_pane"))
+        df.groupBy(*by, pane_start(epoch_micros(ts), step).alias("_pane"))
         .agg(_rows().alias("_n"))
     )
     offsets = F.sequence(F.lit(0), F.lit(length // step - 1))
@@ -136,7 +136,7 @@ def counter_rate(samples: DataFrame, window: str, series: list[str], ts: str = "
     micros = epoch_micros(ts)
     placed = (
         samples.withColumn("_us", micros)
-        .withColumn("window_start_us", F.floor(F.col("_us") / length) * length)
+        .withColumn("window_start_us", pane_start(F.col("_us"), length))
         .withColumn("_part", F.floor((F.col("_us") - F.col("window_start_us")) * slices / length))
         .withColumn("_v", F.col(value).cast("double"))
     )

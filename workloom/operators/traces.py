@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from workloom.functions.sampling import trace_sampled
-from workloom.functions.timing import epoch_micros, micros_of
+from workloom.functions.timing import epoch_micros, micros_of, pane_start
 from workloom.schemas import TRACE_SAMPLE_RATIO
 
 
@@ -26,9 +26,9 @@ def logs_for_spans(spans: DataFrame, logs: DataFrame, keys: list[str], before: s
     step = micros_of(pane)
     opens = epoch_micros(start) - micros_of(before)
     closes = epoch_micros(end) + micros_of(after)
-    touched = F.sequence(F.floor(opens / step), F.floor(closes / step))
+    touched = F.sequence(pane_start(opens, step), pane_start(closes, step), F.lit(step))
     wide = spans.withColumns({"_opens": opens, "_closes": closes}).withColumn("_pane", F.explode(touched))
-    stamped = logs.withColumn("_us", epoch_micros(log_ts)).withColumn("_pane", F.floor(F.col("_us") / step))
+    stamped = logs.withColumn("_us", epoch_micros(log_ts)).withColumn("_pane", pane_start(F.col("_us"), step))
     return (
         wide.join(stamped, [*keys, "_pane"])
         .where(F.col("_us").between(F.col("_opens"), F.col("_closes")))
