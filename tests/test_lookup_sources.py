@@ -86,6 +86,7 @@ def test_list_arguments(tasks, bad):
 def test_list_and_latest_executions(spark):
     df = spark.createDataFrame([(uid(i), uid(i % 2), i, "failed", None, T0, None) for i in range(1, 9)], EXECUTIONS)
     assert [r.attempt for r in lookup.list_executions(df, uid(1), 3).collect()] == [7, 5, 3]
+    assert lookup.list_executions(df, "{" + uid(1).upper() + "}").count() == 4
     assert lookup.list_executions(df, uid(77)).count() == 0
     with pytest.raises(ValueError):
         lookup.list_executions(df, "nope")

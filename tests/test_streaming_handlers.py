@@ -30,13 +30,15 @@ def staged(spark, df, path, batches, key):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@pytest.mark.parametrize("batches", [1, 4])
-def test_stream_replay_equals_the_batch(spark, tmp_path, batches):
-    tasks, log, _ = random_case(11, n=600)
-    expected, final, _ = fold_deliveries(tasks, [r[:3] for r in log])
+@pytest.mark.parametrize("batches, with_recorded", [(1, False), (4, False), (3, True)])
+def test_stream_replay_equals_the_batch(spark, tmp_path, batches, with_recorded):
+    tasks, log, recorded = random_case(11, n=600)
+    recorded = recorded if with_recorded else set()
+    executions = spark.createDataFrame(sorted(recorded), "task_id string, attempt int") if recorded else None
+    expected, final, _ = fold_deliveries(tasks, [r[:3] for r in log], recorded)
     task_df, delivery_df = frames(spark, tasks, log)
     stream = staged(spark, delivery_df, str(tmp_path / "log"), batches, "seq")
-    rows = drain(stream_replay(stream, task_df, ORDER), tmp_path).collect()
+    rows = drain(stream_replay(stream, task_df, ORDER, executions=executions), tmp_path).collect()
     counts = {}
     for (key, *_), disposition in zip(log, expected):
         counts[key, disposition] = counts.get((key, disposition), 0) + 1

@@ -1,5 +1,8 @@
 """UUID columns."""
 
+import re
+import uuid
+
 from pyspark.sql import Column, functions as F
 
 # Fixed patterns: the textual forms an id may take.
@@ -27,6 +30,18 @@ def valid_uuid(text: Column | str) -> Column:
     )
 
 
+def parse_uuid(text: str) -> str | None:
+    """`valid_uuid` for an argument given in Python."""
+    core = text
+    if len(text) == 45 and text[:9].lower() == URN_PREFIX:
+        core = text[9:]
+    elif len(text) == 38:
+        core = text[1:-1]
+    if re.match(DASHED_UUID, core) or re.match(BARE_UUID, text):
+        return str(uuid.UUID(core))
+    return None
+
+
 def dashed(hex32: Column) -> Column:
     """32 hex digits in the dashed form."""
     text = F.lower(hex32)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from workloom.functions.ids import stable_uuid
 from workloom.functions.timing import backoff_ms
-from workloom.schemas import DEAD_LETTER_SUBJECT, MAX_ATTEMPTS, NO_HANDLER_TEXT
+from workloom.schemas import DEAD_LETTER_SUBJECT, DEMO_FAILURE_TEXT, MAX_ATTEMPTS, NO_HANDLER_TEXT
 from workloom.session import ship_package, stash
 
 Handler = Callable[[dict], None]
@@ -31,7 +31,7 @@ def _demo(task: dict) -> None:
 
 
 def _fail(task: dict) -> None:
-    raise PermanentError("requested failure for demo")
+    raise PermanentError(DEMO_FAILURE_TEXT)
 
 
 class HandlerRegistry:

@@ -6,9 +6,13 @@ from workloom.functions.ids import valid_uuid
 from workloom.functions.once import computed_once
 from workloom.functions.payload import is_object_or_null, is_text_or_unset, member
 from workloom.functions.text import subject_of
-from workloom.schemas import DEAD_LETTER_SUBJECT, DEFAULT_PRIORITY, PRIORITIES
+from workloom.schemas import (
+    BAD_MESSAGE, BAD_TASK_ID, DEAD_LETTER_SUBJECT, DEFAULT_PRIORITY, INVALID_JSON, PAYLOAD_REQUIRED,
+    PRIORITIES, PRIORITY_RANGE, TYPE_REQUIRED, VALIDATION_ERROR,
+)
 
 _END_OF_MESSAGE = "end of message"
+_MALFORMED = "malformed body"
 
 
 def ingest_requests(raw: DataFrame, body: str = "body") -> DataFrame:
@@ -31,15 +35,15 @@ def ingest_requests(raw: DataFrame, body: str = "body") -> DataFrame:
         & is_text_or_unset(F.col("_type")) & is_text_or_unset(F.col("_priority"))
     )
     details = (
-        F.when(~F.coalesce(well_formed, F.lit(False)), F.lit("malformed body"))
-        .when(F.col("_type_text") == "", F.lit("type is required"))
-        .when(F.col("_payload").isNull(), F.lit("payload is required"))
-        .when(~F.col("_priority_text").isin("", *PRIORITIES), F.lit("priority must be low|normal|high"))
+        F.when(~F.coalesce(well_formed, F.lit(False)), F.lit(_MALFORMED))
+        .when(F.col("_type_text") == "", F.lit(TYPE_REQUIRED))
+        .when(F.col("_payload").isNull(), F.lit(PAYLOAD_REQUIRED))
+        .when(~F.col("_priority_text").isin("", *PRIORITIES), F.lit(PRIORITY_RANGE))
     )
     checked = text.withColumn("details", details).withColumn(
         "error",
-        F.when(F.col("details") == "malformed body", F.lit("invalid_json"))
-        .when(F.col("details").isNotNull(), F.lit("validation_error")),
+        F.when(F.col("details") == _MALFORMED, F.lit(INVALID_JSON))
+        .when(F.col("details").isNotNull(), F.lit(VALIDATION_ERROR)),
     )
     accepted = F.col("error").isNull()
     return computed_once(
@@ -103,7 +107,7 @@ def decode_messages(messages: DataFrame, exclude_dlq: bool = False) -> DataFrame
         task_id=F.when(F.col("_shaped"), F.col("_id")),
         priority=F.when(F.col("_shaped") & F.col("_id").isNotNull(),
                         F.coalesce(F.col("_priority").cast("string"), F.lit(""))),
-        reject=F.when(~F.col("_shaped"), F.lit("bad_message"))
-        .when(F.col("_id").isNull(), F.lit("bad_task_id")),
+        reject=F.when(~F.col("_shaped"), F.lit(BAD_MESSAGE))
+        .when(F.col("_id").isNull(), F.lit(BAD_TASK_ID)),
     ).select(*messages.columns, "task_id", "priority", "reject")
 

@@ -2,9 +2,12 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from workloom.functions.ids import valid_uuid
+from workloom.functions.ids import parse_uuid, valid_uuid
 from workloom.operators.skew import spread_join
-from workloom.schemas import LIST_LIMIT_DEFAULT, LIST_LIMIT_MAX, TASK_STATUSES
+from workloom.schemas import (
+    INVALID_STATUS, INVALID_TASK_ID, LIMIT_RANGE, LIST_LIMIT_DEFAULT, LIST_LIMIT_MAX, OFFSET_RANGE,
+    TASK_STATUSES,
+)
 
 TASK_COLUMNS = ("id", "type", "payload", "priority", "status", "created_at", "updated_at", "version")
 
@@ -40,7 +43,7 @@ def checked_limit(limit: int | None, strict: bool = True) -> int:
     if 1 <= limit <= LIST_LIMIT_MAX:
         return limit
     if strict:
-        raise ValueError(f"limit must be 1..{LIST_LIMIT_MAX}")
+        raise ValueError(LIMIT_RANGE)
     return LIST_LIMIT_DEFAULT
 
 
@@ -48,7 +51,7 @@ def checked_offset(offset: int | None, strict: bool = True) -> int:
     if offset is None or offset >= 0:
         return offset or 0
     if strict:
-        raise ValueError("offset must be >= 0")
+        raise ValueError(OFFSET_RANGE)
     return 0
 
 
@@ -68,7 +71,7 @@ def list_tasks(tasks: DataFrame, status: str | None = None, type: str | None = N
     `strict` rejects arguments outside their ranges; otherwise they fall back to the defaults.
     """
     if status and status not in TASK_STATUSES and strict:
-        raise ValueError("invalid status")
+        raise ValueError(INVALID_STATUS)
     page = filter_tasks(tasks, status, type).orderBy(F.desc("created_at"), "id")
     offset = checked_offset(offset, strict)
     if offset:
@@ -78,20 +81,19 @@ def list_tasks(tasks: DataFrame, status: str | None = None, type: str | None = N
 
 def list_executions(executions: DataFrame, task_id: str, limit: int | None = None,
                     strict: bool = True) -> DataFrame:
-    """One task's executions, latest attempt first. An unknown task gives no rows."""
-    if strict and not _is_uuid(task_id):
-        raise ValueError("invalid task id")
+    """One task's executions, latest attempt first. An unknown task gives no rows.
+
+    `strict` takes the id in any accepted form and rejects other text; otherwise it is compared
+    as it is.
+    """
+    if strict:
+        given, task_id = task_id, parse_uuid(task_id)
+        if task_id is None:
+            raise ValueError(f"{INVALID_TASK_ID}: {given!r}")
     return (executions.where(F.col("task_id") == task_id)
             .orderBy(F.desc("attempt"), "id").limit(checked_limit(limit, strict)))
 
 
-def _is_uuid(text: str) -> bool:
-    import re
-
-    from workloom.functions.ids import DASHED_UUID
-    return re.match(DASHED_UUID, text) is not None
-
-
 def latest_executions(executions: DataFrame, k: int) -> DataFrame:
     """The latest k attempts of every task.
 

@@ -21,8 +21,22 @@ RETENTION_DAYS = 7
 TRACE_SAMPLE_RATIO = 0.1
 HISTOGRAM_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 BUILTIN_TASK_TYPES = ("demo", "fail")
+
+# Names and texts of errors.
+INVALID_JSON = "invalid_json"
+VALIDATION_ERROR = "validation_error"
+TYPE_REQUIRED = "type is required"
+PAYLOAD_REQUIRED = "payload is required"
+PRIORITY_RANGE = "priority must be low|normal|high"
+INVALID_STATUS = "invalid status"
+INVALID_TASK_ID = "invalid task id"
+LIMIT_RANGE = "limit must be 1..200"
+OFFSET_RANGE = "offset must be >= 0"
+BAD_MESSAGE = "bad_message"
+BAD_TASK_ID = "bad_task_id"
 NO_HANDLER_TEXT = "no handler registered for type "
 MAX_ATTEMPTS_TEXT = "max attempts exceeded "
+DEMO_FAILURE_TEXT = "requested failure for demo"
 
 # Dispositions a delivery can end in, grouped by what they do.
 RAN = ("completed", "permanent_dlq", "exhausted_dlq", "requeued")

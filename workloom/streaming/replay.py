@@ -37,14 +37,15 @@ class _TaskReplay(StatefulProcessor):
             for row in rows:
                 total += 1
                 current = current or row
-                yield row.position, row.attempt, row.outcome
+                yield row.position, row.attempt, row.outcome, row.recorded
 
         early = heapq.nsmallest(self._max_attempts, counted())
         status, version, tried = self._task.get() or ("queued", current.first_version, ())
         tried, n_effective = set(tried or ()), 0
         if status == "queued":
-            for position, attempt, outcome in early:
-                disposition = self._own_disposition(attempt, outcome, current.task_type, tried)
+            for position, attempt, outcome, recorded in early:
+                disposition = self._own_disposition(
+                    attempt, outcome, current.task_type, recorded or attempt in tried)
                 tried.add(attempt)
                 n_effective += 1
                 version += 1 if disposition in ("max_attempts_dlq", "dup_execution_stuck") else 2
@@ -59,12 +60,12 @@ class _TaskReplay(StatefulProcessor):
             yield Row(task_id=key[0], disposition=quiet, attempt=None, position=None,
                       n_deliveries=total - n_effective, status=status, version=version)
 
-    def _own_disposition(self, attempt, outcome, task_type, tried) -> str:
+    def _own_disposition(self, attempt, outcome, task_type, has_run) -> str:
         if attempt > self._max_attempts:
             return "max_attempts_dlq"
         if task_type not in self._handlers:
             return "no_handler_dlq"
-        if attempt in tried:
+        if has_run:
             return "dup_execution_stuck"
         if outcome in ("ok", "permanent"):
             return "completed" if outcome == "ok" else "permanent_dlq"
@@ -75,14 +76,15 @@ class _TaskReplay(StatefulProcessor):
 
 
 def stream_replay(deliveries: DataFrame, tasks: DataFrame, order: list[str],
-                  handlers=BUILTIN_TASK_TYPES, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+                  handlers=BUILTIN_TASK_TYPES, max_attempts: int = MAX_ATTEMPTS,
+                  executions: DataFrame | None = None) -> DataFrame:
     """Dispositions of a delivery stream, as in the batch `replay`.
 
     A delivery that changes its task gives a row with the status and version after it.
     Deliveries without effect are counted in `n_deliveries`. Micro-batches must arrive in log
-    order; inside one, `order` decides. `tasks` is the table as the stream begins: tasks that are
-    not queued there never change, so their deliveries are settled by the join and only the
-    others carry state.
+    order; inside one, `order` decides. `tasks` and `executions` are the tables as the stream
+    begins: tasks that are not queued there never change, so their deliveries are settled by the
+    join and only the others carry state.
 
     The state holds the status, the version and the attempts already run, never more than
     `max_attempts - 1`. A hot task's rows pass one by one and only the first `max_attempts` of a
@@ -104,8 +106,15 @@ def stream_replay(deliveries: DataFrame, tasks: DataFrame, order: list[str],
         F.col("attempt").cast("int").alias("attempt"), position.alias("position"),
         F.lit(1).cast("bigint").alias("n_deliveries"), F.col("_status").alias("status"),
         F.col("_version").cast("int").alias("version"))
-    keyed = joined.where(F.col("_status") == "queued").select(
-        "task_id", F.col("attempt").cast("int").alias("attempt"), "outcome",
+    queued = joined.where(F.col("_status") == "queued")
+    if executions is None:
+        queued = queued.withColumn("recorded", F.lit(False))
+    else:
+        recorded = executions.select("task_id", "attempt", F.lit(True).alias("recorded"))
+        queued = (queued.join(recorded, ["task_id", "attempt"], "left")
+                  .withColumn("recorded", F.coalesce("recorded", F.lit(False))))
+    keyed = queued.select(
+        "task_id", F.col("attempt").cast("int").alias("attempt"), "outcome", "recorded",
         position.alias("position"), F.col("_type").alias("task_type"),
         F.col("_version").cast("int").alias("first_version"))
     advanced = keyed.groupBy("task_id").transformWithState(
