@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from workloom.functions.ids import stable_uuid
 from workloom.operators.skew import HOT_ROWS, spread_join
 from workloom.session import ship_package, stash
 
@@ -194,13 +193,12 @@ def insert_executions(executions: DataFrame, new: DataFrame, order: list[str],
         .join(executions.select(*pair), pair, "left_anti")
     )
     table = executions.unionByName(winners.select(*executions.columns))
-    key = stable_uuid(*pair)
-    winning = winners.select(key.alias("_pair"), F.struct(*order).alias("_winner"))
+    winning = winners.select(*pair, F.struct(*order).alias("_winner"))
     outcomes = (
-        spread_join(new.withColumn("_pair", key), winning, "_pair", order, hot_rows=hot_rows)
+        spread_join(new, winning, pair, order, hot_rows=hot_rows)
         .withColumn("outcome", F.when(F.struct(*order) == F.col("_winner"), "inserted")
                     .otherwise("already_exists"))
-        .drop("_pair", "_winner")
+        .drop("_winner")
     )
     return table, outcomes
 

@@ -7,7 +7,7 @@ MAX_HOT_KEYS = 1_000
 _SAMPLE = 64
 
 
-def spread_join(many: DataFrame, unique: DataFrame, key: str, spread_by: list[str],
+def spread_join(many: DataFrame, unique: DataFrame, key: str | list[str], spread_by: list[str],
                 how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join rows that may repeat a key without limit to a side that has each key at most once.
 
@@ -17,25 +17,26 @@ def spread_join(many: DataFrame, unique: DataFrame, key: str, spread_by: list[st
     by hash, so that recomputing a lost task finds the same ones. Only their list is broadcast,
     never more than MAX_HOT_KEYS rows; further keys join by plain hash.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     share = max(1, min(_SAMPLE, hot_rows // 10_000))
-    counted = many.select(key, *[c for c in spread_by if c != key])
+    counted = many.select(*keys, *[c for c in spread_by if c not in keys])
     if share > 1:
-        counted = counted.where(F.pmod(F.xxhash64(F.lit(share), key, *spread_by), F.lit(share)) == 0)
+        counted = counted.where(F.pmod(F.xxhash64(F.lit(share), *keys, *spread_by), F.lit(share)) == 0)
     hot = (
-        counted.groupBy(key).count()
-        .where((F.col("count") * share > hot_rows) & F.col(key).isNotNull())
-        .orderBy(F.desc("count"), key).limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(F.col("count") * share / hot_rows).cast("int").alias("_slices"))
+        counted.dropna(subset=keys).groupBy(*keys).count()
+        .where(F.col("count") * share > hot_rows)
+        .orderBy(F.desc("count"), *keys).limit(MAX_HOT_KEYS)
+        .select(*keys, F.ceil(F.col("count") * share / hot_rows).cast("int").alias("_slices"))
     )
     left = (
-        many.join(F.broadcast(hot), key, "left")
+        many.join(F.broadcast(hot), keys, "left")
         .withColumn("_slice", F.coalesce(
             F.pmod(F.xxhash64(*spread_by), F.col("_slices")).cast("int"), F.lit(0)))
         .drop("_slices")
     )
     right = (
-        unique.join(F.broadcast(hot), key, "left")
+        unique.join(F.broadcast(hot), keys, "left")
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
         .drop("_slices")
     )
-    return left.join(right, [key, "_slice"], how).drop("_slice")
+    return left.join(right, [*keys, "_slice"], how).drop("_slice")
