@@ -1,6 +1,5 @@
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from workloom.functions.ids import stable_uuid, valid_uuid

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tests.models import fold_deliveries
 from tests.test_lifecycle import ORDER, frames, random_case
-from workloom.operators import lifecycle
 from workloom.operators.handlers import HandlerRegistry, PermanentError, run_handlers, run_with_retries
 from workloom.streaming import jobs
 from workloom.streaming.replay import stream_replay
