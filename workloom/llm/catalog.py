@@ -5,7 +5,7 @@ Where SQL can state a query it is in ORACLES; the others are tested against brut
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from workloom.llm import decontaminate, near, packing, templates, toxicity
+from workloom.llm import ann, decontaminate, html, near, packing, quality, suffixes, templates, toxicity, urls
 from workloom.llm.frames import table
 
 
@@ -15,6 +15,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     gone = templates.repeats(docs)
@@ -28,6 +33,22 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op4_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed",
+                        F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+def op5_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
+    return judged.select("page_id", "judged.*")
+
+
 def op6_pack_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.withColumnRenamed("id", "doc_id")
@@ -58,8 +79,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {q.__name__: q for q in (op2_line_templates, op6_pack_combinations, op7_order_minhash, op8_decontaminate,
-                                   op9_toxicity)}
+def op10_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return scored.select(F.col("id").alias("doc_id"), F.col("host").alias("source"), F.col("path").alias("lang"), "evidence",
+                         "host_rate", "path_rate", "quality", (F.col("quality") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {q.__name__: q for q in (
+    op1_text_blocks, op2_line_templates, op3_one_bit_codes, op4_suffix_runs, op5_link_trust, op6_pack_combinations,
+    op7_order_minhash, op8_decontaminate, op9_toxicity, op10_bayes_quality)}
 
 #: No query here is plain SQL: models, components, alignments and packings are not.
 ORACLES: dict[str, str] = {}

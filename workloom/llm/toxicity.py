@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from workloom.llm import logistic
 from workloom.llm.frames import map_batches, text_of
 from workloom.llm.words import Words, chunks
 
@@ -223,7 +224,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A logistic curve in which no finding speaks against toxicity: negative weights are dropped one by one."""
     used = list(range(x.shape[1]))
     while True:
-        w = _newton(x[:, used], y)
+        w = logistic.fit(x[:, used], y)
         if not used or w[:-1].min() >= 0:
             out = np.zeros(x.shape[1] + 1)
             out[used], out[-1] = w[:-1], w[-1]
@@ -231,20 +232,6 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         used.pop(int(np.argmin(w[:-1])))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
-    """Weights of a slightly shrunk logistic regression, by Newton's method; the last is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    shrink = np.diag([1e-1] * (x.shape[1] - 1) + [1e-4])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + shrink, x.T @ (y - p) - shrink @ w)
-        w += step
-        if np.abs(step).max() < 1e-9:
-            break
-    return w
-
-
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> tuple[dict, dict, np.ndarray]:
     """(terms, stems, curve) from the rows of `labels` (doc_id, toxic) that are not held out."""
     usable = (labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
@@ -277,7 +264,7 @@ def _features_of(df: DataFrame, terms: dict, stems: dict, carried: str, curve: n
             if curve is None:
                 last = pa.array(list(x), pa.list_(pa.float64()))
             else:
-                last = pa.array(1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30))), pa.float64())
+                last = pa.array(logistic.predict(x, curve), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], last],
                                              names=[*batch.schema.names[:-1], "features" if curve is None else "score"])
 
