@@ -88,7 +88,7 @@ def _strength(groups: DataFrame, prior: str) -> float:
         return 1.0
     room = got.rows - got.squares / got.rows - (got.groups - 1)
     alike = (got.spread - (got.groups - 1)) / room if room > 0 else 0.0
-    alike = min(max(alike, 1e-4), 0.99)
+    alike = min(max(alike, 1e-4), 1 / 3)  # a prior is worth two rows at least
     return (1 - alike) / alike
 
 

@@ -34,6 +34,8 @@ REACH = 20
 EDITED, QUOTED = 0.7, 0.3
 THRESHOLD = 0.7
 STEMS = range(4, 9)
+#: Signs beyond ASCII count as parts of words; these are taken off before matching.
+_MARKS = "“”„‘’‚«»‹›…–—"
 _CACHE_WORDS = 1_000_000
 
 
@@ -119,7 +121,7 @@ class Lexicon:
             for size, mask in zip(self.sizes, self.letters):
                 may |= (np.abs(sizes - size) <= 4) & (np.bitwise_count(bits ^ mask) <= 4)
         for j in np.flatnonzero(may):
-            word = words.word(int(at[j])).decode("utf-8", "replace")
+            word = words.word(int(at[j])).decode("utf-8", "replace").strip(_MARKS)
             got[new[j]] = match(self.exact, word, False) or (match(self.near, word) if len(word) >= LEAST_FUZZY - 1 else 0.0)
         self.known.update(zip(unique[new].tolist(), got[new].tolist()))
         hits = np.flatnonzero(got[where] > 0)
