@@ -2,12 +2,10 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests.models import apply_in_order
 from workloom.operators import changes
 from workloom.operators.changes import _OpenRun
-from workloom.operators.skew import spread_join
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -74,7 +72,7 @@ def test_insert_ignores_repeats(spark):
     old = executions(spark, [("e0", "a", 1, "failed", "x", T0, T0)])
     rows = [(f"n{i}", "hot" if i % 2 else "a", 1 + i % 3, "started", None, T0 + dt.timedelta(seconds=i), None)
             for i in range(60)]
-    table, outcomes = changes.insert_executions(old, executions(spark, rows), ["started_at"], hot_rows=5)
+    table, outcomes = changes.insert_executions(old, executions(spark, rows), ["started_at"])
     seen, expected = {("a", 1)}, {}
     for r in rows:
         expected[r[0]] = "already_exists" if (r[1], r[2]) in seen else "inserted"
@@ -98,14 +96,26 @@ def test_finish_executions(spark):
 def test_delete_cascades(spark):
     tasks = spark.createDataFrame([("a",), ("b",)], "id string")
     old = executions(spark, [("e1", "a", 1, "started", None, T0, None), ("e2", "b", 1, "started", None, T0, None)])
-    left, kept = changes.delete_tasks(tasks, old, spark.createDataFrame([("a",), ("a",)], "id string"), ["id"], hot_rows=1)
+    left, kept = changes.delete_tasks(tasks, old, spark.createDataFrame([("a",), ("a",)], "id string"))
     assert [r.id for r in left.collect()] == ["b"] and [r.id for r in kept.collect()] == ["e2"]
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_anti", "left_semi"])
-def test_spread_join_equals_a_plain_join(spark, how):
-    many = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 90).alias("k"), "id")
-    unique = spark.range(0, 60).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    spread = spread_join(many, unique, "k", ["id"], how=how, hot_rows=200)
-    plain = many.join(unique, "k", how)
-    assert sorted(map(tuple, spread.select(*plain.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+def test_insert_of_unknown_tasks_and_equal_order(spark):
+    old = executions(spark, [])
+    rows = [("n2", "a", 1, "started", None, T0, None), ("n1", "a", 1, "started", None, T0, None), ("n3", "zz", 1, "started", None, T0, None)]
+    tasks = spark.createDataFrame([("a",), ("b",)], "id string")
+    table, outcomes = changes.insert_executions(old, executions(spark, rows), ["started_at"], tasks=tasks)
+    assert {r.id: r.outcome for r in outcomes.collect()} == {"n1": "inserted", "n2": "already_exists", "n3": "unknown_task"}
+    assert [r.id for r in table.collect()] == ["n1"]
+
+
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_updates_without_an_expected_version(spark, partitions):
+    tasks = spark.createDataFrame([("a", "t", "{}", "low", "queued", T0, T0, 1)], "id string, type string, payload string, "
+                                  "priority string, status string, created_at timestamp, updated_at timestamp, version int")
+    rows = [("a" if i % 5 else "zz", None if i % 3 == 0 else 1, "processing", T0 + dt.timedelta(seconds=i)) for i in range(200)]
+    updates = spark.createDataFrame(rows, "id string, expected_version int, new_status string, requested_at timestamp")
+    _, outcomes = changes.apply_updates(tasks, updates, ["requested_at"], partitions=partitions)
+    got = {r.requested_at: r.outcome for r in outcomes.collect()}
+    first = next(r[3] for r in rows if r[0] == "a" and r[1] == 1)
+    assert got == {r[3]: "not_found" if r[0] == "zz" else "updated" if r[3] == first else "version_conflict" for r in rows}

@@ -50,7 +50,7 @@ def test_replay_equals_the_fold(spark, seed, with_recorded):
     task_df, delivery_df = frames(spark, tasks, log)
     executions = spark.createDataFrame(sorted(recorded), "task_id string, attempt int") if recorded else None
 
-    replayed = lifecycle.replay(task_df, delivery_df, ORDER, executions=executions, hot_rows=100)
+    replayed = lifecycle.replay(task_df, delivery_df, ORDER, executions=executions)
     got = {r.seq: r.disposition for r in replayed.select("seq", "disposition").collect()}
     assert [got[i] for i in range(len(log))] == expected
 
@@ -135,3 +135,16 @@ def test_permanent_errors_are_seen_through_wrapping():
     except RuntimeError as outer:
         assert is_permanent(outer)
     assert not is_permanent(RuntimeError("x")) and not is_permanent(None)
+
+
+@pytest.mark.parametrize("outcomes, expected", [
+    (["retryable"] * 2 + ["ok"], ["requeued", "dup_execution_stuck", "in_flight_noop"]),
+    (["ok"] * 3, ["completed", "terminal_noop", "terminal_noop"]),
+])
+def test_a_missing_attempt_is_the_first(spark, outcomes, expected):
+    tasks = {"t": ["demo", "queued", 1]}
+    log = [("t", None if i % 2 else 0, o, i) for i, o in enumerate(outcomes)]
+    task_df, delivery_df = frames(spark, tasks, log)
+    got = {r.seq: r.disposition for r in lifecycle.replay(task_df, delivery_df, ORDER).collect()}
+    assert [got[i] for i in range(len(log))] == expected
+    assert {r.attempt for r in lifecycle.effects(task_df, delivery_df, ORDER).collect()} == {1}

@@ -97,7 +97,7 @@ def test_list_and_latest_executions(spark):
 
 def test_enrich(spark, tasks):
     deliveries = spark.createDataFrame([(uid(1), i) for i in range(300)] + [("gone", 1)], "task_id string, n int")
-    rows = lookup.enrich(deliveries, tasks, ["n"]).collect()
+    rows = lookup.enrich(deliveries, tasks).collect()
     assert len(rows) == 301 and {r.task_type for r in rows if r.task_id == uid(1)} == {"demo"}
     assert [r.task_type for r in rows if r.task_id == "gone"] == [None]
 
@@ -189,3 +189,47 @@ def test_trace_sampling(spark):
     assert [r.trace_id for r in traces.trace_sample(df, 0.1).collect()] == ids[:3]
     assert traces.trace_sample(df, 1.0).count() == 5 and traces.trace_sample(df, 0).count() == 0
     assert traces.trace_sample(df, 0.1, F.lit(False)).count() == 0
+
+
+@pytest.mark.parametrize("size", [0, 1, 56, 57, 58, 70, 5000])
+def test_letters_of_any_size_come_back(spark, size):
+    affected = spark.createDataFrame(
+        [("t1", "demo", 5, "exhausted_dlq", "boom", "tasks.low", "x" * size, T0)], "task_id string, task_type string, attempt int, "
+        "disposition string, error string, subject string, data string, delivered_at timestamp")
+    letters = deadletters.to_dlq(affected)
+    assert "\\r" not in letters.first().data
+    good, bad = deadletters.read_dlq(letters)
+    assert bad.count() == 0 and bytes(good.first().original_data) == b"x" * size
+
+
+def test_line_ends_behind_a_value_are_not_passed_over(spark):
+    from workloom.functions.ids import parse_uuid, valid_uuid
+    from workloom.functions.text import route_template, subject_matches
+
+    value = uid(3)
+    df = spark.createDataFrame([(value, "tasks.high", "/api/v1/tasks/x"), (value + "\n", "tasks.high\n", "/api/v1/tasks/x\n")],
+                               "id string, subject string, path string")
+    rows = df.select(valid_uuid("id").alias("v"), subject_matches("subject", "tasks.*").alias("s"),
+                     subject_matches("subject", "tasks.high").alias("e")).collect()
+    assert [tuple(r) for r in rows] == [(value, True, True), (None, False, False)]
+    assert parse_uuid(value) == value and parse_uuid(value + "\n") is None
+    assert df.select(route_template("path").alias("r")).first().r == "/api/v1/tasks/{id}"
+
+
+def test_levels_above_error(spark):
+    df = spark.createDataFrame([(x,) for x in ("debug", "warn", "error", "dpanic", "panic", "FATAL", "odd")], "level string")
+    assert [r.level for r in logs.min_level(df, "error").collect()] == ["error", "dpanic", "panic", "FATAL"]
+
+
+def test_open_and_reversed_spans(spark):
+    from workloom.operators import traces
+
+    hour = dt.timedelta(hours=1)
+    spans = spark.createDataFrame([(1, "k", T0, None, None), (2, "k", T0, T0 - 9 * hour, "a"), (3, "k", T0, T0 + 2 * hour, "b")],
+                                  "span_id int, trace_id string, start_ts timestamp, end_ts timestamp, task_id string")
+    at = spark.createDataFrame([(10, "k", T0 + hour / 2, "a"), (11, "k", T0 + 2.5 * hour, "b"), (12, "k", T0 - 2 * hour, "a")],
+                               "log_id int, trace_id string, ts timestamp, task_id string")
+    pairs = traces.logs_for_spans(spans, at.drop("task_id"), ["trace_id"])
+    assert sorted((r.span_id, r.log_id) for r in pairs.collect()) == [(1, 10), (2, 10), (3, 10), (3, 11)]
+    pairs = traces.logs_for_spans(spans, at, ["trace_id"], if_set=["task_id"])
+    assert sorted((r.span_id, r.log_id) for r in pairs.collect()) == [(1, 10), (2, 10), (3, 11)]

@@ -100,3 +100,27 @@ def test_counters(spark):
         ("demo", "low"): 2, ("demo", "high"): 1, ("fail", "low"): 1}
     assert {r.type: r.value for r in metrics.tasks_completed(df).collect()} == {"demo": 1}
     assert {(r.type, r.reason): r.value for r in metrics.tasks_failed(df).collect()} == {("demo", "retryable"): 2, ("fail", "permanent"): 1}
+
+
+def test_histogram_keeps_its_columns_and_skips_nulls(spark):
+    df = spark.createDataFrame([("a", "b", 0.1), ("a", "b", None), ("a", "b", 3.0)], "total_x string, _by string, v double")
+    rows = metrics.histogram(df, "v", ["total_x", "_by"]).collect()
+    assert {(r.total_x, r["_by"], r.total_count) for r in rows} == {("a", "b", 2)}
+    assert {r.le: r.bucket_count for r in rows}["+Inf"] == 2
+
+
+@pytest.mark.parametrize("slices", [1, 3, 60])
+def test_sliding_rates_equal_single_windows(spark, slices):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [("s", start + dt.timedelta(seconds=7 * i), float(i * i % 50)) for i in range(80)]
+    df = spark.createDataFrame(rows, "series string, ts timestamp, value double")
+    got = {r.window_start_us: r.rate_per_sec for r in metrics.counter_rate(df, "1 minute", ["series"], slices=slices, step="10 seconds").collect()}
+    assert len(got) > 50
+    origin = int((start - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    for k in range(6):  # tumbling windows, shifted by whole steps
+        moved = df.withColumn("ts", F.col("ts") - F.expr(f"INTERVAL {10 * k} SECONDS"))
+        for r in metrics.counter_rate(moved, "1 minute", ["series"]).collect():
+            assert got[r.window_start_us + 10_000_000 * k] == pytest.approx(r.rate_per_sec)
+    assert min(got) < origin

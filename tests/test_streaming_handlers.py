@@ -1,11 +1,14 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.models import fold_deliveries
 from tests.test_lifecycle import ORDER, frames, random_case
+from workloom.operators import lifecycle
 from workloom.operators.handlers import HandlerRegistry, PermanentError, run_handlers, run_with_retries
+from workloom.sources.deadletters import read_dlq
 from workloom.streaming import jobs
 from workloom.streaming.replay import stream_replay
 
@@ -83,14 +86,40 @@ def test_stream_histogram(spark, tmp_path):
 
 
 def test_stream_route_is_idempotent_per_batch(spark, tmp_path):
-    df = spark.createDataFrame([(0, "completed"), (1, "requeued"), (2, "permanent_dlq"), (3, "terminal_noop")], "seq int, disposition string")
+    rows = [(i, "t", "demo", d, 2, 1, "queued", 3, "tasks.low", f"data {i}" * 20, "boom", T0)
+            for i, d in enumerate(["completed", "requeued", "permanent_dlq", "terminal_noop"])]
+    df = spark.createDataFrame(rows, "seq int, task_id string, task_type string, disposition string, attempt int, n_deliveries bigint, "
+                                     "status string, version int, subject string, data string, error string, delivered_at timestamp")
     stream = staged(spark, df, str(tmp_path / "in"), 2, "seq")
     out = str(tmp_path / "lanes")
-    jobs.stream_route(stream, out, str(tmp_path / "cp")).awaitTermination()
-    first = sorted((r.lane, r.disposition) for r in spark.read.parquet(out).collect())
-    assert first == [("dead", "permanent_dlq"), ("good", "completed"), ("good", "terminal_noop"), ("retry", "requeued")]
-    jobs.stream_route(stream, out, str(tmp_path / "cp2")).awaitTermination()
-    assert sorted((r.lane, r.disposition) for r in spark.read.parquet(out).collect()) == first
+    for checkpoint in ("cp", "cp2"):
+        jobs.stream_route(stream, out, str(tmp_path / checkpoint)).awaitTermination()
+        lane = {name: spark.read.parquet(f"{out}/lane={name}").drop("batch").collect() for name in ("dead", "retry", "good")}
+        assert sorted(r.disposition for r in lane["good"]) == ["completed", "terminal_noop"]
+        assert [(r.task_id, r.attempt, r.delay_ms, r.next_at) for r in lane["retry"]] == [("t", 2, 1000, T0 + dt.timedelta(seconds=1))]
+        good, bad = read_dlq(spark.createDataFrame([(r.data,) for r in lane["dead"]], "data string"))
+        assert bad.count() == 0
+        assert [(r.task_id, r.error, bytes(r.original_data).decode()) for r in good.collect()] == [("t", "boom", "data 2" * 20)]
+
+
+ORDERS = {"text": ("string", lambda i: "x" * 25 + f"{i:03d}"), "uuid": ("string", lambda i: f"{i:08x}-0000-4000-8000-000000000000"),
+          "negative": ("int", lambda i: i - 500), "null first": ("int", lambda i: i or None)}
+
+
+@pytest.mark.parametrize("order", ORDERS)
+def test_stream_order_is_that_of_the_batch(spark, tmp_path, order):
+    kind, at = ORDERS[order]
+    log = [("t", 1, "retryable"), ("t", None if order == "text" else 2, "ok"), ("u", 2, "retryable"), ("u", 1, "permanent"), ("u", 1, "ok")]
+    rows = [(i, k, a, o, at(i)) for i, (k, a, o) in enumerate(log)]
+    random.Random(2).shuffle(rows)
+    deliveries = spark.createDataFrame(rows, f"seq int, task_id string, attempt int, outcome string, place {kind}")
+    tasks = spark.createDataFrame([(k, "demo", "{}", "low", "queued", T0, T0, 1) for k in "tu"], "id string, type string, payload string, "
+                                  "priority string, status string, created_at timestamp, updated_at timestamp, version int")
+    batch = sorted((r.task_id, r.disposition) for r in lifecycle.replay(tasks, deliveries, ["place"]).collect())
+    stream = staged(spark, deliveries, str(tmp_path / "in"), 1, "seq")
+    got = drain(stream_replay(stream, tasks, ["place"], carry=["seq"]), tmp_path).collect()
+    assert sorted((r.task_id, r.disposition) for r in got for _ in range(r.n_deliveries)) == batch
+    assert all(r.seq is not None for r in got if r.attempt is not None)
 
 
 def _sometimes(task):

@@ -6,11 +6,16 @@ import uuid
 from pyspark.sql import Column, functions as F
 
 # Fixed patterns: the textual forms an id may take.
-DASHED_UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-BARE_UUID = r"^[0-9a-fA-F]{32}$"
+DASHED_UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+BARE_UUID = r"[0-9a-fA-F]{32}"
 URN_PREFIX = "urn:uuid:"
 
 
+def _is(text: Column, form: str) -> Column:
+    """Whether the whole text has the form; a line end after it is not passed over."""
+    return text.rlike(f"^{form}\\z")
+
+
 def valid_uuid(text: Column | str) -> Column:
     """The dashed lower-case form of an id, or null when the text is not an id.
 
@@ -25,8 +30,8 @@ def valid_uuid(text: Column | str) -> Column:
         .otherwise(text)
     )
     return (
-        F.when(core.rlike(DASHED_UUID), F.lower(core))
-        .when(text.rlike(BARE_UUID), dashed(text))
+        F.when(_is(core, DASHED_UUID), F.lower(core))
+        .when(_is(text, BARE_UUID), dashed(text))
     )
 
 
@@ -37,7 +42,7 @@ def parse_uuid(text: str) -> str | None:
         core = text[9:]
     elif len(text) == 38:
         core = text[1:-1]
-    if re.match(DASHED_UUID, core) or re.match(BARE_UUID, text):
+    if re.fullmatch(DASHED_UUID, core) or re.fullmatch(BARE_UUID, text):
         return str(uuid.UUID(core))
     return None
 

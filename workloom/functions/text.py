@@ -6,8 +6,8 @@ from workloom.schemas import DEFAULT_PRIORITY, LOG_LEVELS, PRIORITIES, SUBJECTS
 
 # The request paths that carry an id.
 ROUTES = (
-    (r"^/api/v1/tasks/[^/]+$", "/api/v1/tasks/{id}"),
-    (r"^/api/v1/tasks/[^/]+/executions$", "/api/v1/tasks/{id}/executions"),
+    (r"^/api/v1/tasks/[^/]+\z", "/api/v1/tasks/{id}"),
+    (r"^/api/v1/tasks/[^/]+/executions\z", "/api/v1/tasks/{id}/executions"),
 )
 
 
@@ -22,9 +22,12 @@ def first_non_blank(*texts: Column | str) -> Column:
 
 
 def subject_matches(subject: Column | str, pattern: str) -> Column:
-    """Whether a dotted subject fits a pattern in which `*` stands for exactly one token."""
-    tokens = [r"[^.]+" if token == "*" else r"\Q" + token + r"\E" for token in pattern.split(".")]
-    return _column(subject).rlike("^" + r"\.".join(tokens) + "$")
+    """Whether a dotted subject fits a pattern in which `*` stands for exactly one token.
+
+    A token holds no white space, so a line end behind a subject is not passed over.
+    """
+    tokens = [r"[^.\s]+" if token == "*" else r"\Q" + token + r"\E" for token in pattern.split(".")]
+    return _column(subject).rlike("^" + r"\.".join(tokens) + r"\z")
 
 
 def subject_of(priority: Column | str) -> Column:

@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from workloom.operators.skew import HOT_ROWS, spread_join
 from workloom.session import ship_package, stash
 
 _UPDATED, _CONFLICT, _MISSING, _OPEN = "updated", "version_conflict", "not_found", "open"
@@ -24,7 +23,9 @@ class _OpenRun:
     def __init__(self):
         self.standing = {}
 
-    def accept(self, expected: int) -> tuple[int, int]:
+    def accept(self, expected: int | None) -> tuple[int, int]:
+        if expected is None:  # no version fits, so no entry version does
+            return (0, -1)
         moved = self.standing.get(expected, (expected, expected))
         if moved is None:
             return (0, -1)
@@ -126,7 +127,9 @@ def apply_updates(tasks: DataFrame, updates: DataFrame, order: list[str],
     """Versioned updates in request order: accepted when the expected version is the current one.
 
     `updates` has id, expected_version, new_status, `clock` and the `order` columns. Returns the
-    new task table and every update with its outcome: updated, version_conflict or not_found.
+    new task table and every update with its outcome: updated, version_conflict or not_found. A
+    null expected version fits no task. The check itself runs when this is called, not with the
+    returned plans.
 
     The rows are cut into equal ranges of (id, order), so an id with any number of updates is
     spread over as many partitions as it needs. Each partition checks its own rows in one pass
@@ -180,13 +183,20 @@ def apply_updates(tasks: DataFrame, updates: DataFrame, order: list[str],
 
 
 def insert_executions(executions: DataFrame, new: DataFrame, order: list[str],
-                      hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+                      tasks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Insert, ignoring repeats of (task_id, attempt): the first new row wins unless one exists.
 
-    Returns the new table and every new row with outcome inserted or already_exists. The table
-    is built from winners alone, found by a row-number filter that runs before the shuffle.
+    Returns the new table and every new row with outcome inserted or already_exists. With
+    `tasks`, a row whose task does not exist is not inserted and its outcome is unknown_task. The
+    table is built from winners alone, found by a row-number filter that runs before the shuffle.
+    Rows that `order` leaves equal are told apart by their id.
     """
     pair = ["task_id", "attempt"]
+    order = [*order, "id"] if "id" not in order else list(order)
+    offered = new
+    if tasks is not None:
+        known = tasks.select(F.col("id").alias("task_id")).distinct()
+        new = offered.join(known, "task_id", "left_semi")
     first = Window.partitionBy(*pair).orderBy(*order)
     winners = (
         new.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1).drop("_nth")
@@ -195,11 +205,14 @@ def insert_executions(executions: DataFrame, new: DataFrame, order: list[str],
     table = executions.unionByName(winners.select(*executions.columns))
     winning = winners.select(*pair, F.struct(*order).alias("_winner"))
     outcomes = (
-        spread_join(new, winning, pair, order, hot_rows=hot_rows)
+        new.join(winning, pair, "left")
         .withColumn("outcome", F.when(F.struct(*order) == F.col("_winner"), "inserted")
                     .otherwise("already_exists"))
         .drop("_winner")
     )
+    if tasks is not None:
+        unknown = offered.join(known, "task_id", "left_anti").withColumn("outcome", F.lit("unknown_task"))
+        outcomes = outcomes.unionByName(unknown)
     return table, outcomes
 
 
@@ -225,11 +238,9 @@ def finish_executions(executions: DataFrame, results: DataFrame,
     return table, outcomes
 
 
-def delete_tasks(tasks: DataFrame, executions: DataFrame, ids: DataFrame, spread_by: list[str],
-                 hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+def delete_tasks(tasks: DataFrame, executions: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the given tasks and their executions."""
     gone = ids.select("id").distinct()
     left = tasks.join(gone, "id", "left_anti")
-    kept = spread_join(executions, gone.select(F.col("id").alias("task_id")), "task_id", spread_by,
-                       how="left_anti", hot_rows=hot_rows)
+    kept = executions.join(gone.select(F.col("id").alias("task_id")), "task_id", "left_anti")
     return left, kept

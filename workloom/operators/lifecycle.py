@@ -12,26 +12,30 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from workloom.functions.ids import stable_uuid
 from workloom.functions.timing import backoff_ms, epoch_micros, micros_of, pane_start, shifted
-from workloom.operators.skew import HOT_ROWS, spread_join
 from workloom.schemas import (
     BACKOFF_BASE_MS, BACKOFF_CAP_MS, BUILTIN_TASK_TYPES, DEAD_LETTERED, EFFECTIVE, MAX_ATTEMPTS,
     MAX_ATTEMPTS_TEXT, NO_HANDLER_TEXT, RAN, TERMINAL_STATUSES,
 )
 
 
+def with_attempts(deliveries: DataFrame) -> DataFrame:
+    """Deliveries with a usable attempt: one without a count, or with one below 1, is the first."""
+    return deliveries.withColumn("attempt", F.greatest(F.coalesce("attempt", F.lit(1)), F.lit(1)).cast("int"))
+
+
 def effects(tasks: DataFrame, deliveries: DataFrame, order: list[str],
             handlers=BUILTIN_TASK_TYPES, max_attempts: int = MAX_ATTEMPTS,
             executions: DataFrame | None = None) -> DataFrame:
     """The deliveries that changed something, each with its `disposition`.
 
-    `deliveries` has task_id, attempt (from 1), outcome (ok, permanent or retryable: what the
+    `deliveries` has task_id, attempt (see `with_attempts`), outcome (ok, permanent or retryable: what the
     handler would say) and columns to carry along; `order` names columns that order a task's
     deliveries totally. Adds task_type, task_priority, task_version and pair_exists. At most
     `max_attempts` rows per task come out.
     """
     in_order = Window.partitionBy("task_id").orderBy(*order)
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    early = (deliveries.withColumn("_nth", F.row_number().over(in_order))
+    early = (with_attempts(deliveries).withColumn("_nth", F.row_number().over(in_order))
              .where(F.col("_nth") <= max_attempts).drop("_nth"))
     if executions is None:
         early = early.withColumn("pair_exists", F.lit(False))
@@ -63,12 +67,14 @@ def effects(tasks: DataFrame, deliveries: DataFrame, order: list[str],
 
 def replay(tasks: DataFrame, deliveries: DataFrame, order: list[str],
            handlers=BUILTIN_TASK_TYPES, max_attempts: int = MAX_ATTEMPTS,
-           executions: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+           executions: DataFrame | None = None) -> DataFrame:
     """Every delivery with its `disposition`, including those without effect.
 
     The outcome of each task is found first (see `effects`); a delivery then only compares its
-    position with the one that ended its task.
+    position with the one that ended its task. That join has one row per task on its right side,
+    so adaptive execution can split a task with very many deliveries.
     """
+    deliveries = with_attempts(deliveries)
     position = F.struct(*order)
     ended = (
         effects(tasks, deliveries.select("task_id", "attempt", "outcome",
@@ -79,8 +85,7 @@ def replay(tasks: DataFrame, deliveries: DataFrame, order: list[str],
     )
     known = tasks.select(F.col("id").alias("task_id"), F.col("status").alias("_status"),
                          F.col("type").alias("task_type"), F.col("priority").alias("task_priority"))
-    joined = spread_join(deliveries, known.join(ended, "task_id", "left"), "task_id", order,
-                         hot_rows=hot_rows)
+    joined = deliveries.join(known.join(ended, "task_id", "left"), "task_id", "left")
     disposition = (
         F.when(F.col("_status").isNull(), "not_found")
         .when(F.col("_status").isin(*TERMINAL_STATUSES), "terminal_noop")

@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from workloom.functions.ids import parse_uuid, valid_uuid
-from workloom.operators.skew import spread_join
 from workloom.schemas import (
     INVALID_STATUS, INVALID_TASK_ID, LIMIT_RANGE, LIST_LIMIT_DEFAULT, LIST_LIMIT_MAX, OFFSET_RANGE,
     TASK_STATUSES,
@@ -20,7 +19,10 @@ def get_tasks(tasks: DataFrame, ids: DataFrame, id_column: str = "requested_id")
     """
     asked = (ids.select(F.col(id_column).alias("requested_id")).distinct()
              .withColumn("id", valid_uuid("requested_id")))
-    found = asked.join(tasks.select(*TASK_COLUMNS, F.lit(True).alias("_hit")), "id", "left")
+    # An id that is none joins under a key of its own, so such ids don't meet in one partition.
+    keyed = asked.withColumn("_key", F.coalesce("id", F.concat(F.lit("invalid "), F.coalesce("requested_id", F.lit("")))))
+    found = keyed.join(tasks.select(F.col("id").alias("_key"), *[c for c in TASK_COLUMNS if c != "id"],
+                                    F.lit(True).alias("_hit")), "_key", "left")
     return found.select(
         "requested_id",
         F.when(F.col("id").isNull(), "invalid").when(F.col("_hit"), "found")
@@ -29,12 +31,15 @@ def get_tasks(tasks: DataFrame, ids: DataFrame, id_column: str = "requested_id")
     )
 
 
-def enrich(deliveries: DataFrame, tasks: DataFrame, spread_by: list[str]) -> DataFrame:
-    """Deliveries with their task's type, priority, status and version; nulls when there is none."""
+def enrich(deliveries: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Deliveries with their task's type, priority, status and version; nulls when there is none.
+
+    Tasks are unique per id, so adaptive execution can split a busy task's deliveries.
+    """
     side = tasks.select(F.col("id").alias("task_id"), F.col("type").alias("task_type"),
                         F.col("priority").alias("task_priority"),
                         F.col("status").alias("task_status"), F.col("version").alias("task_version"))
-    return spread_join(deliveries, side, "task_id", spread_by)
+    return deliveries.join(side, "task_id", "left")
 
 
 def checked_limit(limit: int | None, strict: bool = True) -> int:

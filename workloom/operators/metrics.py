@@ -45,18 +45,20 @@ def _bound_text(bound: float) -> str:
 def histogram(df: DataFrame, value: str, by: list, bounds=HISTOGRAM_BOUNDS) -> DataFrame:
     """Cumulative buckets (`le`, `bucket_count`) with the series' sum and count.
 
-    All buckets are counted in one aggregation, so one row per series and map task is shuffled.
+    All buckets are counted in one aggregation, so one row per series and map task is shuffled. Rows
+    without a value are no observations.
     """
     bounds = sorted(bounds)
+    df = df.where(F.col(value).isNotNull())
     counts = [F.count_if(F.col(value) <= bound).alias(f"_b{i}") for i, bound in enumerate(bounds)]
-    series = df.groupBy(*by).agg(*counts, _rows().alias("total_count"), F.sum(value).alias("total_sum"))
+    series = df.groupBy(*by).agg(F.struct(*counts, _rows().alias("_all"), F.sum(value).alias("_sum")).alias("_counted"))
     buckets = F.array(*[
-        F.struct(F.lit(_bound_text(bound)).alias("le"), F.col(f"_b{i}").alias("bucket_count"))
+        F.struct(F.lit(_bound_text(bound)).alias("le"), F.col("_counted")[f"_b{i}"].alias("bucket_count"))
         for i, bound in enumerate(bounds)
-    ], F.struct(F.lit("+Inf").alias("le"), F.col("total_count").alias("bucket_count")))
+    ], F.struct(F.lit("+Inf").alias("le"), F.col("_counted._all").alias("bucket_count")))
     return series.withColumn("_bucket", F.explode(buckets)).select(
-        *[c for c in series.columns if not c.startswith("_b") and not c.startswith("total_")],
-        "_bucket.le", "_bucket.bucket_count", "total_sum", "total_count")
+        *[c for c in series.columns if c != "_counted"], "_bucket.le", "_bucket.bucket_count",
+        F.col("_counted._sum").alias("total_sum"), F.col("_counted._all").alias("total_count"))
 
 
 def le_value(le: Column | str = "le") -> Column:
@@ -121,43 +123,50 @@ def event_rate(df: DataFrame, ts: str, window: str, slide: str, by: list[str] =
 
 
 def counter_rate(samples: DataFrame, window: str, series: list[str], ts: str = "ts",
-                 value: str = "value", tie: list[str] = (), slices: int = 60) -> DataFrame:
-    """Per-second rate of cumulative counters in tumbling half-open windows.
+                 value: str = "value", tie: list[str] = (), slices: int = 60, step: str | None = None) -> DataFrame:
+    """Per-second rate of cumulative counters in half-open windows that start every `step`.
 
-    A drop counts as a restart from zero. The increase is extended towards the window's ends: by
-    the whole gap when it is shorter than 1.1 average sample distances, else by half a distance,
-    and never below where the counter would have been zero. Windows with fewer than two samples
-    or no time between them give no row.
+    Without `step`, windows follow one another. A drop counts as a restart from zero. The increase
+    is extended towards the window's ends: by the whole gap when it is shorter than 1.1 average
+    sample distances, else by half a distance, and never below where the counter would have been
+    zero. Windows with fewer than two samples or no time between them give no row.
 
-    A window is summed over `slices` parts first and the parts are then chained, so one series
-    is never sorted as a whole.
+    A step is summed over `slices` parts first, and a window chains the parts it covers, so one
+    series is never sorted as a whole; `slices` does not affect the result.
     """
     length = micros_of(window)
-    micros = epoch_micros(ts)
+    stride = length if step is None else micros_of(step)
+    if length % stride:
+        raise ValueError("the window must be a multiple of the step")
     placed = (
-        samples.withColumn("_us", micros)
-        .withColumn("window_start_us", pane_start(F.col("_us"), length))
-        .withColumn("_part", F.floor((F.col("_us") - F.col("window_start_us")) * slices / length))
+        samples.where(F.col(value).isNotNull()).withColumn("_us", epoch_micros(ts))
+        .withColumn("_step", pane_start(F.col("_us"), stride))
+        .withColumn("_slice", F.floor((F.col("_us") - F.col("_step")) * slices / stride))
         .withColumn("_v", F.col(value).cast("double"))
     )
-    group = [*series, "window_start_us"]
     order = ["_us", *tie]
     place = F.struct(*order)
-    in_part = Window.partitionBy(*group, "_part").orderBy(*order)
+    in_part = Window.partitionBy(*series, "_step", "_slice").orderBy(*order)
 
     def gain(before, after):
         return F.when(before.isNull(), 0.0).when(after < before, after).otherwise(after - before)
 
     parts = (
         placed.withColumn("_gain", gain(F.lag("_v").over(in_part), F.col("_v")))
-        .groupBy(*group, "_part")
+        .groupBy(*series, "_step", "_slice")
         .agg(F.sum("_gain").alias("_gain"), _rows().alias("_n"),
              F.min("_us").alias("_first_us"), F.max("_us").alias("_last_us"),
              F.min_by("_v", place).alias("_first_v"), F.max_by("_v", place).alias("_last_v"))
     )
+    group = [*series, "window_start_us"]
+    covering = (
+        parts.withColumn("_back", F.explode(F.sequence(F.lit(0), F.lit(length // stride - 1))))
+        .withColumn("window_start_us", F.col("_step") - F.col("_back").cast("long") * stride)
+        .withColumn("_part", F.struct("_step", "_slice"))
+    )
     across = Window.partitionBy(*group).orderBy("_part")
     whole = (
-        parts.withColumn("_joint", gain(F.lag("_last_v").over(across), F.col("_first_v")))
+        covering.withColumn("_joint", gain(F.lag("_last_v").over(across), F.col("_first_v")))
         .groupBy(*group)
         .agg(F.sum(F.col("_gain") + F.col("_joint")).alias("_inc"), F.sum("_n").alias("_n"),
              F.min("_first_us").alias("_t0"), F.max("_last_us").alias("_t1"),
@@ -181,6 +190,17 @@ def sum_rates(rates: DataFrame, by: list[str]) -> DataFrame:
     return rates.groupBy(*by).agg(F.sum("rate_per_sec").alias("rate_per_sec"))
 
 
+def rate_quantile(bucket_samples: DataFrame, q: float, window: str, series: list[str], by: list[str], step: str | None = None,
+                  ts: str = "ts", value: str = "value", le: str = "le", tie: list[str] = (), slices: int = 60) -> DataFrame:
+    """The q-quantile of each window from samples of cumulative bucket counters.
+
+    Each bucket counter's rate is taken first, rates are summed per bound and `by` columns, and the
+    quantile is read off these. `series` names the labels of a counter besides `le`.
+    """
+    rates = counter_rate(bucket_samples, window, [*series, le], ts, value, tie, slices, step)
+    return histogram_quantile(rates, q, [*by, "window_start_us"], le, "rate_per_sec")
+
+
 def stream_stats(messages: DataFrame, stream: str) -> DataFrame:
     """Messages and bytes per subject, and per stream with its number of subjects."""
     per_subject = messages.groupBy("subject").agg(

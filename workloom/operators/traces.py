@@ -15,22 +15,24 @@ def trace_sample(spans: DataFrame, ratio: float = TRACE_SAMPLE_RATIO,
 
 def logs_for_spans(spans: DataFrame, logs: DataFrame, keys: list[str], before: str = "1 hour",
                    after: str = "1 hour", log_ts: str = "ts", start: str = "start_ts",
-                   end: str = "end_ts", pane: str = "1 hour") -> DataFrame:
+                   end: str = "end_ts", pane: str = "1 hour", if_set: list[str] = ()) -> DataFrame:
     """Every (span, log) pair with equal `keys` and the log inside the span's widened time.
 
     Both sides are cut into panes of time and joined on keys and pane, so a trace with very many
     rows meets only its own rows of the same hour. A span is copied to each pane it touches; a
-    log lies in one pane, so no pair appears twice. Logs and spans may share further columns
-    only under different names.
+    log lies in one pane, so no pair appears twice. A span without an end, or one that ends before
+    it starts, counts as ended at its start. `if_set` names further keys that must be equal where
+    the span has them. Logs and spans may share further columns only under different names.
     """
     step = micros_of(pane)
     opens = epoch_micros(start) - micros_of(before)
-    closes = epoch_micros(end) + micros_of(after)
+    closes = F.greatest(epoch_micros(start), F.coalesce(epoch_micros(end), epoch_micros(start))) + micros_of(after)
     touched = F.sequence(pane_start(opens, step), pane_start(closes, step), F.lit(step))
     wide = spans.withColumns({"_opens": opens, "_closes": closes}).withColumn("_pane", F.explode(touched))
     stamped = logs.withColumn("_us", epoch_micros(log_ts)).withColumn("_pane", pane_start(F.col("_us"), step))
-    return (
-        wide.join(stamped, [*keys, "_pane"])
-        .where(F.col("_us").between(F.col("_opens"), F.col("_closes")))
-        .drop("_pane", "_opens", "_closes", "_us")
-    )
+    stamped = stamped.withColumnsRenamed({name: f"_log_{name}" for name in if_set})
+    near = F.col("_us").between(F.col("_opens"), F.col("_closes"))
+    for name in if_set:
+        near &= F.col(name).isNull() | (F.col(name) == F.col(f"_log_{name}"))
+    return wide.join(stamped, [*keys, "_pane"]).where(near).drop(
+        "_pane", "_opens", "_closes", "_us", *[f"_log_{name}" for name in if_set])

@@ -12,7 +12,7 @@ from workloom.functions.text import (
 from workloom.functions.timing import epoch_micros
 from workloom.operators import changes, checks, handlers, ingest, lifecycle, logs, lookup, metrics, traces
 from workloom.plans.views import stream_view, view
-from workloom.session import fresh_path
+from workloom.session import fresh_path, use_rocksdb_state
 from workloom.sources import deadletters, export, loglines, messages, tables
 from workloom.streaming import jobs
 from workloom.streaming.replay import stream_replay
@@ -83,6 +83,15 @@ def dlq_read(spark, sf_dir):
     return kept.unionByName(bad.select("seq", F.lit("bad").alias("kind")), allowMissingColumns=True)
 
 
+@query
+def dlq_round_trip(spark, sf_dir):
+    path = fresh_path(spark, "letters")
+    deadletters.write_dlq(deadletters.to_dlq(_effects(spark, sf_dir)), path)
+    good, bad = deadletters.read_dlq(messages.read_messages(spark, path))
+    kept = good.select("task_id", "attempt", "original_subject", F.col("original_data").cast("string").alias("original_data"))
+    return kept.unionByName(bad.select(F.col("data").alias("original_data")), allowMissingColumns=True)
+
+
 @query
 def parse_logs(spark, sf_dir):
     return loglines.parse_app_logs(view(spark, sf_dir, "log_lines")).drop("line", "ts_text", "span_id")
@@ -192,7 +201,7 @@ def get_tasks(spark, sf_dir):
 @query
 def enrich_deliveries(spark, sf_dir):
     deliveries = view(spark, sf_dir, "deliveries").select("task_id", *DELIVERY_ORDER)
-    return lookup.enrich(deliveries, view(spark, sf_dir, "tasks"), DELIVERY_ORDER)
+    return lookup.enrich(deliveries, view(spark, sf_dir, "tasks"))
 
 
 @query
@@ -221,6 +230,14 @@ def insert_outcomes(spark, sf_dir):
     return outcomes.select("id", "task_id", "attempt", "outcome")
 
 
+@query
+def insert_known_tasks(spark, sf_dir):
+    new = view(spark, sf_dir, "execution_attempts")
+    _, outcomes = changes.insert_executions(view(spark, sf_dir, "recorded_executions"), new, EXECUTION_ORDER,
+                                            tasks=view(spark, sf_dir, "tasks"))
+    return outcomes.select("id", "task_id", "attempt", "outcome")
+
+
 @query
 def finish_executions(spark, sf_dir):
     table, _ = changes.finish_executions(view(spark, sf_dir, "recorded_executions"), view(spark, sf_dir, "execution_results"),
@@ -238,7 +255,7 @@ def finish_outcomes(spark, sf_dir):
 @query
 def cascade_delete(spark, sf_dir):
     left, kept = changes.delete_tasks(view(spark, sf_dir, "tasks"), view(spark, sf_dir, "execution_attempts"),
-                                      view(spark, sf_dir, "deleted_ids"), ["id"])
+                                      view(spark, sf_dir, "deleted_ids"))
     return left.select(F.lit("tasks").alias("table_name"), "id").unionAll(
         kept.select(F.lit("task_executions"), "id"))
 
@@ -251,6 +268,14 @@ def trace_logs(spark, sf_dir):
     return pairs.select("service", "trace_id", "span_id", "log_id", "level")
 
 
+@query
+def trace_logs_by_ids(spark, sf_dir):
+    parsed = loglines.parse_app_logs(view(spark, sf_dir, "log_lines")).select(
+        "service", "trace_id", "ts", F.col("event_id").alias("log_id"), "task_id", "request_id")
+    pairs = traces.logs_for_spans(view(spark, sf_dir, "spans"), parsed, ["service", "trace_id"], if_set=["task_id", "request_id"])
+    return pairs.select("span_id", "log_id")
+
+
 # Lifecycle
 
 @query
@@ -365,6 +390,19 @@ def counter_rate_total(spark, sf_dir):
     return metrics.sum_rates(rates, ["window_start_us"]).withColumn("rate_per_sec", F.round("rate_per_sec", 6))
 
 
+@query
+def counter_rate_sliding(spark, sf_dir):
+    rates = metrics.counter_rate(view(spark, sf_dir, "counter_samples"), "12 hours", ["series"], tie=["event_id"],
+                                 slices=4, step="3 hours")
+    return rates.withColumn("rate_per_sec", F.round("rate_per_sec", 6))
+
+
+@query
+def histogram_p95_rate(spark, sf_dir):
+    found = metrics.rate_quantile(view(spark, sf_dir, "bucket_samples"), 0.95, "1 day", ["instance"], [], tie=["event_id"], slices=24)
+    return found.withColumn("quantile", F.round("quantile", 6))
+
+
 @query
 def histogram_p95(spark, sf_dir):
     day = (F.floor(epoch_micros("ts") / 86_400_000_000)).alias("day")
@@ -478,12 +516,39 @@ def stream_dedup(spark, sf_dir):
 
 @query
 def stream_dlq(spark, sf_dir):
-    out, checkpoint = fresh_path(spark, "lanes"), fresh_path(spark, "lanes-checkpoint")
-    replayed = stream_replay(stream_view(spark, sf_dir, "lineitem", "deliveries"), view(spark, sf_dir, "tasks"),
-                             DELIVERY_ORDER)
+    # Three files in log order give three micro-batches.
+    source, out, checkpoint = (fresh_path(spark, label) for label in ("deliveries", "lanes", "lanes-checkpoint"))
+    deliveries = view(spark, sf_dir, "deliveries")
+    for part in ("delivered_at < '1994-06-01'", "delivered_at >= '1994-06-01' AND delivered_at < '1997-01-01'", "delivered_at >= '1997-01-01'"):
+        deliveries.where(part).coalesce(1).write.mode("append").parquet(source)
+    use_rocksdb_state(spark)
+    stream = spark.readStream.schema(deliveries.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    replayed = stream_replay(stream, view(spark, sf_dir, "tasks"), DELIVERY_ORDER, carry=["subject", "data", "error", "delivered_at"])
     jobs.stream_route(replayed, out, checkpoint).awaitTermination()
-    lanes = spark.read.schema("disposition string, n_deliveries bigint, batch bigint, lane string").parquet(out)
-    return lanes.groupBy("lane", "disposition").agg(F.sum("n_deliveries").alias("n_deliveries"))
+
+    def lane(name, schema):
+        return spark.read.schema(schema).parquet(f"{out}/lane={name}").withColumn("lane", F.lit(name))
+
+    dead = lane("dead", "data string, headers map<string,string>").select(
+        "lane", F.col("headers")["task_id"].alias("task_id"), "data")
+    retry = lane("retry", "task_id string, attempt int, data string, next_at timestamp_ntz").select(
+        "lane", "task_id", "data", "attempt", "next_at")
+    good = lane("good", "disposition string, n_deliveries bigint").groupBy("lane", "disposition").agg(
+        F.sum("n_deliveries").alias("n_deliveries"))
+    return dead.unionByName(retry, allowMissingColumns=True).unionByName(good, allowMissingColumns=True)
+
+
+@query
+def stream_dedup_bounded(spark, sf_dir):
+    stream = stream_view(spark, sf_dir, "events", "task_messages").select("subject", "published_at")
+    return _drain(jobs.stream_dedup(stream, ["subject"], "published_at", "400 days")).select("subject")
+
+
+@query
+def stream_histogram(spark, sf_dir):
+    stream = stream_view(spark, sf_dir, "events", "http_requests").select("ts", "method", "duration_seconds")
+    made = _drain(jobs.stream_histogram(stream, "ts", "duration_seconds", "1 day", "1 hour", ["method"]))
+    return _naive(made.select(F.col("window.start").alias("window_start"), "method", "le", "bucket_count", "total_count"))
 
 
 @query

@@ -5,7 +5,7 @@ from workloom.schemas import HISTOGRAM_BOUNDS
 
 ORACLES: dict[str, str] = {}
 
-_UUID_FORM = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+_UUID_FORM = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
 
 def _dashed(h: str) -> str:
@@ -16,8 +16,8 @@ def _dashed(h: str) -> str:
 def _canonical_id(x: str) -> str:
     core = (f"(CASE WHEN length({x}) = 45 AND lower(substr({x},1,9)) = 'urn:uuid:' THEN substr({x},10) "
             f"WHEN length({x}) = 38 THEN substr({x},2,36) ELSE {x} END)")
-    return (f"CASE WHEN regexp_matches({core}, '{_UUID_FORM}') THEN lower({core}) "
-            f"WHEN regexp_matches({x}, '^[0-9a-fA-F]{{32}}$') THEN {_dashed(x)} END")
+    return (f"CASE WHEN regexp_full_match({core}, '{_UUID_FORM}') THEN lower({core}) "
+            f"WHEN regexp_full_match({x}, '[0-9a-fA-F]{{32}}') THEN {_dashed(x)} END")
 
 
 def _with(views: str, body: str) -> str:
@@ -39,7 +39,7 @@ _add("scan_tasks", "tasks", f"SELECT {_TASK_COLUMNS} FROM tasks")
 _add("scan_executions", "execution_attempts",
      "SELECT id, task_id, attempt, status, error, started_at, finished_at FROM execution_attempts")
 _add("subject_match", "task_messages",
-     "SELECT seq, subject FROM task_messages WHERE regexp_matches(subject, '^tasks\\.[^.]+$')")
+     "SELECT seq, subject FROM task_messages WHERE regexp_full_match(subject, 'tasks[.][^.]+') AND NOT contains(subject, chr(10))")
 _add("publish_messages", "tasks", """
 SELECT concat('tasks.', priority) AS subject,
        concat('{"task_id":"', id, '","priority":"', priority, '"}') AS data FROM tasks""")
@@ -50,15 +50,21 @@ _add("retention", "task_messages", """
 SELECT seq, published_at FROM task_messages
 WHERE published_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 168 HOUR""")
 _add("dlq_read", "dead_letters", """
-SELECT seq, CASE WHEN seq % 6 < 2 THEN 'bad' ELSE 'letter' END AS kind,
-       CASE WHEN seq % 6 >= 2 THEN data->>'task_id' END AS task_id,
-       CASE WHEN seq % 6 >= 2 THEN data->>'task_type' END AS task_type,
-       CASE WHEN seq % 6 >= 2 THEN cast(data->>'attempt' AS integer) END AS attempt,
-       CASE WHEN seq % 6 >= 2 THEN data->>'error' END AS error,
-       CASE WHEN seq % 6 >= 2 THEN data->>'original_subject' END AS original_subject,
-       CASE WHEN seq % 6 >= 2 THEN decode(from_base64(data->>'original_data')) END AS original_data,
-       CASE WHEN seq % 6 >= 2 THEN TIMESTAMP '2024-01-02 03:04:05' END AS failed_at
-FROM dead_letters""")
+, fields AS (
+  SELECT seq, json_valid(data) AS ok, CASE WHEN json_valid(data) THEN data ELSE '{}' END AS data FROM dead_letters),
+judged AS (
+  SELECT *, replace(replace(data->>'original_data', chr(13), ''), chr(10), '') AS code,
+         ok AND coalesce(json_type(data, '$.attempt'), 'NULL') IN ('UBIGINT', 'BIGINT', 'NULL')
+         AND coalesce(regexp_full_match(data->>'failed_at', '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}([.][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})'), true)
+         AND coalesce(regexp_full_match(replace(replace(data->>'original_data', chr(13), ''), chr(10), ''),
+               '([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?'), true) AS good FROM fields)
+SELECT seq, CASE WHEN good THEN 'letter' ELSE 'bad' END AS kind,
+       CASE WHEN good THEN data->>'task_id' END AS task_id, CASE WHEN good THEN data->>'task_type' END AS task_type,
+       CASE WHEN good THEN cast(data->>'attempt' AS integer) END AS attempt, CASE WHEN good THEN data->>'error' END AS error,
+       CASE WHEN good THEN data->>'original_subject' END AS original_subject,
+       CASE WHEN good THEN decode(from_base64(code)) END AS original_data,
+       CASE WHEN good THEN cast(cast(data->>'failed_at' AS timestamptz) AT TIME ZONE 'UTC' AS timestamp) END AS failed_at
+FROM judged""")
 _LOG_FIELDS = ", ".join(f"CASE WHEN json_valid(line) THEN line->>'{f}' END AS {f}"
                         for f in ("level", "msg", "request_id", "trace_id", "task_id"))
 _add("parse_logs", "log_lines", f"SELECT event_id, ts, service, {_LOG_FIELDS} FROM log_lines")
@@ -155,7 +161,7 @@ _add("filter_tasks", "tasks", "SELECT * FROM tasks WHERE status = 'queued' AND t
 _add("log_min_level", "log_lines", """
 SELECT event_id, line->>'level' AS level, line->>'msg' AS msg
 FROM (SELECT event_id, CASE WHEN json_valid(line) THEN line ELSE '{}' END AS line FROM log_lines)
-WHERE line->>'level' IN ('warn', 'error')""")
+WHERE line->>'level' IN ('warn', 'error', 'dpanic', 'panic', 'fatal')""")
 _add("http_errors", "http_requests",
      "SELECT event_id, status, status >= 500 AS server_error FROM http_requests")
 
@@ -205,6 +211,14 @@ UNION ALL SELECT id, task_id, attempt, status, error, started_at, finished_at FR
 _add("insert_outcomes", "recorded_executions execution_attempts", _INSERTED + """
 SELECT id, task_id, attempt, CASE WHEN nth = 1 AND NOT known THEN 'inserted' ELSE 'already_exists' END AS outcome
 FROM ranked""")
+_add("insert_known_tasks", "tasks recorded_executions execution_attempts", """
+, ranked AS (
+  SELECT e.*, row_number() OVER (PARTITION BY task_id, attempt ORDER BY started_at, tie, id) AS nth,
+         EXISTS (SELECT 1 FROM recorded_executions r WHERE r.task_id = e.task_id AND r.attempt = e.attempt) AS known,
+         EXISTS (SELECT 1 FROM tasks t WHERE t.id = e.task_id) AS has_task
+  FROM execution_attempts e)
+SELECT id, task_id, attempt, CASE WHEN NOT has_task THEN 'unknown_task' WHEN nth = 1 AND NOT known THEN 'inserted'
+       ELSE 'already_exists' END AS outcome FROM ranked""")
 _FINISHED = """
 , last AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY finished_at DESC, tie1 DESC, tie2 DESC, tie3 DESC) AS r
@@ -227,7 +241,15 @@ _add("trace_logs", "spans log_lines", """
   FROM log_lines WHERE json_valid(line))
 SELECT s.service, s.trace_id, s.span_id, p.log_id, p.level
 FROM spans s JOIN parsed p ON p.service = s.service AND p.trace_id = s.trace_id
-  AND p.ts BETWEEN s.start_ts - INTERVAL 1 HOUR AND s.end_ts + INTERVAL 1 HOUR""")
+  AND p.ts BETWEEN s.start_ts - INTERVAL 1 HOUR AND greatest(s.start_ts, coalesce(s.end_ts, s.start_ts)) + INTERVAL 1 HOUR""")
+_add("trace_logs_by_ids", "spans log_lines", """
+, parsed AS (
+  SELECT event_id AS log_id, ts, service, line->>'trace_id' AS trace_id, line->>'task_id' AS task_id,
+         line->>'request_id' AS request_id FROM log_lines WHERE json_valid(line))
+SELECT s.span_id, p.log_id
+FROM spans s JOIN parsed p ON p.service = s.service AND p.trace_id = s.trace_id
+  AND (s.task_id IS NULL OR p.task_id = s.task_id) AND (s.request_id IS NULL OR p.request_id = s.request_id)
+  AND p.ts BETWEEN s.start_ts - INTERVAL 1 HOUR AND greatest(s.start_ts, coalesce(s.end_ts, s.start_ts)) + INTERVAL 1 HOUR""")
 
 # Lifecycle
 
@@ -240,7 +262,8 @@ def _replayed(existing: bool) -> str:
   SELECT d.*, t.id AS known_id, t.type AS task_type, t.status AS first_status, {known} AS pair_exists,
          row_number() OVER (PARTITION BY d.task_id, d.attempt ORDER BY delivered_at, d.attempt, tie) AS nth,
          row_number() OVER (PARTITION BY d.task_id ORDER BY delivered_at, d.attempt, tie) AS seq
-  FROM deliveries d LEFT JOIN tasks t ON t.id = d.task_id),
+  FROM (SELECT * REPLACE (cast(greatest(coalesce(attempt, 1), 1) AS integer) AS attempt) FROM deliveries) d
+  LEFT JOIN tasks t ON t.id = d.task_id),
 own AS (
   SELECT *, CASE WHEN known_id IS NULL THEN 'not_found'
     WHEN first_status IN ('completed', 'failed', 'cancelled') THEN 'terminal_noop'
@@ -297,7 +320,7 @@ SELECT 'tasks.dlq' AS subject,
 FROM replayed WHERE disposition IN ('max_attempts_dlq', 'no_handler_dlq', 'permanent_dlq', 'exhausted_dlq')""")
 _add("attempt_numbers", "deliveries", """
 SELECT task_id, delivered_at, attempt AS line, tie,
-       cast(row_number() OVER (PARTITION BY task_id ORDER BY delivered_at, attempt, tie) AS integer) AS attempt
+       cast(row_number() OVER (PARTITION BY task_id ORDER BY delivered_at, attempt NULLS FIRST, tie) AS integer) AS attempt
 FROM deliveries""")
 _add("retry_schedule", "tasks deliveries", _REPLAY + f"""
 , timed AS (
@@ -343,7 +366,7 @@ FROM ran JOIN totals ON totals.type = ran.type CROSS JOIN (VALUES {_BOUNDS}) b(l
 _add("m_http_requests", "http_requests", f"""
 SELECT {_ROUTE} AS route, method, cast(status AS string) AS status, count(*) AS value FROM http_requests GROUP BY ALL""")
 _add("m_http_duration", "http_requests", f"""
-, r AS (SELECT {_ROUTE} AS route, method, duration_seconds AS v FROM http_requests)
+, r AS (SELECT {_ROUTE} AS route, method, duration_seconds AS v FROM http_requests WHERE duration_seconds IS NOT NULL)
 SELECT route, method, le, count(CASE WHEN v <= bound THEN 1 END) AS bucket_count,
        round(sum(v), 4) AS total_sum, count(*) AS total_count
 FROM r CROSS JOIN (VALUES {_BOUNDS}) b(le, bound) GROUP BY route, method, le""")
@@ -353,29 +376,50 @@ _add("event_rate", "http_requests", """
   FROM http_requests CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) o(back))
 SELECT window_start_us, count(*) AS n_events, round(count(*) / 3600.0::double, 9) AS rate_per_sec
 FROM starts GROUP BY window_start_us""")
-_RATES = """
+
+
+def _rates(samples: str, labels: str, window_us: int, step_us: int) -> str:
+    """Rates in windows of window_us that start every step_us, from (labels, event_id, ts, value)."""
+    return f"""
 , placed AS (
-  SELECT series, event_id, value, epoch_us(ts) AS us,
-         epoch_us(ts) // 86400000000 * 86400000000 AS window_start_us FROM counter_samples),
+  SELECT {labels}, event_id, value, epoch_us(ts) AS us, (epoch_us(ts) // {step_us} - back) * {step_us} AS window_start_us
+  FROM {samples} CROSS JOIN range(0, {window_us // step_us}) o(back) WHERE value IS NOT NULL),
 stepped AS (
-  SELECT *, lag(value) OVER (PARTITION BY series, window_start_us ORDER BY us, event_id) AS before FROM placed),
+  SELECT *, lag(value) OVER (PARTITION BY {labels}, window_start_us ORDER BY us, event_id) AS before FROM placed),
 summed AS (
-  SELECT series, window_start_us, count(*) AS n,
+  SELECT {labels}, window_start_us, count(*) AS n,
          sum(CASE WHEN before IS NULL THEN 0 WHEN value < before THEN value ELSE value - before END) AS inc,
          min(us) AS t0, max(us) AS t1, arg_min(value, (us, event_id)) AS v0
-  FROM stepped GROUP BY series, window_start_us HAVING count(*) >= 2 AND max(us) > min(us)),
+  FROM stepped GROUP BY {labels}, window_start_us HAVING count(*) >= 2 AND max(us) > min(us)),
 spread AS (
   SELECT *, (t1 - t0) / 1e6::double AS covered, (t1 - t0) / 1e6::double / (n - 1) AS distance,
-         (t0 - window_start_us) / 1e6::double AS to_start, (window_start_us + 86400000000 - t1) / 1e6::double AS to_end
+         (t0 - window_start_us) / 1e6::double AS to_start, (window_start_us + {window_us} - t1) / 1e6::double AS to_end
   FROM summed),
 gaps AS (
   SELECT *, CASE WHEN to_start >= distance * 1.1::double THEN distance / 2 ELSE to_start END AS start_gap,
          CASE WHEN to_end >= distance * 1.1::double THEN distance / 2 ELSE to_end END AS end_gap FROM spread),
 rates AS (
-  SELECT series, window_start_us, n AS n_samples, inc AS increase,
+  SELECT {labels}, window_start_us, n AS n_samples, inc AS increase,
          inc * (covered + CASE WHEN inc > 0 AND v0 >= 0 THEN least(start_gap, covered * v0 / inc) ELSE start_gap END + end_gap)
-         / covered / 86400.0::double AS rate_per_sec FROM gaps)
+         / covered / {window_us / 1e6}::double AS rate_per_sec FROM gaps)
 """
+
+
+_RATES = _rates("counter_samples", "series", 86_400_000_000, 86_400_000_000)
+_add("counter_rate_sliding", "counter_samples", _rates("counter_samples", "series", 43_200_000_000, 10_800_000_000) +
+     "SELECT series, window_start_us, n_samples, increase, round(rate_per_sec, 6) AS rate_per_sec FROM rates")
+_add("histogram_p95_rate", "bucket_samples", _rates("bucket_samples", "instance, le", 86_400_000_000, 86_400_000_000) + """
+, summed_rates AS (
+  SELECT window_start_us, CASE le WHEN '+Inf' THEN 'infinity'::double ELSE cast(le AS double) END AS bound, sum(rate_per_sec) AS n
+  FROM rates GROUP BY ALL),
+ranked AS (
+  SELECT *, lag(bound) OVER w AS low, coalesce(lag(n) OVER w, 0) AS before, max(n) OVER (PARTITION BY window_start_us) AS total,
+         max(n) OVER (PARTITION BY window_start_us) * 0.95::double AS rank
+  FROM summed_rates WINDOW w AS (PARTITION BY window_start_us ORDER BY bound)),
+hit AS (SELECT *, row_number() OVER (PARTITION BY window_start_us ORDER BY bound) AS r FROM ranked WHERE n >= rank OR isinf(bound))
+SELECT window_start_us, round(CASE WHEN total = 0 THEN 'nan'::double WHEN isinf(bound) THEN low
+       ELSE coalesce(low, 0) + (bound - coalesce(low, 0)) * (rank - before) / (n - before) END, 6) AS quantile
+FROM hit WHERE r = 1""")
 _add("counter_rate", "counter_samples", _RATES +
      "SELECT series, window_start_us, n_samples, increase, round(rate_per_sec, 6) AS rate_per_sec FROM rates")
 _add("counter_rate_total", "counter_samples", _RATES +
@@ -383,7 +427,7 @@ _add("counter_rate_total", "counter_samples", _RATES +
 _add("histogram_p95", "http_requests", f"""
 , counted AS (
   SELECT epoch_us(ts) // 86400000000 AS day, bound, count(CASE WHEN duration_seconds <= bound THEN 1 END)::double AS n
-  FROM http_requests CROSS JOIN (VALUES {_BOUNDS}) b(le, bound) GROUP BY day, bound),
+  FROM http_requests CROSS JOIN (VALUES {_BOUNDS}) b(le, bound) WHERE duration_seconds IS NOT NULL GROUP BY day, bound),
 placed AS (
   SELECT *, lag(bound) OVER w AS low, coalesce(lag(n) OVER w, 0) AS before,
          max(n) OVER (PARTITION BY day) * 0.95::double AS rank
@@ -411,11 +455,10 @@ FROM tasks LEFT JOIN per ON task_id = id""")
 # Scalar functions and sampling
 
 _add("merge_arrays", "task_messages", """
-SELECT seq, CASE subject
-    WHEN 'tasks.normal' THEN 'tasks.normal,tasks.high,tasks.low,tasks.dlq'
-    WHEN 'tasks.high' THEN 'tasks.high,tasks.normal,tasks.low,tasks.dlq'
-    WHEN 'tasks.low' THEN 'tasks.low,tasks.normal,tasks.high,tasks.dlq'
-    ELSE 'tasks.dlq,tasks.normal,tasks.high,tasks.low' END AS merged, true AS changed FROM task_messages""")
+, wanted AS (SELECT seq, [subject, 'tasks.normal'] AS own, ['tasks.high', 'tasks.normal', 'tasks.low', 'tasks.dlq'] AS asked FROM task_messages),
+items AS (SELECT seq, unnest(own || asked) AS item, generate_subscripts(own || asked, 1) AS place FROM wanted),
+firsts AS (SELECT seq, item, min(place) AS place FROM items GROUP BY seq, item)
+SELECT f.seq, string_agg(f.item, ',' ORDER BY f.place) AS merged, bool_or(f.place > 2) AS changed FROM firsts f GROUP BY f.seq""")
 _add("canonical_payload", "tasks", """
 SELECT id, concat('{"cust":', payload->>'cust', ',"z":1}') AS payload FROM tasks""")
 _add("first_non_blank", "task_messages", """
@@ -460,10 +503,30 @@ SELECT task_id, disposition, count(*) AS n_deliveries,
        cast(max(CASE WHEN known_id IS NOT NULL THEN v END) AS integer) AS version
 FROM versions GROUP BY task_id, disposition""")
 _add("stream_dedup", "execution_attempts", "SELECT DISTINCT task_id, attempt FROM execution_attempts")
-_add("stream_dlq", "tasks deliveries", _REPLAY + """
-SELECT CASE WHEN disposition IN ('max_attempts_dlq', 'no_handler_dlq', 'permanent_dlq', 'exhausted_dlq') THEN 'dead'
-            WHEN disposition = 'requeued' THEN 'retry' ELSE 'good' END AS lane,
-       disposition, count(*) AS n_deliveries FROM replayed GROUP BY ALL""")
+_add("dlq_round_trip", "tasks deliveries", _REPLAY + """
+SELECT task_id, attempt, subject AS original_subject, data AS original_data
+FROM replayed WHERE disposition IN ('max_attempts_dlq', 'no_handler_dlq', 'permanent_dlq', 'exhausted_dlq')""")
+_add("stream_dlq", "tasks deliveries", _REPLAY + f"""
+SELECT 'dead' AS lane, task_id,
+       concat('{{"task_id":"', task_id, '","task_type":"', task_type, '","attempt":', attempt, ',"error":',
+              to_json({_ERROR}), ',"original_subject":"', subject, '","original_data":"', to_base64(encode(data)),
+              '","failed_at":"', strftime(delivered_at, '%Y-%m-%dT%H:%M:%SZ'), '"}}') AS data,
+       NULL::integer AS attempt, NULL::timestamp AS next_at, NULL AS disposition, NULL::bigint AS n_deliveries
+FROM replayed WHERE disposition IN ('max_attempts_dlq', 'no_handler_dlq', 'permanent_dlq', 'exhausted_dlq')
+UNION ALL
+SELECT 'retry', task_id, data, attempt, delivered_at + to_milliseconds(
+         cast(least(500 * (1::bigint << (least(attempt - 1, 40))::integer), 10000) AS bigint)), NULL, NULL
+FROM replayed WHERE disposition = 'requeued'
+UNION ALL
+SELECT 'good', NULL, NULL, NULL, NULL, disposition, count(*) FROM replayed
+WHERE disposition IN ('completed', 'dup_execution_stuck', 'not_found', 'terminal_noop', 'in_flight_noop') GROUP BY disposition""")
+_add("stream_dedup_bounded", "task_messages", "SELECT DISTINCT subject FROM task_messages")
+_add("stream_histogram", "http_requests", f"""
+, kept AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, method, duration_seconds AS v FROM http_requests
+           WHERE duration_seconds IS NOT NULL),
+ended AS (SELECT * FROM kept WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM http_requests))
+SELECT window_start, method, le, count(CASE WHEN v <= bound THEN 1 END) AS bucket_count, count(*) AS total_count
+FROM ended CROSS JOIN (VALUES {_BOUNDS}) b(le, bound) GROUP BY window_start, method, le""")
 _add("stream_rate", "http_requests", """
 , starts AS (
   SELECT make_timestamp((epoch_us(ts) // 43200000000 - back) * 43200000000) AS window_start

@@ -55,17 +55,18 @@ VIEWS = {
                'recorded before' AS error, min(l_shipdate) AS started_at, max(l_shipdate) AS finished_at
         FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey, l_linenumber""",
     "deliveries": f"""
-        SELECT {_TASK_ID} AS task_id, l_linenumber AS attempt, l_shipdate AS delivered_at,
+        SELECT {_TASK_ID} AS task_id,
+               CASE l_partkey % 40 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE l_linenumber END AS attempt, l_shipdate AS delivered_at,
                l_partkey AS tie,
                CASE l_returnflag WHEN 'A' THEN 'ok' WHEN 'R' THEN 'permanent' ELSE 'retryable' END AS outcome,
                concat('handler error ', cast(l_suppkey AS string)) AS error,
                CASE l_suppkey % 3 WHEN 0 THEN 'tasks.high' WHEN 1 THEN 'tasks.normal' ELSE 'tasks.low' END AS subject,
                CASE l_suppkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'normal' ELSE 'low' END AS message_priority,
-               concat('{{"task_id":"', {_TASK_ID}, '"}}') AS data,
+               concat('{{"task_id":"', {_TASK_ID}, '","priority":"', CASE l_suppkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'normal' ELSE 'low' END, '"}}') AS data,
                l_quantity / 8 AS duration_seconds
         FROM lineitem""",
     "status_updates": f"""
-        SELECT {_TASK_ID} AS id, 1 + l_linenumber % 3 AS expected_version,
+        SELECT {_TASK_ID} AS id, CASE WHEN l_partkey % 30 <> 0 THEN 1 + l_linenumber % 3 END AS expected_version,
                CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'R' THEN 'failed' ELSE 'processing' END AS new_status,
                l_shipdate AS requested_at, l_linenumber AS tie1, l_partkey AS tie2
         FROM lineitem""",
@@ -87,7 +88,8 @@ VIEWS = {
         FROM events""",
     "task_messages": f"""
         SELECT event_id AS seq, ts AS published_at,
-               CASE user_id % 4 WHEN 0 THEN 'tasks.high' WHEN 1 THEN 'tasks.normal' WHEN 2 THEN 'tasks.low' ELSE 'tasks.dlq' END AS subject,
+               CASE WHEN event_id % 50 = 0 THEN concat('tasks.high', chr(10)) WHEN event_id % 50 = 1 THEN 'jobs.low'
+                    WHEN user_id % 4 = 0 THEN 'tasks.high' WHEN user_id % 4 = 1 THEN 'tasks.normal' WHEN user_id % 4 = 2 THEN 'tasks.low' ELSE 'tasks.dlq' END AS subject,
                CASE event_id % 20
                  WHEN 0 THEN '{{bad'
                  WHEN 1 THEN '{{"task_id":"not-a-uuid","priority":"low"}}'
@@ -97,6 +99,7 @@ VIEWS = {
                  WHEN 5 THEN concat('{{"task_id":"', replace({_uuid('user_id')}, '-', ''), '"}}')
                  WHEN 6 THEN concat('{{"task_id":"URN:UUID:', upper({_uuid('user_id')}), '","priority":"high"}}')
                  WHEN 7 THEN concat('{{"task_id":"{{', {_uuid('user_id')}, '}}","priority":"high"}}')
+                 WHEN 8 THEN concat('{{"task_id":"', {_uuid('user_id')}, chr(92), 'n","priority":"high"}}')
                  ELSE concat('{{"task_id":"', {_uuid('user_id')}, '","priority":"normal"}}') END AS data
         FROM events""",
     "http_requests": """
@@ -106,12 +109,12 @@ VIEWS = {
                     WHEN 'click' THEN concat('/api/v1/tasks/', cast(event_id AS string), '/executions')
                     ELSE '/api/v1/health' END AS path,
                CASE event_type WHEN 'error' THEN 500 WHEN 'purchase' THEN 201 WHEN 'signup' THEN 400 ELSE 200 END AS status,
-               value / 100 AS duration_seconds
+               CASE WHEN event_id % 61 <> 0 THEN value / 100 END AS duration_seconds
         FROM events""",
     "log_lines": """
         SELECT event_id, ts, CASE user_id % 2 WHEN 0 THEN 'api' ELSE 'worker' END AS service,
                CASE WHEN event_id % 25 = 0 THEN 'not json' ELSE
-               concat('{"level":"', CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' WHEN 'view' THEN 'debug' ELSE 'info' END,
+               concat('{"level":"', CASE event_type WHEN 'error' THEN CASE event_id % 4 WHEN 0 THEN 'fatal' WHEN 1 THEN 'panic' WHEN 2 THEN 'dpanic' ELSE 'error' END WHEN 'signup' THEN 'warn' WHEN 'view' THEN 'debug' ELSE 'info' END,
                       '","msg":"', event_type, '","request_id":"r', cast(event_id AS string), '","trace_id":"', md5(cast(user_id AS string)),
                       '","task_id":"', cast(user_id AS string), '"}') END AS line
         FROM events""",
@@ -127,16 +130,26 @@ VIEWS = {
     "spans": """
         SELECT md5(cast(user_id AS string)) AS trace_id, event_id AS span_id, event_type AS name,
                CASE user_id % 2 WHEN 0 THEN 'api' ELSE 'worker' END AS service,
-               ts AS start_ts, ts + INTERVAL 10 MINUTE AS end_ts
+               ts AS start_ts, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN ts - INTERVAL 5 HOUR ELSE ts + INTERVAL 10 MINUTE END AS end_ts,
+               CASE WHEN event_id % 3 = 0 THEN cast(user_id AS string) END AS task_id,
+               CASE WHEN event_id % 5 = 0 THEN concat('r', cast(event_id AS string)) END AS request_id
         FROM events""",
     "counter_samples": """
-        SELECT event_type AS series, event_id, ts, cast(event_id % 200 AS double) AS value
+        SELECT event_type AS series, event_id, ts, CASE WHEN event_id % 97 <> 0 THEN cast(event_id % 200 AS double) END AS value
         FROM events""",
+    "bucket_samples": """
+        SELECT user_id % 5 AS instance, event_id, ts, le,
+               cast(sum(CASE WHEN value / 100 <= CASE le WHEN '+Inf' THEN 1e300 ELSE cast(le AS double) END THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY user_id % 5, le ORDER BY ts, event_id) AS double) AS value
+        FROM events CROSS JOIN (VALUES ('0.5'), ('1'), ('2.5'), ('+Inf')) AS bounds(le)""",
     "dead_letters": f"""
         SELECT event_id AS seq, 'tasks.dlq' AS subject,
                CASE event_id % 6
                  WHEN 0 THEN '{{"task_id":'
                  WHEN 1 THEN '{{"task_id":"a","attempt":"five"}}'
+                 WHEN 2 THEN CASE event_id % 4 WHEN 0 THEN '{{"task_id":"a","original_data":"e30"}}'
+                                  ELSE '{{"task_id":"a","failed_at":"2024-01-02 03:04:05"}}' END
+                 WHEN 3 THEN concat('{{"task_id":"b","attempt":2,"original_data":"', 'eyJ0YXNrX2lkIjoi', chr(92), 'r', chr(92), 'nMDEyMyJ9","failed_at":"2024-01-02T03:04:05Z"}}')
                  ELSE concat('{{"task_id":"', {_uuid('user_id')}, '","task_type":"', event_type,
                       '","attempt":', cast(1 + user_id % 5 AS string),
                       ',"error":"boom","original_subject":"tasks.low","original_data":"e30=","failed_at":"2024-01-02T03:04:05Z"}}')

@@ -11,7 +11,7 @@ EXECUTION_STATUSES = ("started", "succeeded", "failed")
 SUBJECTS = {"low": "tasks.low", "normal": "tasks.normal", "high": "tasks.high"}
 DEAD_LETTER_SUBJECT = "tasks.dlq"
 SUBJECT_PATTERN = "tasks.*"
-LOG_LEVELS = ("debug", "info", "warn", "error")
+LOG_LEVELS = ("debug", "info", "warn", "error", "dpanic", "panic", "fatal")
 MAX_ATTEMPTS = 5
 BACKOFF_BASE_MS = 500
 BACKOFF_CAP_MS = 10_000

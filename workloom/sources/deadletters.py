@@ -1,6 +1,6 @@
 """Dead-letter messages: writing and reading."""
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from workloom.functions.once import computed_once
 from workloom.functions.text import with_header
@@ -9,8 +9,15 @@ from workloom.operators.lifecycle import error_text
 from workloom.schemas import DEAD_LETTER, DEAD_LETTER_SUBJECT, DEAD_LETTERED, MAX_ATTEMPTS, MESSAGES
 
 # Fixed patterns: a time with an offset, and padded base64.
-RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
-BASE64 = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
+RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})\z"
+BASE64 = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z"
+
+_LINE_ENDS = "\r\n"
+
+
+def _unbroken(text) -> Column:
+    """Base64 without the line ends that Spark's encoder puts in and decoders pass over."""
+    return F.translate(text, _LINE_ENDS, "")
 
 
 def to_dlq(affected: DataFrame, max_attempts: int = MAX_ATTEMPTS, clock: str = "delivered_at",
@@ -24,7 +31,7 @@ def to_dlq(affected: DataFrame, max_attempts: int = MAX_ATTEMPTS, clock: str = "
     record = F.struct(
         "task_id", "task_type", "attempt", error_text(max_attempts).alias("error"),
         F.col("subject").alias("original_subject"),
-        F.base64(F.col(data).cast("binary")).alias("original_data"),
+        _unbroken(F.base64(F.col(data).cast("binary"))).alias("original_data"),
         rfc3339(clock).alias("failed_at"))
     return affected.where(F.col("disposition").isin(*DEAD_LETTERED)).select(
         F.lit(DEAD_LETTER_SUBJECT).alias("subject"),
@@ -49,12 +56,12 @@ def parse_dlq(messages: DataFrame) -> DataFrame:
     bad = (
         F.col("_letter").isNull() | F.col("_letter._corrupt").isNotNull()
         | ~F.coalesce(letter["failed_at"].rlike(RFC3339), F.lit(True))
-        | ~F.coalesce(letter["original_data"].rlike(BASE64), F.lit(True))
+        | ~F.coalesce(_unbroken(letter["original_data"]).rlike(BASE64), F.lit(True))
     )
     fields = [F.when(~F.col("bad"), value).alias(name) for name, value in letter.items()]
     return (parsed.withColumn("bad", bad)
             .select(*messages.columns, "bad", *fields)
-            .withColumn("original_data", F.unbase64("original_data"))
+            .withColumn("original_data", F.unbase64(_unbroken("original_data")))
             .withColumn("failed_at", F.try_to_timestamp("failed_at")))
 
 

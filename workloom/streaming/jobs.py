@@ -4,8 +4,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from workloom.functions.timing import micros_of
+from workloom.operators.lifecycle import retry_schedule
 from workloom.operators.metrics import histogram
-from workloom.schemas import DEAD_LETTERED
+from workloom.schemas import DEAD_LETTERED, MAX_ATTEMPTS
+from workloom.sources.deadletters import to_dlq
 
 
 def stream_dedup(stream: DataFrame, keys=("task_id", "attempt"), ts: str | None = None,
@@ -52,11 +54,26 @@ def route_dispositions(df: DataFrame) -> DataFrame:
         .when(F.col("disposition") == "requeued", "retry").otherwise("good"))
 
 
-def stream_route(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Writes each micro-batch to path/batch=<id>/lane=<lane>, replacing what a failed try left."""
+def stream_route(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True,
+                 max_attempts: int = MAX_ATTEMPTS, clock: str = "delivered_at") -> StreamingQuery:
+    """Writes each micro-batch of `stream_replay` to lanes, replacing what a failed try left.
+
+    `stream` must carry subject, data, error and `clock`. path/lane=dead has dead letters as
+    `read_dlq` reads them, path/lane=retry the retries with `delay_ms` and `next_at`, and
+    path/lane=good all other rows; each in a folder per batch.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        (route_dispositions(batch).write.mode("overwrite").partitionBy("lane")
-         .parquet(f"{path}/batch={batch_id}"))
+        def put(rows: DataFrame, lane: str) -> None:
+            rows.write.mode("overwrite").parquet(f"{path}/lane={lane}/batch={batch_id}")
+
+        # The batch is written once; its lanes are read from there, so its state advances once.
+        held = f"{path}/held/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(held)
+        routed = route_dispositions(batch.sparkSession.read.schema(batch.schema).parquet(held))
+        put(to_dlq(routed.where("lane = 'dead'"), max_attempts, clock), "dead")
+        retries = retry_schedule(routed.where("lane = 'retry'"), clock)
+        put(retries.select("task_id", "task_type", "attempt", "subject", "data", clock, "delay_ms", "next_at"), "retry")
+        put(routed.where("lane = 'good'").select("task_id", "disposition", "attempt", "n_deliveries", "status", "version"), "good")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

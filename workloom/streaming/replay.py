@@ -8,23 +8,32 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from workloom.operators.lifecycle import with_attempts
 from workloom.schemas import BUILTIN_TASK_TYPES, MAX_ATTEMPTS, TERMINAL_STATUSES
 
 # The process that sets up a stream's state does not see files added to the session, so this
 # module's code travels with the query.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_OUTPUT = ("task_id string, disposition string, attempt int, position string, n_deliveries bigint, "
-           "status string, version int")
+_OUTPUT = ("task_id string, task_type string, disposition string, attempt int, n_deliveries bigint, "
+           "status string, version int, {carried}")
+
+
+def _in_order(row: Row, n: int) -> tuple:
+    """Sorts as the batch does: by the n order columns' values, with nulls first."""
+    return tuple((row[f"order_{i}"] is not None, row[f"order_{i}"]) for i in range(n))
+
 _FINAL = {"completed": "completed", "dup_execution_stuck": "processing"}
 
 
 class _TaskReplay(StatefulProcessor):
     """Advances one queued task by the deliveries of a micro-batch."""
 
-    def __init__(self, handlers: frozenset[str], max_attempts: int):
+    def __init__(self, handlers: frozenset[str], max_attempts: int, n_order: int, carry: list[str]):
         self._handlers = handlers
         self._max_attempts = max_attempts
+        self._n_order = n_order
+        self._carry = carry
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._task = handle.getValueState("task", "status string, version int, tried array<int>")
@@ -37,28 +46,32 @@ class _TaskReplay(StatefulProcessor):
             for row in rows:
                 total += 1
                 current = current or row
-                yield row.position, row.attempt, row.outcome, row.recorded
+                yield row
 
-        early = heapq.nsmallest(self._max_attempts, counted())
+        early = heapq.nsmallest(self._max_attempts, counted(), key=lambda row: _in_order(row, self._n_order))
         status, version, tried = self._task.get() or ("queued", current.first_version, ())
         tried, n_effective = set(tried or ()), 0
         if status == "queued":
-            for position, attempt, outcome, recorded in early:
+            for row in early:
+                attempt = row.attempt
                 disposition = self._own_disposition(
-                    attempt, outcome, current.task_type, recorded or attempt in tried)
+                    attempt, row.outcome, current.task_type, row.recorded or attempt in tried)
                 tried.add(attempt)
                 n_effective += 1
                 version += 1 if disposition in ("max_attempts_dlq", "dup_execution_stuck") else 2
                 status = "queued" if disposition == "requeued" else _FINAL.get(disposition, "failed")
-                yield Row(task_id=key[0], disposition=disposition, attempt=attempt, position=position,
-                          n_deliveries=1, status=status, version=version)
+                yield self._row(key[0], current.task_type, disposition, attempt, 1, status, version, row)
                 if status != "queued":
                     break
             self._task.update((status, version, sorted(tried) if status == "queued" else []))
         if total > n_effective:
             quiet = "terminal_noop" if status in TERMINAL_STATUSES else "in_flight_noop"
-            yield Row(task_id=key[0], disposition=quiet, attempt=None, position=None,
-                      n_deliveries=total - n_effective, status=status, version=version)
+            yield self._row(key[0], current.task_type, quiet, None, total - n_effective, status, version)
+
+    def _row(self, task_id, task_type, disposition, attempt, n_deliveries, status, version, row=None) -> Row:
+        return Row(task_id=task_id, task_type=task_type, disposition=disposition, attempt=attempt,
+                   n_deliveries=n_deliveries, status=status, version=version,
+                   **{name: None if row is None else row[f"carried_{name}"] for name in self._carry})
 
     def _own_disposition(self, attempt, outcome, task_type, has_run) -> str:
         if attempt > self._max_attempts:
@@ -77,10 +90,11 @@ class _TaskReplay(StatefulProcessor):
 
 def stream_replay(deliveries: DataFrame, tasks: DataFrame, order: list[str],
                   handlers=BUILTIN_TASK_TYPES, max_attempts: int = MAX_ATTEMPTS,
-                  executions: DataFrame | None = None) -> DataFrame:
+                  executions: DataFrame | None = None, carry: list[str] = ()) -> DataFrame:
     """Dispositions of a delivery stream, as in the batch `replay`.
 
-    A delivery that changes its task gives a row with the status and version after it.
+    A delivery that changes its task gives a row with the status and version after it, and with its
+    `carry` columns, such as those a dead letter needs (subject, data, error and the time).
     Deliveries without effect are counted in `n_deliveries`. Micro-batches must arrive in log
     order; inside one, `order` decides. `tasks` and `executions` are the tables as the stream
     begins: tasks that are not queued there never change, so their deliveries are settled by the
@@ -93,19 +107,19 @@ def stream_replay(deliveries: DataFrame, tasks: DataFrame, order: list[str],
     """
     known = tasks.select(F.col("id").alias("task_id"), F.col("type").alias("_type"),
                          F.col("status").alias("_status"), F.col("version").alias("_version"))
-    position = F.concat_ws("|", *[
-        F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if kind.startswith("timestamp")
-        else F.lpad(F.col(c).cast("string"), 20, "0")
-        for c, kind in deliveries.select(*order).dtypes])
+    deliveries = with_attempts(deliveries)
+    carry = list(carry)
+    kinds = {name: deliveries.schema[name].dataType.simpleString() for name in carry}
     joined = deliveries.join(known, "task_id", "left")
     settled = joined.where(F.col("_status").isNull() | (F.col("_status") != "queued")).select(
         "task_id",
         F.when(F.col("_status").isNull(), "not_found")
         .when(F.col("_status").isin(*TERMINAL_STATUSES), "terminal_noop")
         .otherwise("in_flight_noop").alias("disposition"),
-        F.col("attempt").cast("int").alias("attempt"), position.alias("position"),
+        F.col("attempt").cast("int").alias("attempt"),
         F.lit(1).cast("bigint").alias("n_deliveries"), F.col("_status").alias("status"),
-        F.col("_version").cast("int").alias("version"))
+        F.col("_version").cast("int").alias("version"), F.col("_type").alias("task_type"),
+        *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()])
     queued = joined.where(F.col("_status") == "queued")
     if executions is None:
         queued = queued.withColumn("recorded", F.lit(False))
@@ -115,8 +129,10 @@ def stream_replay(deliveries: DataFrame, tasks: DataFrame, order: list[str],
                   .withColumn("recorded", F.coalesce("recorded", F.lit(False))))
     keyed = queued.select(
         "task_id", F.col("attempt").cast("int").alias("attempt"), "outcome", "recorded",
-        position.alias("position"), F.col("_type").alias("task_type"),
-        F.col("_version").cast("int").alias("first_version"))
+        *[F.col(name).alias(f"order_{i}") for i, name in enumerate(order)], F.col("_type").alias("task_type"),
+        F.col("_version").cast("int").alias("first_version"),
+        *[F.col(name).alias(f"carried_{name}") for name in carry])
+    output = _OUTPUT.format(carried=", ".join(f"{name} {kind}" for name, kind in kinds.items())).rstrip(", ")
     advanced = keyed.groupBy("task_id").transformWithState(
-        _TaskReplay(frozenset(handlers), max_attempts), _OUTPUT, "append", "none")
+        _TaskReplay(frozenset(handlers), max_attempts, len(order), carry), output, "append", "none")
     return settled.unionByName(advanced)
