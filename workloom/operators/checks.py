@@ -6,6 +6,7 @@ from workloom.schemas import EXECUTION_STATUSES, PRIORITIES, TASK_STATUSES
 
 _TASK_REQUIRED = ("id", "type", "payload", "priority", "status", "created_at", "updated_at", "version")
 _EXECUTION_REQUIRED = ("id", "task_id", "attempt", "status", "started_at")
+_DANGLING = "foreign key task_id"
 
 
 def _broken_rules(df: DataFrame, table: str, required, value_sets: dict) -> DataFrame:
@@ -49,11 +50,29 @@ def fk_violations(tasks: DataFrame, executions: DataFrame) -> DataFrame:
 
 
 def violations(tasks: DataFrame, executions: DataFrame) -> DataFrame:
-    """All broken constraints as (table_name, rule, key_value, n_rows)."""
-    by_rule = (constraint_violations(tasks, executions)
-               .groupBy("table_name", "rule", F.col("row_id").alias("key_value"))
-               .agg(F.count(F.lit(1)).alias("n_rows")))
-    dangling = fk_violations(tasks, executions).select(
-        F.lit("task_executions").alias("table_name"), F.lit("foreign key task_id").alias("rule"),
-        F.col("task_id").alias("key_value"), "n_rows")
-    return by_rule.unionByName(unique_violations(tasks, executions)).unionByName(dangling)
+    """All broken constraints as (table_name, rule, key_value, n_rows).
+
+    One pass over each table: a row gives one entry for each rule it breaks and for each key that
+    must be unique or must be found; entries are counted per key with combining on the map side.
+    """
+    def entry(rule: str, key, least: int):
+        return F.struct(F.lit(rule).alias("rule"), key.cast("string").alias("key_value"), F.lit(least).alias("least"))
+
+    def entries(df, table, required, value_sets, keys):
+        own = F.col("id")
+        broken = [F.when(F.col(c).isNull(), entry(f"{c} not null", own, 1)) for c in required]
+        broken += [F.when(~F.col(c).isin(*allowed), entry(f"{c} check", own, 1)) for c, allowed in value_sets.items()]
+        return df.select(F.lit(table).alias("table_name"), F.explode(F.array(*broken, *keys)).alias("_e")).where("_e IS NOT NULL")
+
+    pair = F.concat_ws("/", "task_id", F.col("attempt").cast("string"))
+    counted = (
+        entries(tasks, "tasks", _TASK_REQUIRED, {"status": TASK_STATUSES, "priority": PRIORITIES},
+                [entry("primary key", F.concat_ws("/", "id"), 2)])
+        .unionAll(entries(executions, "task_executions", _EXECUTION_REQUIRED, {"status": EXECUTION_STATUSES}, [
+            entry("primary key", F.concat_ws("/", "id"), 2), entry("unique task_id attempt", pair, 2),
+            entry(_DANGLING, F.col("task_id"), 1)]))
+        .groupBy("table_name", "_e.rule", "_e.key_value", "_e.least").agg(F.count(F.lit(1)).alias("n_rows"))
+        .where("n_rows >= least")
+    )
+    known = tasks.select(F.col("id").alias("key_value"), F.lit(_DANGLING).alias("rule")).distinct()
+    return counted.join(known, ["key_value", "rule"], "left_anti").select("table_name", "rule", "key_value", "n_rows")
