@@ -20,7 +20,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b")
         near = seen.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        hooked = stash(hooked, "hooked")
         jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
         jumped = hooked.join(jump, "label", "left").select(
             "node", "old", F.least("label", F.coalesce("next", "label")).alias("label"))

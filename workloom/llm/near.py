@@ -8,10 +8,11 @@ with repeats counted and with matches in different order refused.
 1. Documents with equal word sequences are one node, named by a hash of the words.
 2. Each of `sketches` hash functions picks the `picks` least occurrence-labelled shingles of a node and keeps
    their text order. Nodes with the same ordered pick meet in a bucket.
-3. In each bucket, nodes are compared with the bucket's least node; what is linked gets one label. As long
-   as that brings new links, buckets that still hold several labels compare one node of each label with
-   that of another. So a bucket of n nodes costs about n comparisons, and copies of copies meet through
-   labels instead of pairs.
+3. In each bucket, nodes are compared with the bucket's least node; what is linked gets one label. Buckets that
+   still hold several labels are searched on: small ones pair by pair across labels, so that no link is lost
+   there; in large ones, each turn, the nodes outside the main label are compared with members that a hash picks
+   anew for each bucket. So a large bucket of n nodes costs about n comparisons a turn, and copies of copies meet
+   through labels instead of pairs.
 4. A bit-parallel banded alignment verifies each candidate. The band is as wide as the threshold needs, so
    within it the result is exact.
 
@@ -22,10 +23,11 @@ id). Repeated rows fall into one class. Ties go to the least doc_id; a class of
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from workloom.llm.frames import free_name, map_batches, text_of
 from workloom.llm.links import components
@@ -35,6 +37,10 @@ from workloom.session import stash
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES, PICKS = 16, 3
+#: Buckets of so many nodes are compared pair by pair where labels differ.
+SMALL = 64
+#: Larger buckets are searched for so many turns at least, and on as long as that brings links.
+LEAST_TURNS = 2
 
 _SEEDS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -177,24 +183,33 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _candidates(buckets: DataFrame, first: bool) -> DataFrame:
+def _candidates(buckets: DataFrame, turn: int) -> DataFrame:
     """Pairs of nodes of different labels that share a bucket.
 
-    First every node with its bucket's least one. Later one node per label and bucket, with one of the
-    bucket's least label and with one of the next label.
+    First every node with its bucket's least one. Later, in buckets of at most SMALL nodes, all pairs across
+    labels; in larger ones every node outside the label with the most nodes, with one node of that label and
+    with one of any other label, each picked by a hash that differs from bucket to bucket and turn to turn.
     """
-    if first:
-        least = (buckets.groupBy("sketch", "key").agg(F.min("node").alias("x"), F.max("node").alias("most"))
+    key = ["sketch", "key"]
+    if not turn:
+        least = (buckets.groupBy(*key).agg(F.min("node").alias("x"), F.max("node").alias("most"))
                  .where("x <> most").drop("most"))
-        return _ordered(buckets.join(least, ["sketch", "key"]).select("x", F.col("node").alias("y")))
-    of_label = buckets.groupBy("sketch", "key", "label").agg(F.min("node").alias("node"))
-    several = of_label.groupBy("sketch", "key").agg(
-        F.min(F.struct("label", "node")).alias("least"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    open_ones = of_label.join(several, ["sketch", "key"])
-    star = open_ones.select(F.col("least.node").alias("x"), F.col("node").alias("y"))
-    chain = open_ones.select(F.lag("node").over(Window.partitionBy("sketch", "key").orderBy("label")).alias("x"),
-                             F.col("node").alias("y")).where("x IS NOT NULL")
-    return _ordered(star.union(chain))
+        least = stash(least, "least")  # a plain table: a join with it can split a hot bucket
+        return _ordered(buckets.join(least, key).select("x", F.col("node").alias("y")))
+    pick = F.struct(F.xxhash64("node", "sketch", F.lit(turn)).alias("h"), "node")
+    of_label = buckets.groupBy(*key, "label").agg(F.min(pick).alias("pick"), F.count(F.lit(1)).alias("n"))
+    several = of_label.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label", "pick.node")).alias("main"),
+        F.min(F.struct(F.col("pick.h"), "label", "pick.node")).alias("other")).where("labels > 1")
+    several = stash(several, "open-buckets")
+    members = buckets.join(several, key)
+    small = members.where(f"n <= {SMALL}").select(*key, "node", "label")
+    across = small.select(*key, F.col("node").alias("x"), F.col("label").alias("x_label")).join(
+        small.select(*key, F.col("node").alias("y"), F.col("label").alias("y_label")), key).where("x_label < y_label")
+    large = members.where(f"n > {SMALL}").where(F.col("label") != F.col("main.label"))
+    star = large.select(F.col("main.node").alias("x"), F.col("node").alias("y"))
+    aside = large.where(F.col("label") != F.col("other.label")).select(F.col("other.node").alias("x"), F.col("node").alias("y"))
+    return _ordered(across.select("x", "y").unionByName(star).unionByName(aside))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
@@ -211,28 +226,32 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     nodes = read.where("node IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys"))
     buckets = stash(nodes.select("node", F.posexplode("keys").alias("sketch", "key")), "buckets")
     # Buckets of one node can't bring a pair.
-    shared = buckets.groupBy("sketch", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = stash(buckets.groupBy("sketch", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared-keys")
     buckets = stash(buckets.join(shared, ["sketch", "key"]), "shared-buckets")
     involved = buckets.select("node").distinct()
     bodies = stash(read.select("node", "text").where("node IS NOT NULL").join(involved, "node")
                    .groupBy("node").agg(F.min("text").alias("text")), "bodies")
     tested = links = labels = None
-    while True:
-        if labels is None:
-            pairs = _candidates(buckets, True)
+    for turn in count():
+        if not turn:
+            pairs = _candidates(buckets, turn)
         else:
-            named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            pairs = _candidates(named, False).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            named = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(
+                labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            pairs = stash(_candidates(stash(named, "named"), turn).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            if not pairs.limit(1).count():
+                break
         with_a = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         with_b = with_a.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         scored = stash(map_batches(with_b.select("a", "b", "text_a", "text_b"), _verifying(size, least),
                                    "a binary, b binary, score double"), "scored")
         new = scored.where(F.col("score") >= least).select("a", "b")
         tested = scored if tested is None else tested.unionByName(scored)
-        if not new.limit(1).count():
+        if new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
+        elif turn >= LEAST_TURNS:
             break
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
     wide = read.select("id", "node", F.xxhash64("text").alias("digest"))
     if labels is not None:
         wide = wide.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -240,6 +259,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
         wide = wide.withColumn("label", F.col("node"))
     named = wide.where("label IS NOT NULL").groupBy("label").agg(
         F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_class"))
+    named = stash(named, "class-ids")
     with_words = wide.where("label IS NOT NULL").join(named, "label")
     without = wide.where("label IS NULL").withColumn("class_id", F.col("id")).withColumn(
         "n_class", F.lit(1).cast("bigint"))

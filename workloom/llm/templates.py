@@ -135,6 +135,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth:
     # A document's different lines of one template are one document; rows that repeat a document are several.
     recurring = (per_doc.groupBy("template", "general").agg(F.sum(F.col("fresh") / F.col("lines")).alias("docs"), F.min(place).alias("kept"))
                  .where(F.col("docs") > min_docs - 0.5).drop("docs"))
+    recurring = stash(recurring, "recurring")  # a plain table: a join with it can split a hot template
     judged = places.join(recurring, ["template", "general"]).where(~place.eqNullSafe(F.col("kept")))
     return judged.groupBy("id", "digest").agg(F.collect_set("line_no").alias("dropped"))
 
