@@ -432,7 +432,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = stash(map_batches(keyed.where(F.octet_length("text") >= width).select("text", "k1", "k2"), _anchor_rows(width, gram),
                               f"k1 bigint, k2 bigint, at {ints}, first {ints}, last {ints}, hashes array<bigint>"), "anchors")
     each = found.select("k1", "k2", F.explode(F.arrays_zip("at", "first", "last", "hashes")).alias("x"))
-    repeated = found.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # As a plain table, so that the join with it can split an anchor that very many documents share.
+    repeated = stash(found.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+                     .where("n > 1").drop("n"), "repeated-anchors")
     marks = stash(each.select("k1", "k2", F.col("x.hashes").alias("h"), F.struct("x.at", "x.first", "x.last").alias("x"))
                   .join(repeated, "h").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("x")).alias("x"))
                   .select("k1", "k2", *[F.col("x")[c].alias(c) for c in ("at", "first", "last")]), "marks")
