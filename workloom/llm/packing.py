@@ -15,7 +15,6 @@ by salted groups; no task holds all pieces of a length. Null and empty texts are
 rows are packed each on its own. Empty tables give no pieces.
 """
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,36 +27,64 @@ from workloom.llm.words import Words, chunks
 from workloom.session import stash
 
 WINDOW, UNIT, END_ID = 4096, 64, 2
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 1_000_000
 #: Rows of one length that a task numbers at most, roughly.
 _GROUP_ROWS = 2_000_000
-_LEAST_GROUPS = 8
+_LEAST_GROUPS = 64
 
-_SPACES = b"\t\n\v\f\r "
 _BY_SPACE = np.arange(256, dtype=np.uint8)
 _BY_SPACE[0] = 9  # the value of the tab, which separates, is free for the zero byte
-_BY_SPACE[list(_SPACES)] = 0
-#: Letters whose lower case and normal form are plain, and then other signs of ASCII: cut in two by the tokenizer.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-
+_BY_SPACE[list(b"\t\n\v\f\r ")] = 0
+#: Kinds of bytes: 1 letters of ASCII and what may be part of a Latin letter of two bytes, 2 signs of ASCII, 0 others.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0xC0), 0xC3]] = 1
+_KINDS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "'<"]] = 2
 #: How byte-level vocabularies write bytes: printable ones as they are, the others in order from U+0100.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SHOWN = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+    """Pieces that the tokenizer surely cuts apart, and which of them are plain.
+
+    Pieces end at white space. A piece of only the letters A-Z, a-z and U+00C0 to U+00FF and of signs of ASCII
+    but the apostrophe and `<`, which may open a special token, is plain: it is in its normal form, its case is dropped, and its letters and its signs
+    are pieces of their own. Any other piece stays whole and as it is.
+    """
+    folded = _BY_SPACE[data]
+    pieces = Words(data, offsets, folded)
+    kinds = _KINDS[data]
+    # A lead byte 0xC3 and the byte after it are a letter together, but for the signs of times and division.
+    lead = data == 0xC3
+    follows = np.zeros(len(data), bool)
+    follows[1:] = lead[:-1]
+    high = (data >= 0x80) & (data < 0xC0)
+    odd = (kinds == 0) | (high & ~follows) | (follows & ((data == 0x97) | (data == 0xB7)))
+    total = np.concatenate([[0], np.cumsum(odd & (folded != 0))])
+    plain = total[pieces.ends] == total[pieces.starts]
+    change = np.zeros(len(data) + 1, np.int8)
+    change[pieces.starts[plain]] += 1
+    change[pieces.ends[plain]] -= 1
+    inside = np.cumsum(change[:-1]).astype(bool)
+    capital = inside & (data >= ord("A")) & (data <= ord("Z"))
+    accented = inside & follows & (data >= 0x80) & (data <= 0x9E)
+    folded = folded + (capital | accented) * np.uint8(32)
+    cuts = np.zeros(len(data), bool)
+    cuts[1:] = inside[1:] & (kinds[1:] != kinds[:-1])
+    words = Words(data, offsets, folded, cuts)
+    return words, inside[words.starts]
+
+
 class Encoder:
-    """Encodes texts piece by piece between white space, where this tokenizer's tokens always end, and remembers pieces.
+    """Encodes texts piece by piece and remembers the ids of pieces by their hash.
 
-    That holds for tokenizers that drop white space before they split. `plain` says that letters and
-    signs are split too, that case is dropped and that the vocabulary is of bytes; then both parts of a
-    plain piece go to the merges for themselves.
+    For tokenizers of bytes that drop white space and case and split letters from signs, as `segments` needs.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, plain: bool = True):
+    def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.plain = Tokenizer.from_file(path), end_id, plain
-        self.parts: dict[str, list[int]] = {"": []}
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self._clear()
 
     def _clear(self) -> None:
@@ -65,44 +92,39 @@ class Encoder:
         self.pool = np.zeros(1 << 20, np.uint32)
         self.bounds = np.zeros(1 << 18, np.int64)
 
-    def _direct(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _part(self, text: str) -> list[int]:
-        ids = self.parts.get(text)
-        if ids is None:
-            if len(self.parts) > _CACHE_WORDS:
-                self.parts = {"": []}
-            shown = text.encode().decode("latin-1").translate(_SHOWN)
-            ids = self.parts[text] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return ids
-
-    def _learn(self, key: int, piece: bytes) -> None:
-        text = piece.decode("utf-8")
-        match = _PLAIN.fullmatch(text) if self.plain else None
-        ids = self._part(match[1].lower()) + self._part(match[2]) if match else self._direct(text)
+    def _ids(self, piece: bytes, plain: bool) -> list[int]:
+        if plain:  # normalised and split already: only the merges are left to do
+            shown = piece.decode("latin-1")
+            return [t.id for t in self.tokenizer.model.tokenize(shown if piece.isascii() else shown.translate(_SHOWN))]
+        return self.tokenizer.encode(piece.decode("utf-8"), add_special_tokens=False).ids
+
+    def _learn(self, keys: list[int], found: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
         slot = len(self.slots)
-        end = self.bounds[slot] + len(ids)
-        if end > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-        if slot + 2 > len(self.bounds):
-            self.bounds = np.concatenate([self.bounds, np.zeros(len(self.bounds), np.int64)])
-        self.pool[self.bounds[slot]:end] = ids
-        self.bounds[slot + 1] = end
-        self.slots[key] = slot
+        end = self.bounds[slot] + int(sizes.sum())
+        while end > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while slot + len(found) >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        self.pool[self.bounds[slot]:end] = [x for ids in found for x in ids]
+        self.bounds[slot + 1:slot + 1 + len(found)] = self.bounds[slot] + np.cumsum(sizes)
+        self.slots.update(zip(keys, range(slot, slot + len(found))))
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, the end id last."""
         for _, data, offsets in chunks(column):
-            words = Words(data, offsets, _BY_SPACE)
+            words, plain = segments(data, offsets)
             unique, first, where = np.unique(words.hashes, return_index=True, return_inverse=True)
             if len(self.slots) + len(unique) > _CACHE_WORDS:
                 self._clear()
             slots = np.array([self.slots.get(h, -1) for h in unique.tolist()], np.int64)
-            for j in np.flatnonzero(slots < 0).tolist():
-                i = first[j]
-                self._learn(int(unique[j]), data[words.starts[i]:words.ends[i]].tobytes())
-                slots[j] = len(self.slots) - 1
+            new = np.flatnonzero(slots < 0)
+            at = first[new]
+            body, raw = words.folded.tobytes(), data.tobytes()
+            found = [self._ids((body if p else raw)[a:b], p)
+                     for a, b, p in zip(words.starts[at].tolist(), words.ends[at].tolist(), plain[at].tolist())]
+            slots[new] = len(self.slots) + np.arange(len(new))
+            self._learn(unique[new].tolist(), found)
             slot = slots[where]
             begin = self.bounds[slot]
             sizes = self.bounds[slot + 1] - begin
@@ -132,12 +154,12 @@ def cuts_of(n: int, window: int = WINDOW, unit: int = UNIT) -> list[int]:
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
-           unit: int = UNIT, end_id: int = END_ID, with_ids: bool = False, plain: bool = True) -> DataFrame:
+           unit: int = UNIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, and the ids themselves if asked for."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path, end_id, plain)
+        encoder = encoder_of(path, end_id)
         for batch in batches:
             rows: list[tuple] = []
             for doc, ids in enumerate(encoder.encode(batch.column(1))):

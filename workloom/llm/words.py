@@ -66,19 +66,24 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 class Words:
     """The words of some texts: `starts` and `ends` in `folded`, `hashes`, and `first`, each text's first word.
 
-    `fold` gives each byte's value in a word, 0 for the bytes that separate words.
+    `folded` may be given: each byte's value in a word, 0 for the bytes that separate words. A word also
+    begins wherever `cuts` is true.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _FOLD):
-        self.folded = fold[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, folded: np.ndarray | None = None,
+                 cuts: np.ndarray | None = None):
+        self.folded = _FOLD[data] if folded is None else folded
         inside = self.folded != 0
         begins, stops = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         stops[:-1] &= ~inside[1:]
-        cuts = offsets[offsets < len(data)]
-        begins[cuts] = inside[cuts]
-        cuts = offsets[offsets > 0] - 1
-        stops[cuts] = inside[cuts]
+        first = offsets[offsets < len(data)]
+        begins[first] = inside[first]
+        last = offsets[offsets > 0] - 1
+        stops[last] = inside[last]
+        if cuts is not None:
+            begins |= cuts & inside
+            stops[:-1] |= begins[1:] & inside[:-1]
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.starts, offsets)
         powers, inverses = _power_tables(len(data))
