@@ -110,6 +110,29 @@ def test_near_copies(spark):
     assert near.classes(docs.limit(0)).count() == 0
 
 
+def test_near_copies_in_large_buckets(spark):
+    form, tails = prose(200), [prose(25) for _ in range(300)]
+    texts = [f"{form} {t}" for t in tails] + [f"{form} {' '.join(t.split(' ')[:2])} {prose(23)}" for t in tails[:60]]
+    rows: list[np.ndarray] = []
+    for _, data, offsets in chunks(pa.array(texts, pa.string())):
+        rows += near.shingles(Words(data, offsets))
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if near.similarity(rows[i], rows[j]) >= .8:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert 200 < len({root(d) for d in range(len(texts))}) < 310
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.id: r.class_id for r in near.classes(docs).collect()} == {d: root(d) for d in range(len(texts))}
+
+
 def test_line_templates(spark):
     common = "All rights reserved by the owner"
     texts = [f"{prose(8)}\nUser {i} logged in from host 10.0.0.{i}\n{common}\nok then\n{prose(9)}" for i in range(6)]

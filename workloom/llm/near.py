@@ -13,7 +13,10 @@ with repeats counted and with matches in different order refused.
    there; in large ones, each turn, the nodes outside the main label are compared with members that a hash picks
    anew for each bucket. So a large bucket of n nodes costs about n comparisons a turn, and copies of copies meet
    through labels instead of pairs.
-4. A bit-parallel banded alignment verifies each candidate. The band is as wide as the threshold needs, so
+4. The members of large buckets that then still hold several labels are joined on their rarest shingles by an
+   exact prefix filter: sequences that align well enough share one of them. Every pair across labels that the
+   filter leaves is verified, so that no link is lost in large buckets either.
+5. A bit-parallel banded alignment verifies each candidate. The band is as wide as the threshold needs, so
    within it the result is exact.
 
 All decisions read whole texts. Null and empty texts, and texts without any word, form one class per kind
@@ -39,7 +42,7 @@ SIMILARITY = 0.8
 SKETCHES, PICKS = 16, 3
 #: Buckets of so many nodes are compared pair by pair where labels differ.
 SMALL = 64
-#: Larger buckets are searched for so many turns at least, and on as long as that brings links.
+#: Larger buckets are searched for so many turns at least, and on as long as that brings links; then exactly.
 LEAST_TURNS = 2
 
 _SEEDS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -179,6 +182,17 @@ def _verifying(size: int, least: float):
     return work
 
 
+def _shingling(size: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offsets in chunks(batch.column(2)):
+                rows = [_labelled(own).view(np.int64) for own in shingles(Words(data, offsets), size)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, len(rows)), batch.column(1).slice(row, len(rows)),
+                     pa.array(rows, pa.list_(pa.int64()))], names=["node", "label", "shingles"])
+    return work
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -212,6 +226,35 @@ def _candidates(buckets: DataFrame, turn: int) -> DataFrame:
     return _ordered(across.select("x", "y").unionByName(star).unionByName(aside))
 
 
+def _rest(members: DataFrame, bodies: DataFrame, size: int, least: float) -> DataFrame:
+    """All pairs of `members` (node, label) of different labels that may be alike.
+
+    With shingles in one order, rarest first, a pair with `need` common ones has its first common one where both
+    sides have at least `need` left. The label with most holders of a shingle doesn't meet itself.
+    """
+    texts = members.join(bodies, "node").select("node", "label", "text")
+    found = stash(map_batches(texts, _shingling(size), "node binary, label binary, shingles array<bigint>"), "rest")
+    held = stash(found.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
+                 .where("held > 1"), "shingle-counts")
+    each = found.select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    ranked = each.join(held, "shingle").groupBy("node", "label", "n").agg(
+        F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("common"))
+    # What no other node holds comes first in the order, so the common ones are its end.
+    prefix = ranked.select("node", "label", "n", F.size("common").alias("m"), F.posexplode("common").alias("place", "x")).select(
+        "node", "label", "n", (F.col("m") - F.col("place")).alias("left"), F.col("x.shingle").alias("shingle"))
+    prefix = stash(prefix.where(F.col("left") >= F.ceil(least * F.col("n") - 1e-6)), "prefixes")
+    of_label = prefix.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = stash(of_label.groupBy("shingle").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"))
+                  .where("labels > 1").select("shingle", F.col("most.label").alias("main")), "mixed-shingles")
+    met = prefix.join(mixed, "shingle")
+    x, y = (stash(rows.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "label", "n", "left")], *more), f"rest-{side}")
+            for side, rows, more in (("x", met.where("label <> main"), ["main"]), ("y", met, [])))
+    need = F.ceil(least / (1 + least) * (F.col("x_n") + F.col("y_n")) - 1e-6)
+    pairs = x.join(y, "shingle").where(
+        F.expr("x_label <> y_label AND (y_label = main OR x_label < y_label)") & (F.least("x_left", "y_left") >= need))
+    return _ordered(pairs.select(F.col("x_node").alias("x"), F.col("y_node").alias("y")))
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
             least: float = SIMILARITY, sketches: int = SKETCHES, picks: int = PICKS) -> DataFrame:
     """One row per row of `docs`: id, digest (a hash of the text), node and label (of the words and of the
@@ -232,19 +275,26 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     bodies = stash(read.select("node", "text").where("node IS NOT NULL").join(involved, "node")
                    .groupBy("node").agg(F.min("text").alias("text")), "bodies")
     tested = links = labels = None
-    for turn in count():
-        if not turn:
-            pairs = _candidates(buckets, turn)
-        else:
-            named = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(
-                labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            pairs = stash(_candidates(stash(named, "named"), turn).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-            if not pairs.limit(1).count():
-                break
+
+    def labelled() -> DataFrame:
+        named = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(
+            labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return stash(named, "named")
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        return stash(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+
+    def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         with_b = with_a.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        scored = stash(map_batches(with_b.select("a", "b", "text_a", "text_b"), _verifying(size, least),
-                                   "a binary, b binary, score double"), "scored")
+        return stash(map_batches(with_b.select("a", "b", "text_a", "text_b"), _verifying(size, least),
+                                 "a binary, b binary, score double"), "scored")
+
+    for turn in count():
+        pairs = untested(_candidates(labelled(), turn)) if turn else _candidates(buckets, turn)
+        if turn and not pairs.limit(1).count():
+            break
+        scored = verified(pairs)
         new = scored.where(F.col("score") >= least).select("a", "b")
         tested = scored if tested is None else tested.unionByName(scored)
         if new.limit(1).count():
@@ -252,6 +302,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
             labels = components(links)
         elif turn >= LEAST_TURNS:
             break
+    named = labelled()
+    large = named.groupBy("sketch", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    large = stash(large.where(f"n > {SMALL} AND low <> high").select("sketch", "key"), "large-buckets")
+    if large.limit(1).count():
+        members = named.join(large, ["sketch", "key"]).select("node", "label").distinct()
+        pairs = untested(_rest(members, bodies, size, least))
+        new = verified(pairs).where(F.col("score") >= least).select("a", "b")
+        if new.limit(1).count():
+            labels = components(new if links is None else links.unionByName(new))
     wide = read.select("id", "node", F.xxhash64("text").alias("digest"))
     if labels is not None:
         wide = wide.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
