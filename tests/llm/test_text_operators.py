@@ -151,6 +151,14 @@ def test_line_templates(spark):
     assert [r.text for r in templates.drop_repeated_lines(null_ids).collect()] == [common] * 3
 
 
+def test_lines_of_two_documents_and_of_few_tokens(spark):
+    passage, link = prose(60), "https://example.org/a/"
+    texts = [f"{prose(9)}\n{passage}", f"{passage}\n{prose(9)}", "Terms & Conditions\n版权所有，未经许可不得转载本文内容", "版权所有，未经许可不得转载本文内容\nTerms & Conditions",
+             f"{link}1\n2026年12月1日的会议记录", f"{link}2\n2026年12月2日的会议记录", "12 345 67890 1234", "98 765 43210 9876"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.id: sorted(r.dropped) for r in templates.repeats(docs).collect()} == {1: [0], 3: [0, 1]}
+
+
 def test_loser_tree():
     runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(30))) for _ in range(7)]
 

@@ -1,6 +1,7 @@
 """Line dedup by a tree of log templates: fixed-depth parsing by token count and leading tokens.
 
-A line is cut at white space. A token with a digit is a variable field, `<*>`. The line's leaf is its number
+A line is cut at white space. A token with a digit is a variable field, `<*>`, unless fewer than `min_chars`
+characters of the line would stay: such a line counts by its own words. The line's leaf is its number
 of tokens and its `depth` leading tokens. In a leaf, a place is constant if one token holds it in at least
 `constant` of the leaf's different lines; if so many places are constant, the leaf is one template, in which
 the others are variable fields, and the lines that agree with it belong to it. Every other line, and
@@ -8,7 +9,7 @@ every line of a mixed leaf, is a template of its own.
 
 A template recurs if its lines stand in at least `min_docs` documents. Of a recurring template's lines the
 first one stays (least doc_id, then least hash of the text, then line), all others are dropped. Lines of fewer
-than `min_tokens` tokens are never dropped, as short lines recur by chance.
+than `min_chars` characters besides white space are never dropped, as short lines recur by chance.
 
 Lines are counted by hashes before anything else, so a line that very many documents share costs a row per
 task. Null and empty texts stay as they are. Rows that repeat id and text count as documents, and keep the
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from workloom.llm.frames import free_name, map_batches, text_of
 from workloom.session import stash
 
-DEPTH, CONSTANT, MIN_DOCS, MIN_TOKENS = 4, 0.6, 3, 4
+DEPTH, CONSTANT, MIN_DOCS, MIN_CHARS = 4, 0.6, 2, 10
 VARIABLE = "<*>"
 #: So many leaves are sent to every task; more are joined by shuffle, with the same result.
 _BROADCAST_LEAVES = 500_000
@@ -36,14 +37,17 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
 
 
-def parse(line: str) -> list[str]:
+def parse(line: str, min_chars: int = MIN_CHARS) -> list[str]:
+    """The line's tokens; none if it has fewer than `min_chars` characters."""
     tokens = line.split()
-    if _DIGIT.search(line):
+    if sum(map(len, tokens)) < min_chars:
+        return []
+    if _DIGIT.search(line) and sum(len(t) for t in tokens if not _DIGIT.search(t)) >= min_chars:
         tokens = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
     return tokens
 
 
-def _parsing(depth: int, min_tokens: int):
+def _parsing(depth: int, min_chars: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, leaves, lines, texts, numbers, fresh = [], [], [], [], [], []
@@ -63,8 +67,8 @@ def _parsing(depth: int, min_tokens: int):
             for row, text in enumerate(batch.column(2)):
                 seen = set()
                 for number, line in enumerate(text.as_py().split("\n")):
-                    tokens = parse(line)
-                    if len(tokens) < min_tokens:
+                    tokens = parse(line, min_chars)
+                    if not tokens:
                         continue
                     masked = " ".join(tokens)
                     key = _hash(masked)
@@ -85,12 +89,12 @@ def _parsing(depth: int, min_tokens: int):
 
 
 def parsed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH,
-                 min_tokens: int = MIN_TOKENS) -> DataFrame:
+                 min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per line that may be dropped: id, digest (a hash of the text), line_no, leaf and line (hashes),
     fresh (1 for a line's first place in its document) and the masked line."""
     kind = docs.schema[doc_id].dataType.simpleString()
     body = docs.select(docs[doc_id].alias("id"), F.xxhash64(text_of(docs, text)).alias("digest"), text_of(docs, text))
-    return map_batches(body, _parsing(depth, min_tokens),
+    return map_batches(body, _parsing(depth, min_chars),
                        f"id {kind}, digest bigint, line_no int, leaf bigint, line bigint, fresh int, masked string")
 
 
@@ -123,9 +127,9 @@ def templates(lines: DataFrame, constant: float = CONSTANT, min_docs: int = MIN_
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, constant: float = CONSTANT,
-            min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
+            min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, digest, dropped): the numbers of the lines to drop from each document that has any."""
-    lines = stash(parsed_lines(docs, doc_id, text, depth, min_tokens), "lines")
+    lines = stash(parsed_lines(docs, doc_id, text, depth, min_chars), "lines")
     named = templates(lines, constant, min_docs).select("leaf", "line", "template", F.col("pattern").isNotNull().alias("general"))
     places = stash(lines.drop("masked").join(named, ["leaf", "line"]), "places")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "digest", "line_no")
