@@ -159,6 +159,16 @@ def test_lines_of_two_documents_and_of_few_tokens(spark):
     assert {r.id: sorted(r.dropped) for r in templates.repeats(docs).collect()} == {1: [0], 3: [0, 1]}
 
 
+def test_templates_of_a_mixed_leaf(spark):
+    lead = "This page was last"
+    texts = [f"{lead} edited by {word()}{chr(97 + i)} z on a quiet day in spring" for i in range(6)]
+    texts += [f"{lead} seen from the {word()}{chr(97 + i)} station near our old town hall" for i in range(6)]
+    texts += [f"{lead} {' '.join(f'{word()}{chr(97 + i % 26)}{chr(97 + i // 26)}{j}' for j in 'pqrstuvwxy')}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len({len(t.split()) for t in texts}) == 1
+    assert {r.id for r in templates.repeats(docs).collect()} == {*range(1, 6), *range(7, 12)}
+
+
 def test_loser_tree():
     runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(30))) for _ in range(7)]
 

@@ -4,8 +4,10 @@ A line is cut at white space. A token with a digit is a variable field, `<*>`, u
 characters of the line would stay: such a line counts by its own words. The line's leaf is its number
 of tokens and its `depth` leading tokens. In a leaf, a place is constant if one token holds it in at least
 `constant` of the leaf's different lines; if so many places are constant, the leaf is one template, in which
-the others are variable fields, and the lines that agree with it belong to it. Every other line, and
-every line of a mixed leaf, is a template of its own.
+the others are variable fields, and the lines that agree with it belong to it. The other lines of a leaf are grouped
+by what they share: for each power of two, a line's pattern holds the tokens that at least so many of the leaf's different
+lines have at their places. Of the patterns with so many constant places that two or more of these lines have, a line
+belongs to the one with the fewest; without any, it is a template of its own.
 
 A template recurs if its lines stand in at least `min_docs` documents. Of a recurring template's lines the
 first one stays (least doc_id, then least hash of the text, then line), all others are dropped. Lines of fewer
@@ -121,6 +123,25 @@ def templates(lines: DataFrame, constant: float = CONSTANT, min_docs: int = MIN_
                .where(F.forall(F.arrays_zip("tokens", "pattern"),
                                lambda x: (x["pattern"] == VARIABLE) | (x["pattern"] == x["tokens"])))
                .select("leaf", "line", F.col("leaf").alias("template"), F.array_join("pattern", " ").alias("pattern")))
+    general = stash(general, "leaf-templates")
+    rest = split.join(general.select("leaf", "line"), ["leaf", "line"], "left_anti")
+    placed = rest.select("leaf", "line", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
+    often = stash(placed.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "often")
+    # A token counts at all powers of two up to the lines that hold it. As a plain table, so that a join can split a hot leaf.
+    shared = placed.join(often, ["leaf", "place", "token"]).groupBy("leaf", "line", "n").agg(F.sort_array(F.collect_list(
+        F.struct("place", "token", F.floor(F.log2("held")).cast("int").alias("power")))).alias("held"))
+    levels = shared.select("leaf", "line", "n", "held", F.explode(F.array_distinct("held.power")).alias("level"))
+    fixed = F.map_from_entries(F.transform(F.filter("held", lambda x: x["power"] >= F.col("level")), lambda x: F.struct(x["place"], x["token"])))
+    signed = levels.withColumn("fixed", fixed).where(F.size("fixed") >= constant * F.col("n")).select(
+        "leaf", "line", "level", F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(
+            F.element_at("fixed", i), F.lit(VARIABLE))), " ").alias("pattern"))
+    signed = stash(signed.withColumn("template", F.xxhash64("leaf", "pattern")), "signatures")
+    several = stash(signed.groupBy("leaf", "template").agg(F.min("line").alias("low"), F.max("line").alias("high"))
+                    .where("low <> high").select("leaf", "template"), "several-lines")
+    grouped = (signed.join(several, ["leaf", "template"]).groupBy("leaf", "line")
+               .agg(F.max(F.struct("level", "template", "pattern")).alias("best"))
+               .select("leaf", "line", "best.template", "best.pattern"))
+    general = general.unionByName(stash(grouped, "grouped-lines"))
     alone = counted.where(f"docs >= {min_docs}").join(general.select("leaf", "line"), ["leaf", "line"], "left_anti")
     return general.unionByName(alone.select("leaf", "line", F.col("line").alias("template"),
                                             F.lit(None).cast("string").alias("pattern")))
