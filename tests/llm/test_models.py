@@ -45,6 +45,15 @@ def test_automata_meet_the_trie():
         assert toxicity.match(trie, w, False) == max(exact, default=0)
 
 
+def test_all_terms_are_met_with_edits_and_in_marks():
+    terms = {"".join(rng.choice("klmnoprst") for _ in range(9)): 8.0 - i / 100 for i in range(400)}
+    lexicon = toxicity.Lexicon({**terms, "дурак": 3.0}, {"проклят": 4.0})
+    texts = [f"{t[:4]}x{t[4:]}" for t in terms] + ["“дурак”", "«дурак", "„дуракк“", "„проклятый", "»проклятые«", "дура"]
+    for text in texts:
+        for _, data, offsets in toxicity.chunks(pa.array([text], pa.string())):
+            assert lexicon.weights(toxicity.Words(data, offsets))[1].tolist(), text
+
+
 def test_quotation_counts_less():
     lexicon = toxicity.Lexicon({"idiot": 5.0, "scum": 5.0}, {})
     x = toxicity.features(lexicon, pa.array(["you idiot", 'he said "you idiot" to him', "he said “you idiot” to him", "you idioot", None, ""], pa.string()))

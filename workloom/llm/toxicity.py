@@ -5,8 +5,8 @@ lexicon is words, and stems of several words, that are far commoner in toxic tha
 curve over what a lexicon finds is fitted on one half of the rows with the lexicon of the other half, so that
 it sees a lexicon's errors; scoring uses this curve with the lexicon of all training rows.
 
-Matching: a word is in the lexicon, begins with a stem, or is one edit away from one of the `fuzzy_terms`
-strongest terms of five letters or more. The automaton of a word runs over the trie, all terms at once.
+Matching: a word is in the lexicon, begins with a stem, or is one edit away from a term of five letters
+or more. The automaton of a word runs over the trie, all terms at once.
 Hits add up in windows of `2 * REACH + 1` words; a hit between quotation marks counts less, as quotation
 reports abuse more often than it is abuse.
 
@@ -27,7 +27,6 @@ from workloom.llm.words import Words, chunks
 
 MAX_TRAIN = 20_000
 MAX_TERMS = 4_000
-FUZZY_TERMS = 200
 LEAST_FUZZY = 5
 REACH = 20
 #: How much of a hit's weight is left for a hit by one edit, and for one in quotation.
@@ -36,6 +35,7 @@ THRESHOLD = 0.7
 STEMS = range(4, 9)
 #: Signs beyond ASCII count as parts of words; these are taken off before matching.
 _MARKS = "“”„‘’‚«»‹›…–—"
+_MARK_BYTES = np.array([m.encode() for m in _MARKS], "S3")
 _CACHE_WORDS = 1_000_000
 
 
@@ -89,18 +89,19 @@ def match(trie: Trie, word: str, fuzzy: bool = True) -> float:
 class Lexicon:
     """Finds the words of many texts that meet the terms; remembers words by their hash."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy_terms: int = FUZZY_TERMS):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
         self.exact, self.near = Trie(), Trie()
         for term, weight in terms.items():
             self.exact.add(term, weight)
         for stem, weight in stems.items():
             self.exact.add(stem, weight, True)
-        strongest = sorted((t for t in terms if len(t) >= LEAST_FUZZY), key=lambda t: (-terms[t], t))[:fuzzy_terms]
-        for term in strongest:
+        fuzzy = [t for t in terms if len(t) >= LEAST_FUZZY]
+        for term in fuzzy:
             self.near.add(term, terms[term])
         self.heads = np.array(sorted({s.encode()[:3] for s in [*stems, *terms]}), "S3")
-        self.sizes = np.array([len(t.encode()) for t in strongest], np.int64)
-        self.letters = np.array([_letters(np.frombuffer(t.encode(), np.uint8)) for t in strongest], np.uint64)
+        forms = sorted({(len(t.encode()), int(_letters(np.frombuffer(t.encode(), np.uint8)))) for t in fuzzy})
+        self.sizes = np.array([n for n, _ in forms], np.int64)
+        self.letters = np.array([x for _, x in forms], np.uint64)
         self.known: dict[int, float] = {}
 
     def weights(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +116,13 @@ class Lexicon:
         starts, sizes = words.starts[at], words.ends[at] - words.starts[at]
         padded = np.concatenate([words.folded, np.zeros(3, np.uint8)])
         heads = np.stack([np.where(sizes > k, padded[starts + k], 0) for k in range(3)], 1).astype(np.uint8)
+        tails = np.stack([padded[words.ends[at] - k] for k in (3, 2, 1)], 1)
+        # The filters below see marks as letters, so words with marks at either end all pass.
         may = np.isin(np.ascontiguousarray(heads).view("S3").ravel(), self.heads)
+        for three in (heads, tails):
+            may |= np.isin(np.ascontiguousarray(three).view("S3").ravel(), _MARK_BYTES)
+        for two in (heads[:, :2], tails[:, 1:]):
+            may |= np.isin(np.ascontiguousarray(two).view("S2").ravel(), _MARK_BYTES)
         if len(self.letters) and len(new):
             bits = _letters(words.folded, words.starts, words.ends)[at]
             for size, mask in zip(self.sizes, self.letters):
@@ -213,10 +220,10 @@ def _lexicon(sample: DataFrame, max_terms: int) -> tuple[dict[str, float], dict[
              .where("stem IS NOT NULL").groupBy("stem")
              .agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"))
              .where(f"n >= 3 AND t >= {2 * least + 1} AND t >= 20 * c").withColumn("w", weight(F.col("t"), F.col("c")))
-             .where("w >= 2.5").orderBy("stem").limit(max_terms).collect())
+             .where("w >= 2.5").orderBy(F.desc("w"), F.desc("t"), "stem").limit(max_terms).collect())
     words.unpersist()
     kept: dict[str, float] = {}
-    for r in stems:  # in order, so a stem comes before its own extensions
+    for r in sorted(stems, key=lambda r: r.stem):  # in order, so a stem comes before its own extensions
         if not any(r.stem[:k] in kept for k in STEMS if k < len(r.stem)):
             kept[r.stem] = min(float(r.w), 8.0)
     return {r.word: min(float(r.w), 8.0) for r in terms}, kept
