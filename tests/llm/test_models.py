@@ -182,6 +182,14 @@ def test_trust_spreads_along_links_and_distrust_against_them(spark):
     assert got["fan.com"].verdict == "block" and got["friend.com"].verdict == got["alone.com"].verdict == "allow"
 
 
+def test_all_linkers_of_a_blocked_host_are_blocked(spark):
+    links = {f"fan{i}.com": ["bad.net"] for i in range(300)} | {"half.com": ["bad.net", "other.com"], "bad.net": [], "other.com": []}
+    rows = [(h, f"http://{h}/", "".join(f'<a href="http://{t}">t</a>' for t in to)) for h, to in links.items()]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r.page_id: r.judged.verdict for r in urls.judge(pages).collect()}
+    assert got == {h: "block" if h == "bad.net" or h.startswith("fan") else "allow" for h in links}
+
+
 def test_nearest(spark):
     g = np.random.default_rng(3)
     centres = g.standard_normal((20, 24))

@@ -3,8 +3,10 @@
 Rules name a host, with all its subdomains, and the beginning of a path; the longest rule that fits decides.
 Every other url is judged by its host. A host is a seed of trust by the share of its urls that rules allow,
 and personalised PageRank carries trust along links. It is a seed of distrust by the share that rules
-block, and the same walk carries distrust against the links: who links to a bad host is suspect. A host is
-blocked if its distrust exceeds its trust by more than `most`; a host that neither reaches is allowed.
+block, and the same walk carries distrust against the links: who links to a bad host is suspect. These ranks split
+over all neighbours of a host, so they shrink or grow with the graph. The verdict therefore takes two averages
+between 0 and 1 from the same walk: how bad the hosts are that a host links to, and how good those that link to it, by
+weight. A host is blocked if the first exceeds the second by more than `most`; a host that neither reaches is allowed.
 
 Links are counted per pair of hosts before anything else, so a host with very many pages or links costs each
 task a row per pair. Ranks are Spark tables, written to the shared folder in each round. Links within a host
@@ -16,7 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from workloom.session import stash
 
-DAMPING, ROUNDS, CLOSE, MOST = 0.85, 20, 1e-9, 0.5
+#: In so many rounds the walk comes as close as CLOSE at this damping, as 0.85 ** 200 < 1e-14.
+DAMPING, ROUNDS, CLOSE, MOST = 0.85, 200, 1e-9, 0.5
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -55,11 +58,17 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
     """(kind, host, rank): personalised PageRank over edges (kind, src, dst, weight) from seeds (kind, host, share).
 
-    A seed that nobody links to has its share as rank. Ends when the ranks change by less than `close` in all, or after `rounds`.
+    A seed that nobody links to has its share as rank. Kinds that end in `_mean` take in the average of what their
+    edges bring, for the part that is no seed, and stay between 0 and 1. Ends when the ranks change by less than
+    `close` of their sum, or after `rounds`.
     """
-    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
-    edges = stash(edges.join(out, ["kind", "src"]).select(
-        "kind", F.col("src").alias("host"), "dst", (damping * F.col("weight") / F.col("out")).alias("flow")), "edges")
+    mean = F.col("kind").endswith("_mean")
+    out = edges.groupBy("kind", F.when(mean, F.col("dst")).otherwise(F.col("src")).alias("end")).agg(F.sum("weight").alias("out"))
+    ended = edges.withColumn("end", F.when(mean, F.col("dst")).otherwise(F.col("src"))).join(stash(out, "edge-sums"), ["kind", "end"])
+    own = seeds.select("kind", F.col("host").alias("dst"), "share")
+    edges = stash(ended.join(own, ["kind", "dst"], "left").select(
+        "kind", F.col("src").alias("host"), "dst", (damping * F.col("weight") / F.col("out") * F.when(
+            mean, 1 - F.coalesce("share", F.lit(0.0))).otherwise(1.0)).alias("flow")), "edges")
     restart = stash(seeds.select("kind", "host", F.col("share").alias("rank")), "restart")
     ranks = restart
     for _ in range(rounds):
@@ -67,8 +76,9 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
         new = stash(restart.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks")
         change = (new.withColumn("rank", -F.col("rank")).unionByName(ranks).groupBy("kind", "host").agg(F.sum("rank").alias("d"))
                   .agg(F.sum(F.abs("d"))).first()[0])
+        total = new.agg(F.sum("rank")).first()[0]
         ranks = new
-        if (change or 0) < close:
+        if (change or 0) <= close * (total or 0):
             break
     return ranks
 
@@ -85,16 +95,19 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url: str
     ruled = bare.withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules))
     share = {k: F.avg(F.when(F.col("ruled.verdict") == v, 1.0).otherwise(0.0)) for k, v in (("trust", "allow"), ("distrust", "block"))}
     hosts = stash(ruled.groupBy("host").agg(*[c.alias(k) for k, c in share.items()]), "seeds")
-    seeds = (hosts.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "share"))
+    seeds = (hosts.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust",
+                                                               F.lit("trust_mean"), "trust", F.lit("distrust_mean"), "distrust")).alias("kind", "share"))
              .where("share > 0 AND host <> ''"))
     edges = stash(host_edges(pages, url, html), "host-edges")
     both = edges.withColumn("kind", F.lit("trust")).unionByName(edges.select(
         F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit("distrust").alias("kind")))
+    both = both.unionByName(both.withColumn("kind", F.concat("kind", F.lit("_mean"))))
     ranks = spread(both, seeds, **walk).groupBy("host").agg(
-        *[F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
+        *[F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k)
+          for k in ("trust", "distrust", "trust_mean", "distrust_mean")])
     joined = ruled.join(ranks, "host", "left")
-    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    verdict = F.coalesce(F.col("ruled.verdict"), F.when(distrust - trust > most, "block").otherwise("allow"))
+    trust, distrust, good, bad = (F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust", "trust_mean", "distrust_mean"))
+    verdict = F.coalesce(F.col("ruled.verdict"), F.when(bad - good > most, "block").otherwise("allow"))
     return joined.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], F.struct(
         "host", "path", F.col("ruled.rule").alias("rule"), verdict.alias("verdict"), trust.alias("trust"),
         distrust.alias("distrust")).alias("judged"))
