@@ -98,6 +98,13 @@ def test_quality_shrinks_sparse_sites(spark):
     assert [r.quality for r in none] == [pytest.approx(.5)]
 
 
+def test_quality_counts_all_labels_unless_held_out(spark):
+    docs = spark.createDataFrame([(i, "some words here", f"h{i % 2}", "p") for i in range(200)], "doc_id long, text string, site string, path string")
+    held = docs.where(toxicity.held_out(F.col("doc_id"))).select("doc_id", (F.col("site") == "h0").cast("int").alias("quality"))
+    rates = [{r.host: r.host_rate for r in quality.score(docs, held, F.col("site"), F.col("path"), holding_out=x).collect()} for x in (False, True)]
+    assert rates[0]["h0"] > .8 > .2 > rates[0]["h1"] and rates[1] == {"h0": .5, "h1": .5}
+
+
 def plain_article(page):
     inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
     blocks = (" ".join(decoder.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner))

@@ -8,7 +8,7 @@
 3. log-odds of the score = log-odds of the document + log-odds of the path - log-odds of the global rate.
 
 Hosts and paths are tables that Spark joins; nothing is collected but the bounded sample and a few sums.
-Rows that are held out (see `toxicity.held_out`) are neither fitted nor counted. Null hosts and paths are groups
+Rows that are held out (see `toxicity.held_out`) are left out only if asked for. Null hosts and paths are groups
 of their own. Null and empty texts have all features zero. Without labels every score is one half.
 """
 
@@ -93,12 +93,15 @@ def _strength(groups: DataFrame, prior: str) -> float:
 
 
 def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, doc_id: str = "doc_id", text: str = "text",
-          max_train: int = MAX_TRAIN) -> DataFrame:
-    """One row per row of `docs`: id, host, path, evidence, host_rate, path_rate and quality, all 0 to 1. Fits when called."""
+          max_train: int = MAX_TRAIN, holding_out: bool = False) -> DataFrame:
+    """One row per row of `docs`: id, host, path, evidence, host_rate, path_rate and quality, all 0 to 1. Fits when called.
+
+    With `holding_out`, the labels of held-out rows are not used, so that they can measure the scores.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
     sites = docs.select(docs[doc_id].alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"))
     marks = (labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("good"))
-             .where("id IS NOT NULL AND good IN (0, 1)").where(~held_out(F.col("id")))
+             .where("id IS NOT NULL AND good IN (0, 1)").where(F.lit(not holding_out) | ~held_out(F.col("id")))
              .groupBy("id").agg(F.min("good").alias("good")))
     chosen = F.broadcast(marks.orderBy(F.xxhash64("id"), "id").limit(max_train))
     sample = docs.select(docs[doc_id].alias("id"), text_of(docs, text)).join(chosen, "id").select("good", "text")
