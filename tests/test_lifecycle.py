@@ -112,20 +112,31 @@ def test_retry_schedule(spark):
     assert (rows[2].action, rows[2].delay_ms, rows[2].next_at) == ("ack", None, None)
 
 
-@pytest.mark.parametrize("pane", ["1 second", "10 seconds", "1 day"])
-def test_attempt_numbers(spark, pane):
+@pytest.mark.parametrize("partitions", [None, 1, 3, 40])
+def test_attempt_numbers(spark, partitions):
     rng = random.Random(4)
     rows = [(f"m{rng.randint(0, 5) if i % 3 else 0}", T0 + dt.timedelta(seconds=rng.randint(0, 40)), i)
             for i in range(400)]
+    rows += [(None, T0 + dt.timedelta(seconds=i), 400 + i) for i in range(20)] + [(f"m{i % 2}", None, 420 + i) for i in range(20)]
     df = spark.createDataFrame(rows, "msg string, at timestamp, seq int").repartition(4)
-    got = {r.seq: r.attempt for r in lifecycle.number_attempts(df, "msg", "at", ["seq"], pane).collect()}
+    got = {r.seq: r.attempt for r in lifecycle.number_attempts(df, "msg", "at", ["seq"], partitions).collect()}
     seen, expected = {}, {}
-    for msg, at, seq in sorted(rows, key=lambda r: (r[1], r[2])):
+    for msg, at, seq in sorted(rows, key=lambda r: (r[1] is not None, r[1] or T0, r[2])):
         seen[msg] = seen.get(msg, 0) + 1
         expected[seq] = seen[msg]
     assert got == expected
 
 
+def test_attempts_of_one_hot_message_are_spread(spark):
+    df = spark.range(20_000).select(F.lit("m").alias("msg"), F.timestamp_seconds("id").alias("at"), "id")
+    from workloom.functions.chain import _RANGE, _pass  # the ranges themselves
+    ranged = df.repartitionByRange(8, "msg", "at").sortWithinPartitions("msg", "at")
+    sizes = ranged.mapInArrow(_pass(["msg"], [], []), f"msg string, at timestamp, id bigint, {_RANGE} int, _head boolean, _edge string")
+    assert max(r["count"] for r in sizes.groupBy(_RANGE).count().collect()) < 5_000
+    numbered = lifecycle.number_attempts(df, "msg", "at", ["id"], 8)
+    assert numbered.where("attempt <> id + 1").count() == 0 and numbered.count() == 20_000
+
+
 def test_permanent_errors_are_seen_through_wrapping():
     try:
         try:

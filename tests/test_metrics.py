@@ -53,8 +53,8 @@ def test_event_rate_equals_brute_force(spark):
         metrics.event_rate(df, "ts", "1 minute", "7 seconds")
 
 
-@pytest.mark.parametrize("slices", [1, 6, 600])
-def test_counter_rate_equals_the_model(spark, slices):
+@pytest.mark.parametrize("partitions", [None, 3, 40])
+def test_counter_rate_equals_the_model(spark, partitions):
     rng = random.Random(8)
     base = int((T0 - EPOCH).total_seconds())
     samples, want = [], {}
@@ -67,7 +67,7 @@ def test_counter_rate_equals_the_model(spark, slices):
         samples += [(series, T0 + dt.timedelta(seconds=p[0] - base), p[1]) for p in points]
         want.update({(series, k): x for k, x in counter_rates(points, 600).items()})
     df = spark.createDataFrame(samples, "series string, ts timestamp, value double").repartition(4)
-    rates = metrics.counter_rate(df, "10 minutes", ["series"], slices=slices)
+    rates = metrics.counter_rate(df, "10 minutes", ["series"], partitions=partitions)
     got = {(r.series, r.window_start_us // 1_000_000): r.rate_per_sec for r in rates.collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
@@ -109,14 +109,14 @@ def test_histogram_keeps_its_columns_and_skips_nulls(spark):
     assert {r.le: r.bucket_count for r in rows}["+Inf"] == 2
 
 
-@pytest.mark.parametrize("slices", [1, 3, 60])
-def test_sliding_rates_equal_single_windows(spark, slices):
+@pytest.mark.parametrize("partitions", [None, 3, 9])
+def test_sliding_rates_equal_single_windows(spark, partitions):
     import datetime as dt
 
     start = dt.datetime(2024, 1, 1)
     rows = [("s", start + dt.timedelta(seconds=7 * i), float(i * i % 50)) for i in range(80)]
     df = spark.createDataFrame(rows, "series string, ts timestamp, value double")
-    got = {r.window_start_us: r.rate_per_sec for r in metrics.counter_rate(df, "1 minute", ["series"], slices=slices, step="10 seconds").collect()}
+    got = {r.window_start_us: r.rate_per_sec for r in metrics.counter_rate(df, "1 minute", ["series"], partitions=partitions, step="10 seconds").collect()}
     assert len(got) > 50
     origin = int((start - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
     for k in range(6):  # tumbling windows, shifted by whole steps

@@ -10,8 +10,9 @@ delivery log never matters.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from workloom.functions.chain import chained
 from workloom.functions.ids import stable_uuid
-from workloom.functions.timing import backoff_ms, epoch_micros, micros_of, pane_start, shifted
+from workloom.functions.timing import backoff_ms, shifted
 from workloom.schemas import (
     BACKOFF_BASE_MS, BACKOFF_CAP_MS, BUILTIN_TASK_TYPES, DEAD_LETTERED, EFFECTIVE, MAX_ATTEMPTS,
     MAX_ATTEMPTS_TEXT, NO_HANDLER_TEXT, RAN, TERMINAL_STATUSES,
@@ -158,26 +159,16 @@ def executions_of(affected: DataFrame, max_attempts: int = MAX_ATTEMPTS,
 
 
 def number_attempts(deliveries: DataFrame, message: str, clock: str, order: list[str],
-                    pane: str = "1 hour") -> DataFrame:
-    """Adds `attempt`: the running number of each delivery of a message, in order.
+                    partitions: int | None = None) -> DataFrame:
+    """Adds `attempt`: the running number of each delivery of a message, in order of `clock` and `order`.
 
-    Rows are numbered inside panes of time first; a pane's start is the number of rows in the
-    panes before it. A message delivered any number of times is thus cut along its panes.
+    Rows are numbered in ranges of (message, time) that are chained (see `chained`), so a message delivered any number of
+    times is spread over as many tasks as it needs. Deliveries without a message are numbered as those of one
+    message, and deliveries without a time come first.
     """
-    paned = deliveries.withColumn("_pane", pane_start(epoch_micros(clock), micros_of(pane)))
-    in_pane = Window.partitionBy(message, "_pane").orderBy(clock, *order)
-    earlier = Window.partitionBy(message).orderBy("_pane").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        paned.groupBy(message, "_pane").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
-    return (
-        paned.withColumn("_nth", F.row_number().over(in_pane))
-        .join(starts, [message, "_pane"])
-        .withColumn("attempt", (F.col("_before") + F.col("_nth")).cast("int"))
-        .drop("_pane", "_nth", "_before")
-    )
+    counted = chained(deliveries.withColumn("_one", F.lit(1).cast("bigint")), [message], [clock, *order],
+                      sums={"_nth": "_one"}, partitions=partitions)
+    return counted.withColumn("attempt", F.col("_nth").cast("int")).drop("_one", "_nth")
 
 
 def retry_schedule(replayed: DataFrame, clock: str = "delivered_at",

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from workloom.functions.chain import chained
 from workloom.functions.text import route_template
 from workloom.functions.timing import epoch_micros, micros_of, pane_start
 from workloom.operators.lifecycle import failure_class
@@ -123,54 +124,50 @@ def event_rate(df: DataFrame, ts: str, window: str, slide: str, by: list[str] =
 
 
 def counter_rate(samples: DataFrame, window: str, series: list[str], ts: str = "ts",
-                 value: str = "value", tie: list[str] = (), slices: int = 60, step: str | None = None) -> DataFrame:
+                 value: str = "value", tie: list[str] = (), step: str | None = None,
+                 partitions: int | None = None) -> DataFrame:
     """Per-second rate of cumulative counters in half-open windows that start every `step`.
 
     Without `step`, windows follow one another. A drop counts as a restart from zero. The increase
     is extended towards the window's ends: by the whole gap when it is shorter than 1.1 average
     sample distances, else by half a distance, and never below where the counter would have been
-    zero. Windows with fewer than two samples or no time between them give no row.
+    zero. Windows with fewer than two samples or no time between them give no row; samples without a
+    value or a time are no samples.
 
-    A step is summed over `slices` parts first, and a window chains the parts it covers, so one
-    series is never sorted as a whole; `slices` does not affect the result.
+    Each sample's gain over the one before comes from chained ranges (see `chained`), so a series of any
+    length is spread over as many tasks as it needs. Gains are added up per step with combining on the map
+    side, and a window adds its steps; the gain of a window's first sample, whose predecessor lies outside, is left out.
     """
     length = micros_of(window)
     stride = length if step is None else micros_of(step)
     if length % stride:
         raise ValueError("the window must be a multiple of the step")
     placed = (
-        samples.where(F.col(value).isNotNull()).withColumn("_us", epoch_micros(ts))
-        .withColumn("_step", pane_start(F.col("_us"), stride))
-        .withColumn("_slice", F.floor((F.col("_us") - F.col("_step")) * slices / stride))
-        .withColumn("_v", F.col(value).cast("double"))
+        samples.where(F.col(value).isNotNull() & F.col(ts).isNotNull())
+        .select(*series, epoch_micros(ts).alias("_us"), *tie, F.col(value).cast("double").alias("_v"))
     )
     order = ["_us", *tie]
-    place = F.struct(*order)
-    in_part = Window.partitionBy(*series, "_step", "_slice").orderBy(*order)
-
-    def gain(before, after):
-        return F.when(before.isNull(), 0.0).when(after < before, after).otherwise(after - before)
-
-    parts = (
-        placed.withColumn("_gain", gain(F.lag("_v").over(in_part), F.col("_v")))
-        .groupBy(*series, "_step", "_slice")
-        .agg(F.sum("_gain").alias("_gain"), _rows().alias("_n"),
+    gain = (F.when(F.col("_was").isNull(), 0.0).when(F.col("_v") < F.col("_was"), F.col("_v"))
+            .otherwise(F.col("_v") - F.col("_was")))
+    opens = F.coalesce(F.col("_was_us") < F.col("_step"), F.lit(True))  # the first sample of its step
+    steps = (
+        chained(placed, list(series), order, lags={"_was": "_v", "_was_us": "_us"}, partitions=partitions)
+        .withColumn("_step", pane_start(F.col("_us"), stride)).withColumn("_gain", gain)
+        .groupBy(*series, "_step")
+        .agg(F.sum(F.when(~opens, F.col("_gain"))).alias("_inside"), F.sum(F.when(opens, F.col("_gain"))).alias("_joint"),
+             F.max(F.when(opens, F.col("_was_us"))).alias("_was_us"), _rows().alias("_n"),
              F.min("_us").alias("_first_us"), F.max("_us").alias("_last_us"),
-             F.min_by("_v", place).alias("_first_v"), F.max_by("_v", place).alias("_last_v"))
+             F.min_by("_v", F.struct(*order)).alias("_first_v"))
     )
     group = [*series, "window_start_us"]
-    covering = (
-        parts.withColumn("_back", F.explode(F.sequence(F.lit(0), F.lit(length // stride - 1))))
-        .withColumn("window_start_us", F.col("_step") - F.col("_back").cast("long") * stride)
-        .withColumn("_part", F.struct("_step", "_slice"))
-    )
-    across = Window.partitionBy(*group).orderBy("_part")
+    joint = F.when(F.col("_was_us") >= F.col("window_start_us"), F.col("_joint")).otherwise(0.0)
     whole = (
-        covering.withColumn("_joint", gain(F.lag("_last_v").over(across), F.col("_first_v")))
+        steps.withColumn("_back", F.explode(F.sequence(F.lit(0), F.lit(length // stride - 1))))
+        .withColumn("window_start_us", F.col("_step") - F.col("_back").cast("long") * stride)
         .groupBy(*group)
-        .agg(F.sum(F.col("_gain") + F.col("_joint")).alias("_inc"), F.sum("_n").alias("_n"),
+        .agg(F.sum(F.coalesce("_inside", F.lit(0.0)) + joint).alias("_inc"), F.sum("_n").alias("_n"),
              F.min("_first_us").alias("_t0"), F.max("_last_us").alias("_t1"),
-             F.min_by("_first_v", "_part").alias("_v0"))
+             F.min_by("_first_v", "_step").alias("_v0"))
         .where((F.col("_n") >= 2) & (F.col("_t1") > F.col("_t0")))
     )
     covered = (F.col("_t1") - F.col("_t0")) / 1e6
@@ -191,13 +188,13 @@ def sum_rates(rates: DataFrame, by: list[str]) -> DataFrame:
 
 
 def rate_quantile(bucket_samples: DataFrame, q: float, window: str, series: list[str], by: list[str], step: str | None = None,
-                  ts: str = "ts", value: str = "value", le: str = "le", tie: list[str] = (), slices: int = 60) -> DataFrame:
+                  ts: str = "ts", value: str = "value", le: str = "le", tie: list[str] = (), partitions: int | None = None) -> DataFrame:
     """The q-quantile of each window from samples of cumulative bucket counters.
 
     Each bucket counter's rate is taken first, rates are summed per bound and `by` columns, and the
     quantile is read off these. `series` names the labels of a counter besides `le`.
     """
-    rates = counter_rate(bucket_samples, window, [*series, le], ts, value, tie, slices, step)
+    rates = counter_rate(bucket_samples, window, [*series, le], ts, value, tie, step, partitions)
     return histogram_quantile(rates, q, [*by, "window_start_us"], le, "rate_per_sec")
 
 

@@ -307,7 +307,7 @@ def replay_executions(spark, sf_dir):
 def attempt_numbers(spark, sf_dir):
     deliveries = view(spark, sf_dir, "deliveries").select(
         "task_id", "delivered_at", F.col("attempt").alias("line"), "tie")
-    return lifecycle.number_attempts(deliveries, "task_id", "delivered_at", ["line", "tie"], pane="7 days")
+    return lifecycle.number_attempts(deliveries, "task_id", "delivered_at", ["line", "tie"])
 
 
 @query
@@ -380,26 +380,26 @@ def event_rate(spark, sf_dir):
 
 @query
 def counter_rate(spark, sf_dir):
-    rates = metrics.counter_rate(view(spark, sf_dir, "counter_samples"), "1 day", ["series"], tie=["event_id"], slices=24)
+    rates = metrics.counter_rate(view(spark, sf_dir, "counter_samples"), "1 day", ["series"], tie=["event_id"])
     return rates.withColumn("rate_per_sec", F.round("rate_per_sec", 6))
 
 
 @query
 def counter_rate_total(spark, sf_dir):
-    rates = metrics.counter_rate(view(spark, sf_dir, "counter_samples"), "1 day", ["series"], tie=["event_id"], slices=24)
+    rates = metrics.counter_rate(view(spark, sf_dir, "counter_samples"), "1 day", ["series"], tie=["event_id"])
     return metrics.sum_rates(rates, ["window_start_us"]).withColumn("rate_per_sec", F.round("rate_per_sec", 6))
 
 
 @query
 def counter_rate_sliding(spark, sf_dir):
     rates = metrics.counter_rate(view(spark, sf_dir, "counter_samples"), "12 hours", ["series"], tie=["event_id"],
-                                 slices=4, step="3 hours")
+                                 step="3 hours")
     return rates.withColumn("rate_per_sec", F.round("rate_per_sec", 6))
 
 
 @query
 def histogram_p95_rate(spark, sf_dir):
-    found = metrics.rate_quantile(view(spark, sf_dir, "bucket_samples"), 0.95, "1 day", ["instance"], [], tie=["event_id"], slices=24)
+    found = metrics.rate_quantile(view(spark, sf_dir, "bucket_samples"), 0.95, "1 day", ["instance"], [], tie=["event_id"])
     return found.withColumn("quantile", F.round("quantile", 6))
 
 
