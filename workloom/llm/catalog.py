@@ -5,7 +5,7 @@ Where SQL can state a query it is in ORACLES; the others are tested against brut
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from workloom.llm import ann, decontaminate, html, near, packing, quality, suffixes, templates, toxicity, urls
+from workloom.llm import ann, decontaminate, html, near, packing, quality, suffixes, templates, toxicity, trie, urls
 from workloom.llm.frames import table
 
 
@@ -85,9 +85,57 @@ def op10_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "host_rate", "path_rate", "quality", (F.col("quality") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, members = trie.rebuilt(trie.numbered(table(spark, sf_dir, "conversations")))
+    return trie.prefix_nodes(turns, members)
+
+
 QUERIES = {q.__name__: q for q in (
     op1_text_blocks, op2_line_templates, op3_one_bit_codes, op4_suffix_runs, op5_link_trust, op6_pack_combinations,
-    op7_order_minhash, op8_decontaminate, op9_toxicity, op10_bayes_quality)}
-
-#: No query here is plain SQL: models, components, alignments and packings are not.
-ORACLES: dict[str, str] = {}
+    op7_order_minhash, op8_decontaminate, op9_toxicity, op10_bayes_quality, op11_prefix_trie)}
+
+#: Models, components, alignments and packings are no SQL; those queries are tested against brute force.
+ORACLES: dict[str, str] = {
+    # The checksum goes bit by bit, prefixes are compared by a digest of all their turns, and sums over subtrees come
+    # from pairs of a node and an ancestor.
+    "op11_prefix_trie": """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(
+           concat(length(coalesce(role, ''))::varchar, ':', coalesce(role, ''), coalesce(text, '')))) AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, max(pos) AS own, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ord(x)::bigint)),
+           lambda crc, x: list_reduce(list_prepend(xor(crc, x), list_transform(range(8), lambda i: i::bigint)),
+             lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295::bigint) % 4 AS h
+  FROM turns GROUP BY conv_id),
+leads AS (
+  SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.own, 0)) AS lead FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+built AS (
+  SELECT l.conv_id, t.pos, t.role, t.text FROM leads l JOIN turns t ON t.conv_id = l.base AND t.pos <= l.lead
+  UNION ALL
+  SELECT l.conv_id, t.pos - l.h + l.lead, t.role, t.text FROM leads l JOIN turns t ON t.conv_id = l.conv_id AND t.pos > l.h),
+walks AS (
+  SELECT conv_id, pos, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         md5(string_agg(concat(md5(role), md5(text)), '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS k
+  FROM built
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+lengths AS (SELECT conv_id, max(pos) AS length FROM walks GROUP BY conv_id),
+nodes AS (SELECT k, pos AS depth, min(conv_id) AS rep, count(*) AS n_convs, min(words) AS words FROM walks GROUP BY k, pos),
+paths AS (SELECT w.conv_id, w.pos, n.rep FROM walks w JOIN nodes n ON n.k = w.k AND n.depth = w.pos),
+parents AS (SELECT n.*, p.rep AS up FROM nodes n LEFT JOIN paths p ON p.conv_id = n.rep AND p.pos = n.depth - 1),
+children AS (SELECT up, depth - 1 AS depth, count(*) AS n FROM parents WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (
+  SELECT p.rep, p.depth, p.up, p.n_convs, coalesce(c.n, 0) AS n_children, (p.n_convs - 1) * p.words AS saved
+  FROM parents p LEFT JOIN children c ON c.up = p.rep AND c.depth = p.depth),
+sums AS (
+  SELECT a.rep, a.pos AS depth, sum((f.n_children = 0)::bigint) AS n_leaves, sum(f.saved) AS saved_tokens
+  FROM full_nodes f JOIN paths a ON a.conv_id = f.rep AND a.pos <= f.depth GROUP BY a.rep, a.pos),
+ends AS (
+  SELECT p.rep, p.pos AS depth, string_agg(l.conv_id::varchar, ',' ORDER BY l.conv_id) AS ids
+  FROM lengths l JOIN paths p ON p.conv_id = l.conv_id AND p.pos = l.length GROUP BY p.rep, p.pos)
+SELECT f.rep AS conv_id, f.depth::bigint AS depth, f.up AS parent_conv_id, f.n_convs, f.n_children::bigint AS n_children,
+       s.n_leaves::bigint AS n_leaves, s.saved_tokens::bigint AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM full_nodes f JOIN sums s ON s.rep = f.rep AND s.depth = f.depth LEFT JOIN ends e ON e.rep = f.rep AND e.depth = f.depth""",
+}
