@@ -5,7 +5,9 @@ Where SQL can state a query it is in ORACLES; the others are tested against brut
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from workloom.llm import ann, decontaminate, html, near, packing, quality, suffixes, templates, toxicity, trie, urls
+from workloom.llm import (
+    ann, decontaminate, html, impacts, near, packing, quality, suffixes, templates, toxicity, trie, urls, whitening,
+)
 from workloom.llm.frames import table
 
 
@@ -90,9 +92,19 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_nodes(turns, members)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return impacts.top_inner_products(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_text_blocks, op2_line_templates, op3_one_bit_codes, op4_suffix_runs, op5_link_trust, op6_pack_combinations,
-    op7_order_minhash, op8_decontaminate, op9_toxicity, op10_bayes_quality, op11_prefix_trie)}
+    op7_order_minhash, op8_decontaminate, op9_toxicity, op10_bayes_quality, op11_prefix_trie,
+    op12_whitening, op13_impact_topk)}
 
 #: Models, components, alignments and packings are no SQL; those queries are tested against brute force.
 ORACLES: dict[str, str] = {
@@ -138,4 +150,15 @@ ends AS (
 SELECT f.rep AS conv_id, f.depth::bigint AS depth, f.up AS parent_conv_id, f.n_convs, f.n_children::bigint AS n_children,
        s.n_leaves::bigint AS n_leaves, s.saved_tokens::bigint AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM full_nodes f JOIN sums s ON s.rep = f.rep AND s.depth = f.depth LEFT JOIN ends e ON e.rep = f.rep AND e.depth = f.depth""",
+    "op13_impact_topk": """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))), 0)::bigint AS score
+  FROM usable q JOIN usable c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, r::integer AS rank, vec_id, score FROM ranked WHERE r <= 5""",
 }
