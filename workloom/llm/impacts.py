@@ -21,10 +21,12 @@ Components beyond a long are held at its ends, and a score beyond a long is an e
 """
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from workloom.llm.frames import map_batches
@@ -33,6 +35,8 @@ from workloom.session import stash
 SCALE, K = 256, 5
 #: Most vectors and components of a block, queries that travel together, and segments of a dimension.
 BLOCK, CELLS, QUERY_BLOCK, LEVELS = 8_192, 1 << 19, 64, 16
+#: A vector costs less to rescore than its postings to add, so the pass ends when one in so many is possible.
+FEW = 8
 
 
 def _padded(lists: list[np.ndarray], width: int) -> np.ndarray:
@@ -47,17 +51,18 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray | None = None, levels: int = LEVELS):
         self.ids, self.vectors, self.n, self.d = ids, vectors, *vectors.shape
-        self.order = np.argsort(vectors.T, axis=1, kind="stable").astype(np.uint32) if order is None else order
-        least = np.take_along_axis(vectors.T, self.order[:, :1], 1).astype(np.float64)
-        most = np.take_along_axis(vectors.T, self.order[:, -1:], 1).astype(np.float64)
-        step = np.maximum(most - least, 1.0) * (1 + 1e-9) / levels
-        self.segments = []  # per dimension: starts, least and greatest value
-        for k in range(self.d):
-            values = vectors[self.order[k], k]
-            level = np.floor((values - least[k]) / step[k]).astype(np.int64)
-            starts = np.flatnonzero(np.diff(level, prepend=-1))
-            ends = np.append(starts[1:], self.n)
-            self.segments.append((starts, ends, values[starts], values[ends - 1]))
+        levels = max(2, min(levels, self.n // 512))  # segments long enough to be worth a step
+        self.order = (np.argsort(vectors.T, axis=1, kind="stable") if order is None else order).astype(np.intp)
+        # Segments, by dimension and value: their dimension, place and length in the flat order, least and greatest value.
+        self.postings = self.order.ravel()
+        ranked = np.take_along_axis(vectors.T, self.order, 1)
+        step = np.maximum(ranked[:, -1:].astype(np.float64) - ranked[:, :1], 1.0) * (1 + 1e-9) / levels
+        level = np.floor((ranked - ranked[:, :1].astype(np.float64)) / step).astype(np.int64)
+        self.starts = np.flatnonzero(np.diff(level, axis=1, prepend=-1))
+        self.sizes = np.diff(self.starts, append=self.n * self.d)
+        self.dims = self.starts // self.n
+        self.low, self.high = ranked.ravel()[self.starts], ranked.ravel()[self.starts + self.sizes - 1]
+        self.firsts = np.searchsorted(self.dims, np.arange(self.d))
         self.most = int(np.abs(vectors).max(initial=0))
 
     def exact(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -76,63 +81,68 @@ class Block:
         if not k:
             return self.ids[:0], np.zeros(0, np.int64)
         possible = np.flatnonzero(others)
-        if self.most * int(np.abs(wide).max(initial=0)) * max(self.d, 1) < 2 ** 60:
+        if 4 * self.most * int(np.abs(wide).max(initial=0)) * max(self.d, 1) ** 2 < 2 ** 53:
             possible = self._possible(wide, others, k)
         scores = self.exact(possible, wide)
-        order = sorted(range(len(possible)), key=lambda i: (-scores[i], self.ids[possible[i]]))[:k]
+        if scores.dtype == object:
+            order = sorted(range(len(possible)), key=lambda i: (-scores[i], self.ids[possible[i]]))[:k]
+        else:
+            order = np.lexsort((self.ids[possible], -scores))[:k]
         return self.ids[possible[order]], scores[order]
 
     def _possible(self, query: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
-        """Rows that may be among the k best: the score-at-a-time pass with its proof."""
-        impacts, places, ground = [], [], 0
-        dims = np.flatnonzero(query)
-        for dim in dims.tolist():
-            starts, ends, low, high = self.segments[dim]
-            top = query[dim] * (high if query[dim] > 0 else low)
-            least = top.min()
-            ground += int(least)
-            impacts.append(top - least)
-            places.append(np.stack([np.full(len(starts), dim), starts, ends], 1))
-        if not len(dims):
-            return np.flatnonzero(others)
-        impact, place = np.concatenate(impacts), np.concatenate(places)
+        """Rows that may be among the k best: the score-at-a-time pass with its proof.
+
+        An accumulator holds its impacts above `bits` low bits, which count the dimensions met. Segments are
+        added some at a time, between one look at the bounds and the next.
+        """
+        n_dims = int(np.count_nonzero(query))
+        own = query[self.dims]
+        top = np.where(own > 0, own * self.high, own * self.low)
+        least = np.minimum.reduceat(top, self.firsts)
+        impact, ground = top - least[self.dims], int(least.sum())
         turn = np.argsort(-impact, kind="stable")
-        impact, place = impact[turn], place[turn].tolist()
-        added = np.zeros(self.n, np.int64)
-        unmet = np.full(self.n, len(dims), np.int64)
-        added[~others] = -2 ** 61
-        done, check, bar = 0, self.n * len(dims) // 4, None
-        for i, (dim, start, end) in enumerate(place):
-            if done >= check or not impact[i]:
-                bound = added + unmet * impact[i] + ground
-                first = np.argpartition(-bound, k - 1)[:k]
-                worst = self.exact(first, query).min()
-                bar = worst if bar is None else max(bar, worst)
-                possible = np.flatnonzero((bound >= bar) & others)
-                if len(possible) <= max(8 * k, self.n // 64) or not impact[i]:
-                    return possible
-                check = done + self.n * len(dims) // 16
-            rows = self.order[dim, start:end]
-            added[rows] += impact[i]
-            unmet[rows] -= 1
-            done += end - start
-        return np.flatnonzero(others)
+        turn = turn[impact[turn] > 0]
+        impact, starts, sizes = np.append(impact[turn], 0), self.starts[turn], self.sizes[turn]
+        bits = self.d.bit_length()
+        reached = np.cumsum(sizes)
+        held = np.zeros(self.n, np.int64)
+        at, goal, bar = 0, self.n * n_dims // 4, None
+        while True:
+            until = int(np.searchsorted(reached, goal)) + 1
+            pieces = [self.postings[a:a + m] for a, m in zip(starts[at:until].tolist(), sizes[at:until].tolist())]
+            if pieces:
+                steps = np.repeat((impact[at:until][:len(pieces)] << bits) + 1, sizes[at:until])
+                held += np.bincount(np.concatenate(pieces), steps, self.n).astype(np.int64)
+            at = min(until, len(starts))
+            bound = (held >> bits) + (n_dims - (held & ((1 << bits) - 1))) * impact[at] + ground
+            bound[~others] = -2 ** 62
+            first = np.argpartition(-bound, k - 1)[:k]
+            worst = self.exact(first, query).min()
+            bar = worst if bar is None else max(bar, worst)
+            possible = np.flatnonzero((bound >= bar) & others)
+            if len(possible) <= max(8 * k, self.n // FEW) or at == len(starts):
+                return possible
+            goal += self.n * n_dims // 16
 
 
 def _packing(size: int, cells: int, ordered: bool):
     """Vectors in blocks: how many, their length, ids, components and, for the index, each dimension's order."""
-    names = ["n", "d", "ids", "vectors", "orders"]
+    names = ["part", "seq", "n", "d", "ids", "vectors", "orders"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
         ids: list[int] = []
         lists: list[np.ndarray] = []
         width = 0
 
         def block() -> pa.RecordBatch:
+            nonlocal seq
+            seq += 1
             vectors = _padded(lists, width)
             order = np.argsort(vectors.T, axis=1, kind="stable").astype("<u4").tobytes() if ordered else None
-            row = [len(ids), width, np.array(ids, "<i8").tobytes(), vectors.astype("<i8").tobytes(), order]
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            row = [part, seq - 1, len(ids), width, np.array(ids, "<i8").tobytes(), vectors.astype("<i8").tobytes(), order]
+            kinds = [pa.int64()] * 4 + [pa.binary()] * 3
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds)], names=names)
 
         for batch in batches:
@@ -190,16 +200,20 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = K, scale
         return whole.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))).select(
             "id", F.transform("v", lambda c: F.floor(c * scale)).alias("x"))
 
-    packed = "n bigint, d bigint, ids binary, vectors binary, orders binary"
+    packed = "part bigint, seq bigint, n bigint, d bigint, ids binary, vectors binary, orders binary"
     index = stash(map_batches(pick(vectors), _packing(block, CELLS, True), packed), "impact-index")
     asked = stash(map_batches(pick(queries).distinct(), _packing(query_block, CELLS, False), packed), "queries")
-    slots = index.count()
+    # Blocks are numbered without gaps, so that every slot has one; tasks of the packing bound what is collected.
+    counts = sorted((r.part, r.n) for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    slots = sum(n for _, n in counts)
     if not slots:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    starts = spark.createDataFrame([(part, at - n) for (part, n), at in zip(counts, accumulate(n for _, n in counts))], "part bigint, start bigint")
+    columns = ["slot", "n", "d", "ids", "vectors", "orders"]
     last = F.lit(slots - 1).cast("bigint")
-    met = (index.select(F.pmod(F.xxhash64("ids"), F.lit(slots)).alias("slot"), "n", "d", "ids", "vectors", "orders")
-           .unionByName(asked.select(F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("slot"), "n", "d", "ids", "vectors", "orders")))
-    parted = met.repartition(slots, "slot").sortWithinPartitions("slot", F.col("orders").isNull())
+    met = (index.join(F.broadcast(starts), "part").withColumn("slot", F.col("start") + F.col("seq")).select(columns)
+           .unionByName(asked.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).select(columns)))
+    parted = met.repartitionByRange(slots, "slot").sortWithinPartitions("slot", F.col("orders").isNull())
     best = map_batches(parted, _searching(k), "query_id bigint, query_key bigint, vec_id bigint, score bigint")
     own = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select(
