@@ -216,3 +216,42 @@ def test_suffix_dedup_of_repeated_rows(spark):
     got = sorted((r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(docs).collect())
     assert [x for x in got if x[1]] == [(len(text), len(text))] * 2
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tasks", [2, 211])
+def test_suffix_dedup_of_equal_runs(spark, tasks):
+    """Tasks whose runs are equal byte by byte: each holds the same texts, so everything repeats."""
+    from workloom.llm.suffixes import _merge_rows, _run_rows, anchors
+
+    texts = [prose(200).encode() for _ in range(3)]
+    marks = [anchors(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    row = [(1, 2, t.decode(), *[x.tolist() for x in m[:3]]) for t, m in zip(texts, marks)]
+    df = spark.createDataFrame(row, "k1 bigint, k2 bigint, text string, at array<int>, first array<int>, last array<int>").coalesce(1)
+    copies = spark.range(tasks).repartitionByRange(tasks, "id").crossJoin(F.broadcast(df)).drop("id")
+    runs = copies.mapInArrow(_run_rows([], 400, 128), "part int, run bigint, seq int, block binary")
+    assert runs.select("run").distinct().count() == tasks
+    dealt = runs.repartition(1, "part").sortWithinPartitions("part", "run", "seq")
+    found = dealt.mapInArrow(_merge_rows(400, 128, 64), "e1 bigint, e2 bigint, low int, high int, s1 bigint, s2 bigint")
+    alone = df.mapInArrow(_run_rows([], 400, 128), "part int, run bigint, seq int, block binary")
+    want = len({(k.e1, k.e2) for k in df.mapInArrow(suffixes._place_rows(400, 128), "e1 bigint, e2 bigint, k1 bigint, k2 bigint, place bigint").collect()})
+    assert alone.count() == 1
+    judged = found.groupBy("e1", "e2").agg(F.max(F.when(F.col("s1").isNull(), F.lit(99)).otherwise(F.col("high"))).alias("times")).collect()
+    assert len(judged) == want and all(r.times > 1 for r in judged)
+
+
+def test_ranges_are_united(spark):
+    rows = [(1, 5, 9), (1, 0, 0), (1, 1, 1), (1, 2, 2), (1, 8, 12), (1, 20, 21), (2, 3, 3)]
+    df = spark.createDataFrame(rows, "k int, low int, high int")
+    got = {r.k: [(x.low, x.high) for x in r.u] for r in df.groupBy("k").agg(
+        suffixes._united(F.collect_set(F.struct("low", "high"))).alias("u")).collect()}
+    assert got == {1: [(0, 2), (5, 12), (20, 21)], 2: [(3, 3)]}
+
+
+def test_suffix_dedup_of_a_long_text(spark):
+    """Longer than a slice; a passage stands at both of its ends."""
+    passage = "".join(chr(97 + rng.randrange(26)) for _ in range(700))
+    middle = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=5_000_000))
+    docs = spark.createDataFrame([(1, passage + middle + passage), (2, "other")], "doc_id long, text string")
+    got = {r.id: (r.n_bytes, r.n_removed, [(s.start, s.end) for s in r.spans]) for r in suffixes.remove_repeats(docs).collect()}
+    end = 700 + len(middle)
+    assert got == {1: (end + 700, 1_400, [(0, 700), (end, end + 700)]), 2: (5, 0, [])}

@@ -32,7 +32,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
 from workloom.llm.frames import map_batches, text_of
 from workloom.llm.words import _power_tables, chunks, mix
@@ -42,7 +43,8 @@ WIDTH, GRAM, STEP, TOGETHER = 400, 48, 128, 64
 #: Bytes of suffixes that a part of the exchange holds, roughly, and how many parts there are at most.
 PART_BYTES, MOST_PARTS = 16 << 20, 20_000
 RUN_BYTES, BLOCK_BYTES = 48 << 20, 1 << 18
-_SLICE = 1 << 26
+#: Longer texts are searched for anchors in slices, at about 53 bytes of memory a byte.
+_SLICE = 1 << 22
 _HEAD = struct.Struct("<HHHBBI")
 
 
@@ -300,13 +302,12 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple]:
 def _run_rows(splitters: list[bytes], width: int, step: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run: list[tuple] = []
-        size, number = 0, 0
+        task, size, number = TaskContext.get().partitionId(), 0, 0
 
         def cut() -> Iterator[pa.RecordBatch]:
             nonlocal number
             run.sort()
-            name = int.from_bytes(hashlib.blake2b(b"".join(x[0][:64] for x in run[::97]) + bytes(str(len(run)), "ascii"),
-                                                  digest_size=8).digest(), "little", signed=True)
+            name = task << 32 | number  # equal runs of two tasks are two runs
             parts, blocks, orders, block, held, part, seq = [], [], [], [], 0, None, 0
 
             def close() -> None:
@@ -371,11 +372,10 @@ def _merge_rows(width: int, step: int, together: int):
                     if runs:
                         yield from out(runs)
                     part, run, runs = own, None, []
-                if (name, seq) != run:  # a run's blocks follow each other; two equal runs start anew at their first
-                    if run is None or run[0] != name or seq <= run[1]:
-                        runs.append([])
+                if name != run:  # a run's blocks follow each other
+                    runs.append([])
                 runs[-1].append(block)
-                run = name, seq
+                run = name
         if runs:
             yield from out(runs)
     return work
@@ -421,6 +421,17 @@ def _cut_rows(width: int, with_text: bool):
     return work
 
 
+def _united(ranges: Column) -> Column:
+    """Ranges (low, high) of whole numbers in order, with those that touch or overlap made one."""
+    def step(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        grown = F.struct(last["low"].alias("low"), F.greatest(last["high"], x["high"]).alias("high"))
+        return F.when(F.coalesce(last["high"] >= x["low"] - 1, F.lit(False)),
+                      F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.sort_array(ranges), F.array().cast("array<struct<low:int,high:int>>"), step)
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM,
                    step: int = STEP, together: int = TOGETHER, part_bytes: int = PART_BYTES, with_text: bool = False) -> DataFrame:
     """One row per row of `docs`: id, n_bytes, n_removed, spans (maximal removed runs of bytes), kept_sha256, and
@@ -443,21 +454,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = marks.agg(F.sum(groups).alias("suffixes"), F.count(F.lit(1)).alias("docs")).first()
     parts = min(MOST_PARTS, max(1, -(-(total.suffixes or 0) * (width + step // 2) // part_bytes)))
 
-    def marked(sample: int = 1) -> DataFrame:
-        some = (lambda df: df) if sample == 1 else (lambda df: df.where(F.pmod("k2", F.lit(sample)) == 0))
-        return some(keyed.select("k1", "k2", "text")).join(some(marks), ["k1", "k2"]).select("k1", "k2", "text", "at", "first", "last")
+    def marked(marks: DataFrame = marks) -> DataFrame:
+        return keyed.select("k1", "k2", "text").join(marks, ["k1", "k2"]).select("k1", "k2", "text", "at", "first", "last")
 
     splitters: list[bytes] = []
     if parts > 1:
-        # About 40 suffixes per part, from documents that a hash picks; they only place the cuts.
-        per_doc = max(1, total.suffixes // total.docs)
-        one_in = max(1, total.docs * per_doc // (40 * parts))
+        # About 40 suffixes per part, from anchors that a hash of their place picks; they only place the cuts.
+        one_in = max(1, total.suffixes // (40 * parts))
+        some = marks.select("k1", "k2", F.filter(F.arrays_zip("at", "first", "last"), lambda x: F.pmod(
+            F.xxhash64("k1", "k2", x["at"]), F.lit(one_in)) == 0).alias("x")).where(F.size("x") > 0)
 
         def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array([s[0] for _, _, t, *m in _texts(batch) for s in suffixes(t, *m, width, step)], pa.binary())], names=["s"])
 
-        got = sorted({bytes(r.s) for r in map_batches(marked(one_in), picked, "s binary").collect()})
+        sampled = marked(some.select("k1", "k2", *[F.col("x")[c].alias(c) for c in ("at", "first", "last")]))
+        got = sorted({bytes(r.s) for r in map_batches(sampled, picked, "s binary").collect()})
         splitters = sorted({got[len(got) * i // parts] for i in range(1, parts)}) if got else []
     runs = map_batches(marked(), _run_rows(splitters, width, step), "part int, run bigint, seq int, block binary")
     dealt = runs.repartition(parts, "part").sortWithinPartitions("part", "run", "seq")
@@ -467,12 +479,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     twice = open_ones.groupBy("s1", "s2").agg(F.sum("high").alias("n")).where("n > 1").drop("n")
     known = judged.where("s1 IS NULL").select("e1", "e2", "low", "high").unionByName(
         open_ones.join(twice, ["s1", "s2"]).select("e1", "e2", "low", F.col("low").alias("high")))
-    known = stash(known.groupBy("e1", "e2").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "ranges")
+    known = stash(known.groupBy("e1", "e2").agg(_united(F.collect_set(F.struct("low", "high"))).alias("ranges")), "ranges")
     places = map_batches(marked(), _place_rows(width, step), "e1 bigint, e2 bigint, k1 bigint, k2 bigint, place bigint")
-    spans = places.join(known, ["e1", "e2"]).select("k1", "k2", F.explode(F.transform("ranges", lambda r: F.array(
-        F.col("place") - r["high"], F.col("place") - r["low"] + width))).alias("span"))
-    # Adjoining ranges are united per document below; a document's list is bounded by its length.
-    spans = spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
+    spans = places.join(known, ["e1", "e2"]).select("k1", "k2", F.transform("ranges", lambda r: F.array(
+        F.col("place") - r["high"], F.col("place") - r["low"] + width)).alias("spans"))
+    # A document's list is bounded by its length; adjoining spans are united where it is cut.
+    spans = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     joined = keyed.join(spans, ["k1", "k2"], "left").select("id", "text", "spans")
     schema = f"id {kind}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string"
     return map_batches(joined, _cut_rows(width, with_text), schema + (", kept binary" if with_text else ""))
