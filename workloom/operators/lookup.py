@@ -60,6 +60,14 @@ def checked_offset(offset: int | None, strict: bool = True) -> int:
     return 0
 
 
+def checked_task_id(task_id: str) -> str:
+    """The dashed lower-case form of an id given in any accepted form."""
+    found = parse_uuid(task_id)
+    if found is None:
+        raise ValueError(f"{INVALID_TASK_ID}: {task_id!r}")
+    return found
+
+
 def filter_tasks(tasks: DataFrame, status: str | None = None, type: str | None = None) -> DataFrame:
     """Equality filters that apply only when given; both reach the file scan."""
     if status:
@@ -92,9 +100,7 @@ def list_executions(executions: DataFrame, task_id: str, limit: int | None = Non
     as it is.
     """
     if strict:
-        given, task_id = task_id, parse_uuid(task_id)
-        if task_id is None:
-            raise ValueError(f"{INVALID_TASK_ID}: {given!r}")
+        task_id = checked_task_id(task_id)
     return (executions.where(F.col("task_id") == task_id)
             .orderBy(F.desc("attempt"), "id").limit(checked_limit(limit, strict)))
 

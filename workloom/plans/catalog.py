@@ -10,10 +10,12 @@ from workloom.functions.text import (
     first_non_blank, header, header_keys, merge_arrays, merge_changes, with_header,
 )
 from workloom.functions.timing import epoch_micros
-from workloom.operators import changes, checks, handlers, ingest, lifecycle, logs, lookup, metrics, traces
+from workloom.operators import (
+    changes, checks, handlers, ingest, lifecycle, logs, lookup, metrics, stored, traces,
+)
 from workloom.plans.views import stream_view, view
 from workloom.session import fresh_path, use_rocksdb_state
-from workloom.sources import deadletters, export, loglines, messages, tables
+from workloom.sources import bucketed, deadletters, export, loglines, messages, tables
 from workloom.streaming import jobs
 from workloom.streaming.replay import stream_replay
 
@@ -260,6 +262,53 @@ def cascade_delete(spark, sf_dir):
         kept.select(F.lit("task_executions"), "id"))
 
 
+# The same change sets on bucketed tables, in place
+
+BUCKETS = 16
+
+
+def _stored(spark, sf_dir, name, key, sort=()):
+    rows = view(spark, sf_dir, name).drop("tie")
+    return bucketed.create_table(rows, fresh_path(spark, name), key, BUCKETS, sort)
+
+
+@query
+def stored_cas_updates(spark, sf_dir):
+    table, _ = stored.apply_updates(_stored(spark, sf_dir, "tasks", "id"), view(spark, sf_dir, "status_updates"), UPDATE_ORDER)
+    return bucketed.open_table(spark, table.path).df().select("id", "status", "version", "updated_at")
+
+
+@query
+def stored_insert_ignore(spark, sf_dir):
+    table = _stored(spark, sf_dir, "recorded_executions", "task_id", ["task_id", "attempt"])
+    table, _ = stored.insert_executions(table, view(spark, sf_dir, "execution_attempts"), EXECUTION_ORDER)
+    return table.df()
+
+
+@query
+def stored_finish_executions(spark, sf_dir):
+    table = _stored(spark, sf_dir, "recorded_executions", "task_id", ["task_id", "attempt"])
+    return stored.finish_executions(table, view(spark, sf_dir, "execution_results"), ["finished_at", "tie1", "tie2", "tie3"])[0].df()
+
+
+@query
+def stored_cascade_delete(spark, sf_dir):
+    left, kept = stored.delete_tasks(_stored(spark, sf_dir, "tasks", "id"), _stored(spark, sf_dir, "execution_attempts", "task_id"),
+                                     view(spark, sf_dir, "deleted_ids"))
+    return left.df().select(F.lit("tasks").alias("table_name"), "id").unionAll(kept.df().select(F.lit("task_executions"), "id"))
+
+
+@query
+def stored_list_executions(spark, sf_dir):
+    return stored.list_executions(_stored(spark, sf_dir, "execution_attempts", "task_id", ["task_id", "attempt"]),
+                                  "10000000-0000-4000-8000-000000000000")
+
+
+@query
+def stored_audit(spark, sf_dir):
+    return metrics.audit(_stored(spark, sf_dir, "tasks", "id").df(), _stored(spark, sf_dir, "execution_attempts", "task_id").df())
+
+
 @query
 def trace_logs(spark, sf_dir):
     parsed = loglines.parse_app_logs(view(spark, sf_dir, "log_lines")).select(
