@@ -25,54 +25,41 @@ def constraint_violations(tasks: DataFrame, executions: DataFrame) -> DataFrame:
                       {"status": EXECUTION_STATUSES}))
 
 
+def _repeated(df: DataFrame, table: str, rule: str, *key: str) -> DataFrame:
+    given = df.dropna(subset=list(key))
+    text = F.concat_ws("/", *[F.col(k).cast("string") for k in key])
+    return (given.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+            .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), text.alias("key_value"), "n_rows"))
+
+
 def unique_violations(tasks: DataFrame, executions: DataFrame) -> DataFrame:
-    """Keys that occur more than once. Counting combines on the map side, so a hot key is cheap."""
-    def repeated(df, table, rule, *key):
-        return (df.groupBy(F.concat_ws("/", *[F.col(k).cast("string") for k in key]).alias("key_value"))
-                .agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
-                .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-                        "key_value", "n_rows"))
+    """Keys that occur more than once, told apart by their columns. A key with a null in it breaks no unique rule.
 
+    Counting combines on the map side, so a hot key is cheap.
+    """
     return (
-        repeated(tasks, "tasks", "primary key", "id")
-        .unionAll(repeated(executions, "task_executions", "primary key", "id"))
-        .unionAll(repeated(executions, "task_executions", "unique task_id attempt", "task_id", "attempt"))
+        _repeated(tasks, "tasks", "primary key", "id")
+        .unionAll(_repeated(executions, "task_executions", "primary key", "id"))
+        .unionAll(_repeated(executions, "task_executions", "unique task_id attempt", "task_id", "attempt"))
     )
 
 
 def fk_violations(tasks: DataFrame, executions: DataFrame) -> DataFrame:
-    """Task ids that executions point at in vain, with the number of such executions.
+    """Task ids that executions point at in vain, with the number of such executions. A null points at nothing.
 
     Executions are counted per id before the join, so a hot id crosses it once.
     """
-    pointed_at = executions.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    pointed_at = executions.where("task_id IS NOT NULL").groupBy("task_id").agg(F.count(F.lit(1)).alias("n_rows"))
     return pointed_at.join(tasks.select(F.col("id").alias("task_id")), "task_id", "left_anti")
 
 
 def violations(tasks: DataFrame, executions: DataFrame) -> DataFrame:
-    """All broken constraints as (table_name, rule, key_value, n_rows).
+    """All broken constraints as (table_name, rule, key_value, n_rows); rules of single rows name the row's id.
 
-    One pass over each table: a row gives one entry for each rule it breaks and for each key that
-    must be unique or must be found; entries are counted per key with combining on the map side.
+    Only rows that break a rule, and one count per key and map task, are shuffled.
     """
-    def entry(rule: str, key, least: int):
-        return F.struct(F.lit(rule).alias("rule"), key.cast("string").alias("key_value"), F.lit(least).alias("least"))
-
-    def entries(df, table, required, value_sets, keys):
-        own = F.col("id")
-        broken = [F.when(F.col(c).isNull(), entry(f"{c} not null", own, 1)) for c in required]
-        broken += [F.when(~F.col(c).isin(*allowed), entry(f"{c} check", own, 1)) for c, allowed in value_sets.items()]
-        return df.select(F.lit(table).alias("table_name"), F.explode(F.array(*broken, *keys)).alias("_e")).where("_e IS NOT NULL")
-
-    pair = F.concat_ws("/", "task_id", F.col("attempt").cast("string"))
-    counted = (
-        entries(tasks, "tasks", _TASK_REQUIRED, {"status": TASK_STATUSES, "priority": PRIORITIES},
-                [entry("primary key", F.concat_ws("/", "id"), 2)])
-        .unionAll(entries(executions, "task_executions", _EXECUTION_REQUIRED, {"status": EXECUTION_STATUSES}, [
-            entry("primary key", F.concat_ws("/", "id"), 2), entry("unique task_id attempt", pair, 2),
-            entry(_DANGLING, F.col("task_id"), 1)]))
-        .groupBy("table_name", "_e.rule", "_e.key_value", "_e.least").agg(F.count(F.lit(1)).alias("n_rows"))
-        .where("n_rows >= least")
-    )
-    known = tasks.select(F.col("id").alias("key_value"), F.lit(_DANGLING).alias("rule")).distinct()
-    return counted.join(known, ["key_value", "rule"], "left_anti").select("table_name", "rule", "key_value", "n_rows")
+    rows = constraint_violations(tasks, executions).groupBy("table_name", "rule", F.col("row_id").alias("key_value")).agg(
+        F.count(F.lit(1)).alias("n_rows"))
+    dangling = fk_violations(tasks, executions).select(
+        F.lit("task_executions").alias("table_name"), F.lit(_DANGLING).alias("rule"), F.col("task_id").alias("key_value"), "n_rows")
+    return rows.unionByName(unique_violations(tasks, executions)).unionByName(dangling)

@@ -171,12 +171,26 @@ def violations(spark, sf_dir):
     return checks.violations(view(spark, sf_dir, "tasks"), view(spark, sf_dir, "execution_attempts"))
 
 
+@query
+def violations_of_nulls(spark, sf_dir):
+    executions = view(spark, sf_dir, "execution_attempts").withColumns({
+        "task_id": F.when(F.col("tie") % 11 != 0, F.col("task_id")),
+        "attempt": F.when(F.col("tie") % 3 != 0, F.col("attempt")),
+    })
+    return checks.violations(view(spark, sf_dir, "tasks"), executions)
+
+
 @query
 def decode_messages(spark, sf_dir):
     return ingest.decode_messages(view(spark, sf_dir, "task_messages"), exclude_dlq=True).select(
         "seq", "task_id", "priority", "reject")
 
 
+@query
+def decode_all_messages(spark, sf_dir):
+    return ingest.decode_messages(view(spark, sf_dir, "task_messages")).select("seq", "task_id", "priority", "reject")
+
+
 @query
 def filter_tasks(spark, sf_dir):
     return lookup.filter_tasks(view(spark, sf_dir, "tasks"), status="queued", type="demo")

@@ -144,19 +144,34 @@ _add("fk_violations", "tasks execution_attempts", _DANGLING)
 _add("violations", "tasks execution_attempts", f"""{_UNIQUE}
 UNION ALL SELECT 'task_executions', 'foreign key task_id', task_id, n_rows FROM ({_DANGLING})""")
 
-_add("decode_messages", "task_messages", f"""
+_add("violations_of_nulls", "tasks execution_attempts", f"""
+, holed AS (
+  SELECT id, CASE WHEN tie % 11 <> 0 THEN task_id END AS task_id, CASE WHEN tie % 3 <> 0 THEN attempt END AS attempt
+  FROM execution_attempts)
+SELECT 'tasks' AS table_name, 'primary key' AS rule, id AS key_value, count(*) AS n_rows
+FROM tasks GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'task_executions', 'primary key', id, count(*) FROM holed GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'task_executions', 'unique task_id attempt', concat(task_id, '/', attempt), count(*)
+FROM holed WHERE task_id IS NOT NULL AND attempt IS NOT NULL GROUP BY task_id, attempt HAVING count(*) > 1
+UNION ALL SELECT 'task_executions', 'foreign key task_id', task_id, count(*) FROM holed
+WHERE task_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM tasks WHERE tasks.id = task_id) GROUP BY task_id
+UNION ALL SELECT 'task_executions', 'task_id not null', id, count(*) FROM holed WHERE task_id IS NULL GROUP BY id
+UNION ALL SELECT 'task_executions', 'attempt not null', id, count(*) FROM holed WHERE attempt IS NULL GROUP BY id""")
+_DECODED = f"""
 , shaped AS (
   SELECT seq, data, json_valid(data) AND json_type(data) IN ('OBJECT', 'NULL')
          AND coalesce(json_type(data, '$.task_id'), 'NULL') IN ('VARCHAR', 'NULL')
          AND coalesce(json_type(data, '$.priority'), 'NULL') IN ('VARCHAR', 'NULL') AS ok
   FROM (SELECT seq, CASE WHEN json_valid(data) THEN data ELSE '0' END AS data
-        FROM task_messages WHERE subject <> 'tasks.dlq')),
+        FROM task_messages WHERE {{0}})),
 fields AS (
   SELECT seq, ok, CASE WHEN ok THEN data->>'task_id' END AS raw_id,
          CASE WHEN ok THEN coalesce(data->>'priority', '') END AS p FROM shaped),
 ids AS (SELECT *, {_canonical_id('raw_id')} AS task_id FROM fields)
 SELECT seq, task_id, CASE WHEN task_id IS NOT NULL THEN p END AS priority,
-       CASE WHEN NOT ok THEN 'bad_message' WHEN task_id IS NULL THEN 'bad_task_id' END AS reject FROM ids""")
+       CASE WHEN NOT ok THEN 'bad_message' WHEN task_id IS NULL THEN 'bad_task_id' END AS reject FROM ids"""
+_add("decode_messages", "task_messages", _DECODED.replace("{0}", "subject <> 'tasks.dlq'"))
+_add("decode_all_messages", "task_messages", _DECODED.replace("{0}", "true"))
 _add("filter_tasks", "tasks", "SELECT * FROM tasks WHERE status = 'queued' AND type = 'demo'")
 _add("log_min_level", "log_lines", """
 SELECT event_id, line->>'level' AS level, line->>'msg' AS msg
