@@ -10,6 +10,7 @@ from workloom.operators import lifecycle
 from workloom.operators.handlers import HandlerRegistry, PermanentError, run_handlers, run_with_retries
 from workloom.sources.deadletters import read_dlq
 from workloom.streaming import jobs
+from workloom.streaming.redelivery import stream_redelivery
 from workloom.streaming.replay import stream_replay
 
 T0 = dt.datetime(2024, 1, 1)
@@ -32,15 +33,15 @@ def staged(spark, df, path, batches, key):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@pytest.mark.parametrize("batches, with_recorded", [(1, False), (4, False), (3, True)])
-def test_stream_replay_equals_the_batch(spark, tmp_path, batches, with_recorded):
+@pytest.mark.parametrize("batches, with_recorded, initial_state", [(1, False, False), (4, False, True), (3, True, False), (2, True, True)])
+def test_stream_replay_equals_the_batch(spark, tmp_path, batches, with_recorded, initial_state):
     tasks, log, recorded = random_case(11, n=600)
     recorded = recorded if with_recorded else set()
     executions = spark.createDataFrame(sorted(recorded), "task_id string, attempt int") if recorded else None
     expected, final, _ = fold_deliveries(tasks, [r[:3] for r in log], recorded)
     task_df, delivery_df = frames(spark, tasks, log)
     stream = staged(spark, delivery_df, str(tmp_path / "log"), batches, "seq")
-    rows = drain(stream_replay(stream, task_df, ORDER, executions=executions), tmp_path).collect()
+    rows = drain(stream_replay(stream, task_df, ORDER, executions=executions, initial_state=initial_state), tmp_path).collect()
     counts = {}
     for (key, *_), disposition in zip(log, expected):
         counts[key, disposition] = counts.get((key, disposition), 0) + 1
@@ -55,6 +56,19 @@ def test_stream_replay_equals_the_batch(spark, tmp_path, batches, with_recorded)
     assert all(last[k] == (final[k][2], final[k][1]) for k in last)
 
 
+def test_a_hot_task_is_reduced_where_it_is_read(spark):
+    from workloom.streaming.replay import _first_of_batches
+
+    log = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 1_000 > 0, F.concat(F.lit("t"), F.col("id").cast("string"))).alias("task_id"),
+                                     (-F.col("id")).alias("order_0"), F.lit(None).cast("bigint").alias("more")).repartition(4)
+    reduced = log.mapInArrow(_first_of_batches(5, ["order_0"]), "task_id string, order_0 bigint, more bigint").cache()
+    batches = reduced.where("task_id = 'hot' AND more IS NOT NULL").count()
+    assert reduced.where("task_id = 'hot' AND more IS NULL").count() == 5 * batches < 100
+    assert reduced.agg(F.sum(F.coalesce("more", F.lit(1)))).first()[0] == 60_000
+    assert reduced.where("task_id = 'hot'").agg(F.min("order_0")).first()[0] == -59_999
+    assert reduced.where("task_id IS NULL AND more IS NULL").count() <= 20
+
+
 def test_stream_dedup(spark, tmp_path):
     df = spark.createDataFrame([(i, "t", i % 3, T0 + dt.timedelta(seconds=i)) for i in range(30)],
                                "seq int, task_id string, attempt int, ts timestamp")
@@ -150,6 +164,29 @@ def test_handlers(spark):
                     "d": ("retryable", "busy"), "e": ("no_handler", 'no handler registered for type "x"')}
 
 
+def test_redelivery_reaches_the_states_of_the_rounds(spark, tmp_path):
+    registry = HandlerRegistry.with_defaults()
+    registry.register("some", _sometimes)
+    rows = [("a", "demo", "", "queued"), ("b", "fail", "", "queued"), ("d", "some", "never", "queued"), ("e", "x", "", "queued"), ("f", "demo", "", "cancelled")]
+    tasks = queued(spark, rows).withColumn("priority", F.lit("low"))
+    log = [(i, r[0], None, T0 + dt.timedelta(seconds=i)) for i, r in enumerate(rows)]
+    log += [(5, "gone", 1, T0 + dt.timedelta(seconds=9)), (6, None, 1, T0 + dt.timedelta(seconds=9)), (7, "a", 2, T0 + dt.timedelta(seconds=9)),
+            (8, None, 1, T0 + dt.timedelta(days=1))]  # the last only moves the clock
+    deliveries = spark.createDataFrame(log, "seq int, task_id string, attempt int, delivered_at timestamp")
+    stream = staged(spark, deliveries, str(tmp_path / "in"), 3, "seq")
+    got = drain(stream_redelivery(stream, tasks, registry, max_attempts=3), tmp_path).collect()
+    final, executions, _ = run_with_retries(tasks, registry, 3)
+    ran = {(r.task_id, r.attempt): (r.error, r.delay_ms) for r in got if not r.disposition.endswith("noop") and r.disposition != "not_found"}
+    assert ran == {(r.task_id, r.attempt): (r.error, r.retry_after_ms) for r in executions.collect()}
+    last = {r.task_id: (r.status, r.version) for r in sorted(got, key=lambda r: r.version or 0) if r.version}
+    assert last == {r.id: (r.status, r.version) for r in final.collect()}
+    assert [(r.attempt, r.delivered_at, r.next_at) for r in sorted(got, key=lambda r: r.attempt) if r.task_id == "d"] == [
+        (1, T0 + dt.timedelta(seconds=2), T0 + dt.timedelta(seconds=2.5)), (2, T0 + dt.timedelta(seconds=2.5), T0 + dt.timedelta(seconds=3.5)),
+        (3, T0 + dt.timedelta(seconds=3.5), None)]
+    assert sorted(str(r.task_id) for r in got if r.disposition == "not_found") == ["None", "None", "gone"]
+    assert sorted((r.attempt, r.disposition) for r in got if r.task_id == "a") == [(1, "completed"), (2, "terminal_noop")]
+
+
 def test_retry_rounds(spark):
     registry = HandlerRegistry.with_defaults()
     registry.register("some", _sometimes)

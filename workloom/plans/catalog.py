@@ -17,6 +17,7 @@ from workloom.plans.views import stream_view, view
 from workloom.session import fresh_path, use_rocksdb_state
 from workloom.sources import bucketed, deadletters, export, loglines, messages, tables
 from workloom.streaming import jobs
+from workloom.streaming.redelivery import stream_redelivery
 from workloom.streaming.replay import stream_replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -571,6 +572,23 @@ def stream_replay_query(spark, sf_dir):
         F.sum("n_deliveries").alias("n_deliveries"), F.max("version").alias("version"))
 
 
+@query
+def stream_redelivery_query(spark, sf_dir):
+    registry = handlers.HandlerRegistry.with_defaults()
+    registry.register("demo", _flaky)
+    queued = view(spark, sf_dir, "tasks").where("status = 'queued'")
+    source = fresh_path(spark, "first-deliveries")
+    first = queued.select(F.col("id").alias("task_id"), F.col("created_at").cast("timestamp").alias("delivered_at"), F.lit(1).alias("attempt"))
+    first.write.parquet(source)
+    # Later than all: it moves the stream's clock past the last redelivery.
+    (first.agg((F.max("delivered_at") + F.expr("INTERVAL 1 DAY")).alias("delivered_at"))
+     .select(F.lit(None).cast("string").alias("task_id"), "delivered_at", F.lit(1).alias("attempt")).write.mode("append").parquet(source))
+    use_rocksdb_state(spark)
+    stream = spark.readStream.schema(first.schema).parquet(source)
+    rows = _drain(stream_redelivery(stream, queued, registry, max_attempts=3)).where("task_id IS NOT NULL")
+    return _naive(rows.select("task_id", "attempt", "delivered_at", "disposition", "error", "status", "version", "next_at"))
+
+
 @query
 def stream_dedup(spark, sf_dir):
     stream = stream_view(spark, sf_dir, "lineitem", "execution_attempts").select("task_id", "attempt")

@@ -505,6 +505,19 @@ SELECT id AS task_id, cast(a.attempt AS integer) AS attempt,
        CASE WHEN type = 'demo' AND priority = 'low' AND a.attempt < 3 THEN 500 * a.attempt END::bigint AS retry_after_ms
 FROM tasks JOIN (VALUES (1), (2), (3)) a(attempt) ON a.attempt = 1 OR (type = 'demo' AND priority = 'low')
 WHERE status = 'queued'""")
+_add("stream_redelivery", "tasks", """
+, runs AS (
+  SELECT *, a.attempt AS nth, type = 'demo' AND priority = 'low' AS flaky
+  FROM tasks JOIN (VALUES (1), (2), (3)) a(attempt) ON a.attempt = 1 OR (type = 'demo' AND priority = 'low') WHERE status = 'queued'),
+timed AS (SELECT *, created_at::timestamp + to_milliseconds(500 * ((1 << (nth - 1)) - 1)) AS moment FROM runs)
+SELECT id AS task_id, nth::integer AS attempt, moment AS delivered_at,
+       CASE WHEN flaky AND nth < 3 THEN 'requeued' WHEN flaky THEN 'exhausted_dlq' WHEN type = 'demo' THEN 'completed'
+            WHEN type = 'fail' THEN 'permanent_dlq' ELSE 'no_handler_dlq' END AS disposition,
+       CASE WHEN flaky THEN 'busy' WHEN type = 'fail' THEN 'requested failure for demo'
+            WHEN type <> 'demo' THEN concat('no handler registered for type "', type, '"') END AS error,
+       CASE WHEN flaky AND nth < 3 THEN 'queued' WHEN type = 'demo' AND NOT flaky THEN 'completed' ELSE 'failed' END AS status,
+       (1 + 2 * nth)::integer AS version, CASE WHEN flaky AND nth < 3 THEN moment + to_milliseconds(500 * nth) END AS next_at
+FROM timed""")
 _TOTALS = """
 , counted AS (SELECT task_id, disposition, count(*) AS n, max(seq) AS last_seq FROM replayed GROUP BY task_id, disposition),
 versions AS (

@@ -4,12 +4,16 @@ import heapq
 import sys
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from workloom.operators.lifecycle import with_attempts
 from workloom.schemas import BUILTIN_TASK_TYPES, MAX_ATTEMPTS, TERMINAL_STATUSES
+from workloom.session import ship_package
 
 # The process that sets up a stream's state does not see files added to the session, so this
 # module's code travels with the query.
@@ -26,47 +30,81 @@ def _in_order(row: Row, n: int) -> tuple:
 _FINAL = {"completed": "completed", "dup_execution_stuck": "processing"}
 
 
+def _first_of_batches(most: int, order: list[str]):
+    """Of each Arrow batch, each task's first `most` rows in order, and how many more there were as one row."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = [(name, "ascending") for name in ("task_id", *order)]
+            batch = batch.take(pc.sort_indices(pa.Table.from_batches([batch]), keys, null_placement="at_start"))
+            task = batch.column("task_id").fill_null("")
+            head = np.ones(n, bool)
+            head[1:] = pc.not_equal(task.slice(1), task.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(head)
+            rank = np.arange(n) - starts[np.cumsum(head) - 1]
+            yield batch.filter(pa.array(rank < most))
+            sizes = np.diff(starts, append=n)
+            long = sizes > most
+            if long.any():
+                firsts = batch.column("task_id").take(pa.array(starts[long]))
+                more = pa.array(sizes[long] - most)
+                yield pa.RecordBatch.from_arrays(
+                    [firsts if f.name == "task_id" else more if f.name == "more" else pa.nulls(len(more), f.type) for f in batch.schema],
+                    schema=batch.schema)
+    return work
+
+
 class _TaskReplay(StatefulProcessor):
-    """Advances one queued task by the deliveries of a micro-batch."""
+    """Advances one task by the deliveries of a micro-batch."""
 
-    def __init__(self, handlers: frozenset[str], max_attempts: int, n_order: int, carry: list[str]):
+    def __init__(self, handlers: frozenset[str], max_attempts: int, n_order: int, carry: list[str], joined: bool):
         self._handlers = handlers
         self._max_attempts = max_attempts
         self._n_order = n_order
         self._carry = carry
+        self._joined = joined
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._task = handle.getValueState("task", "status string, version int, tried array<int>")
+        self._task = handle.getValueState("task", "status string, version int, task_type string, tried array<int>")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._task.update((initialState.status, initialState.version, initialState.task_type, initialState.tried))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         total, current = 0, None
 
-        def counted():
+        def given():
             nonlocal total, current
             for row in rows:
-                total += 1
+                total += row.more or 1
                 current = current or row
-                yield row
-
-        early = heapq.nsmallest(self._max_attempts, counted(), key=lambda row: _in_order(row, self._n_order))
-        status, version, tried = self._task.get() or ("queued", current.first_version, ())
+                if row.more is None:
+                    yield row
+
+        early = heapq.nsmallest(self._max_attempts, given(), key=lambda row: _in_order(row, self._n_order))
+        known = self._task.get() or (self._joined and (current.status, current.version, current.task_type, current.tried))
+        if not known:
+            yield self._row(key[0], None, "not_found", None, total, None, None)
+            return
+        status, version, task_type, tried = known
         tried, n_effective = set(tried or ()), 0
         if status == "queued":
             for row in early:
                 attempt = row.attempt
-                disposition = self._own_disposition(
-                    attempt, row.outcome, current.task_type, row.recorded or attempt in tried)
+                disposition = self._own_disposition(attempt, row.outcome, task_type, attempt in tried)
                 tried.add(attempt)
                 n_effective += 1
                 version += 1 if disposition in ("max_attempts_dlq", "dup_execution_stuck") else 2
                 status = "queued" if disposition == "requeued" else _FINAL.get(disposition, "failed")
-                yield self._row(key[0], current.task_type, disposition, attempt, 1, status, version, row)
+                yield self._row(key[0], task_type, disposition, attempt, 1, status, version, row)
                 if status != "queued":
                     break
-            self._task.update((status, version, sorted(tried) if status == "queued" else []))
+            self._task.update((status, version, task_type, sorted(tried) if status == "queued" else []))
         if total > n_effective:
             quiet = "terminal_noop" if status in TERMINAL_STATUSES else "in_flight_noop"
-            yield self._row(key[0], current.task_type, quiet, None, total - n_effective, status, version)
+            yield self._row(key[0], task_type, quiet, None, total - n_effective, status, version)
 
     def _row(self, task_id, task_type, disposition, attempt, n_deliveries, status, version, row=None) -> Row:
         return Row(task_id=task_id, task_type=task_type, disposition=disposition, attempt=attempt,
@@ -90,49 +128,50 @@ class _TaskReplay(StatefulProcessor):
 
 def stream_replay(deliveries: DataFrame, tasks: DataFrame, order: list[str],
                   handlers=BUILTIN_TASK_TYPES, max_attempts: int = MAX_ATTEMPTS,
-                  executions: DataFrame | None = None, carry: list[str] = ()) -> DataFrame:
+                  executions: DataFrame | None = None, carry: list[str] = (), initial_state: bool = False) -> DataFrame:
     """Dispositions of a delivery stream, as in the batch `replay`.
 
     A delivery that changes its task gives a row with the status and version after it, and with its
     `carry` columns, such as those a dead letter needs (subject, data, error and the time).
     Deliveries without effect are counted in `n_deliveries`. Micro-batches must arrive in log
     order; inside one, `order` decides. `tasks` and `executions` are the tables as the stream
-    begins: tasks that are not queued there never change, so their deliveries are settled by the
-    join and only the others carry state.
-
-    The state holds the status, the version and the attempts already run, never more than
-    `max_attempts - 1`. A hot task's rows pass one by one and only the first `max_attempts` of a
-    micro-batch are kept, so memory does not grow with them. Needs the RocksDB state store
+    begins. With `initial_state` they are loaded into the state once, every task of them, and no
+    micro-batch reads them again: for streams that run long. Without, each micro-batch joins what it holds with the
+    tasks, and only those that were queued at the start carry state: for short runs, and tables that are mostly done.
+
+    The state holds a task's status, type, version and the attempts already run, never more than
+    `max_attempts`. A task's first `max_attempts` rows of a micro-batch decide, so each task of the
+    stream's input sends that many rows of a task and a count of the rest for each of its Arrow batches; a
+    task with very many deliveries is reduced wherever they are read. Needs the RocksDB state store
     (`session.use_rocksdb_state`).
     """
-    known = tasks.select(F.col("id").alias("task_id"), F.col("type").alias("_type"),
-                         F.col("status").alias("_status"), F.col("version").alias("_version"))
+    ship_package(tasks.sparkSession)
+    known = tasks.where("id IS NOT NULL").select(F.col("id").alias("task_id"), "status", F.col("version").cast("int").alias("version"),
+                                                 F.col("type").alias("task_type"))
+    if executions is None:
+        known = known.withColumn("tried", F.array().cast("array<int>"))
+    else:
+        ran = (executions.where(F.col("attempt") <= max_attempts).groupBy("task_id")
+               .agg(F.collect_set(F.col("attempt").cast("int")).alias("tried")))
+        known = known.join(ran, "task_id", "left")
+    carry, places = list(carry), [f"order_{i}" for i in range(len(order))]
     deliveries = with_attempts(deliveries)
-    carry = list(carry)
     kinds = {name: deliveries.schema[name].dataType.simpleString() for name in carry}
-    joined = deliveries.join(known, "task_id", "left")
-    settled = joined.where(F.col("_status").isNull() | (F.col("_status") != "queued")).select(
-        "task_id",
-        F.when(F.col("_status").isNull(), "not_found")
-        .when(F.col("_status").isin(*TERMINAL_STATUSES), "terminal_noop")
+    rows = deliveries.select(
+        "task_id", "attempt", "outcome", *[F.col(name).alias(place) for place, name in zip(places, order)],
+        *[F.col(name).alias(f"carried_{name}") for name in carry], F.lit(None).cast("bigint").alias("more"))
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
+    reduced = rows.mapInArrow(_first_of_batches(max_attempts, places), schema)
+    output = _OUTPUT.format(carried=", ".join(f"{name} {kind}" for name, kind in kinds.items())).rstrip(", ")
+    processor = _TaskReplay(frozenset(handlers), max_attempts, len(order), carry, joined=not initial_state)
+    if initial_state:
+        return reduced.groupBy("task_id").transformWithState(processor, output, "append", "none", initialState=known.groupBy("task_id"))
+    joined = reduced.join(known, "task_id", "left")
+    settled = joined.where(F.col("status").isNull() | (F.col("status") != "queued")).select(
+        "task_id", "task_type",
+        F.when(F.col("status").isNull(), "not_found").when(F.col("status").isin(*TERMINAL_STATUSES), "terminal_noop")
         .otherwise("in_flight_noop").alias("disposition"),
-        F.col("attempt").cast("int").alias("attempt"),
-        F.lit(1).cast("bigint").alias("n_deliveries"), F.col("_status").alias("status"),
-        F.col("_version").cast("int").alias("version"), F.col("_type").alias("task_type"),
+        "attempt", F.coalesce("more", F.lit(1)).cast("bigint").alias("n_deliveries"), "status", "version",
         *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()])
-    queued = joined.where(F.col("_status") == "queued")
-    if executions is None:
-        queued = queued.withColumn("recorded", F.lit(False))
-    else:
-        recorded = executions.select("task_id", "attempt", F.lit(True).alias("recorded"))
-        queued = (queued.join(recorded, ["task_id", "attempt"], "left")
-                  .withColumn("recorded", F.coalesce("recorded", F.lit(False))))
-    keyed = queued.select(
-        "task_id", F.col("attempt").cast("int").alias("attempt"), "outcome", "recorded",
-        *[F.col(name).alias(f"order_{i}") for i, name in enumerate(order)], F.col("_type").alias("task_type"),
-        F.col("_version").cast("int").alias("first_version"),
-        *[F.col(name).alias(f"carried_{name}") for name in carry])
-    output = _OUTPUT.format(carried=", ".join(f"{name} {kind}" for name, kind in kinds.items())).rstrip(", ")
-    advanced = keyed.groupBy("task_id").transformWithState(
-        _TaskReplay(frozenset(handlers), max_attempts, len(order), carry), output, "append", "none")
+    advanced = joined.where(F.col("status") == "queued").groupBy("task_id").transformWithState(processor, output, "append", "none")
     return settled.unionByName(advanced)
