@@ -10,8 +10,8 @@ with repeats counted and with matches in different order refused.
    their text order. Nodes with the same ordered pick meet in a bucket.
 3. In each bucket, nodes are compared with the bucket's least node; what is linked gets one label. Buckets that
    still hold several labels are searched on: small ones pair by pair across labels, so that no link is lost
-   there; in large ones, each turn, the nodes outside the main label are compared with members that a hash picks
-   anew for each bucket. So a large bucket of n nodes costs about n comparisons a turn, and copies of copies meet
+   there; in large ones the nodes outside the main label are compared with members that a hash picks
+   for each bucket. So a large bucket of n nodes costs about n comparisons, and copies of copies meet
    through labels instead of pairs.
 4. The members of large buckets that then still hold several labels are joined on their rarest shingles by an
    exact prefix filter: sequences that align well enough share one of them. Every pair across labels that the
@@ -26,7 +26,6 @@ id). Repeated rows fall into one class. Ties go to the least doc_id; a class of
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +41,6 @@ SIMILARITY = 0.8
 SKETCHES, PICKS = 16, 3
 #: Buckets of so many nodes are compared pair by pair where labels differ.
 SMALL = 64
-#: Larger buckets are searched for so many turns at least, and on as long as that brings links; then exactly.
-LEAST_TURNS = 2
 
 _SEEDS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -162,7 +159,7 @@ def _sketching(sketches: int, picks: int, size: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, n), pa.array(nodes, pa.binary()),
                      pa.array(keys, pa.list_(pa.int64())), batch.column(1).slice(row, n)],
-                    names=["id", "node", "keys", "text"])
+                    names=["id", "name", "keys", "text"])
     return work
 
 
@@ -200,9 +197,9 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _candidates(buckets: DataFrame, turn: int) -> DataFrame:
     """Pairs of nodes of different labels that share a bucket.
 
-    First every node with its bucket's least one. Later, in buckets of at most SMALL nodes, all pairs across
+    First every node with its bucket's least one. Then, in buckets of at most SMALL nodes, all pairs across
     labels; in larger ones every node outside the label with the most nodes, with one node of that label and
-    with one of any other label, each picked by a hash that differs from bucket to bucket and turn to turn.
+    with one of any other label, each picked by a hash that differs from bucket to bucket.
     """
     key = ["sketch", "key"]
     if not turn:
@@ -233,7 +230,7 @@ def _rest(members: DataFrame, bodies: DataFrame, size: int, least: float) -> Dat
     sides have at least `need` left. The label with most holders of a shingle doesn't meet itself.
     """
     texts = members.join(bodies, "node").select("node", "label", "text")
-    found = stash(map_batches(texts, _shingling(size), "node binary, label binary, shingles array<bigint>"), "rest")
+    found = stash(map_batches(texts, _shingling(size), "node bigint, label bigint, shingles array<bigint>"), "rest")
     held = stash(found.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
                  .where("held > 1"), "shingle-counts")
     each = found.select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
@@ -265,57 +262,68 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     base = docs.select(docs[doc_id].alias("id"), text_of(docs, text))
     kind = docs.schema[doc_id].dataType.simpleString()
     read = stash(map_batches(base, _sketching(sketches, picks, size),
-                             f"id {kind}, node binary, keys array<bigint>, text string"), "sketches")
-    nodes = read.where("node IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys"))
-    buckets = stash(nodes.select("node", F.posexplode("keys").alias("sketch", "key")), "buckets")
+                             f"id {kind}, name binary, keys array<bigint>, text string"), "sketches")
+    # Nodes get whole numbers once and for all, which group and sort without their 128-bit names.
+    nodes = stash(read.where("name IS NOT NULL").groupBy("name").agg(F.first("keys").alias("keys"))
+                  .withColumn("node", F.monotonically_increasing_id()), "nodes")
+    each = nodes.select("node", F.posexplode("keys").alias("sketch", "key"))
     # Buckets of one node can't bring a pair.
-    shared = stash(buckets.groupBy("sketch", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared-keys")
-    buckets = stash(buckets.join(shared, ["sketch", "key"]), "shared-buckets")
-    involved = buckets.select("node").distinct()
-    bodies = stash(read.select("node", "text").where("node IS NOT NULL").join(involved, "node")
+    shared = stash(each.groupBy("sketch", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared-keys")
+    buckets = stash(each.join(shared, ["sketch", "key"]), "shared-buckets")
+    involved = nodes.select("name", "node").join(buckets.select("node").distinct(), "node")
+    bodies = stash(read.select("name", "text").where("name IS NOT NULL").join(involved, "name")
                    .groupBy("node").agg(F.min("text").alias("text")), "bodies")
-    tested = links = labels = None
-
-    def labelled() -> DataFrame:
-        named = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(
-            labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        return stash(named, "named")
-
-    def untested(pairs: DataFrame) -> DataFrame:
-        return stash(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         with_b = with_a.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return stash(map_batches(with_b.select("a", "b", "text_a", "text_b"), _verifying(size, least),
-                                 "a binary, b binary, score double"), "scored")
-
-    for turn in count():
-        pairs = untested(_candidates(labelled(), turn)) if turn else _candidates(buckets, turn)
-        if turn and not pairs.limit(1).count():
-            break
-        scored = verified(pairs)
-        new = scored.where(F.col("score") >= least).select("a", "b")
-        tested = scored if tested is None else tested.unionByName(scored)
-        if new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
-        elif turn >= LEAST_TURNS:
-            break
-    named = labelled()
-    large = named.groupBy("sketch", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    large = stash(large.where(f"n > {SMALL} AND low <> high").select("sketch", "key"), "large-buckets")
-    if large.limit(1).count():
-        members = named.join(large, ["sketch", "key"]).select("node", "label").distinct()
-        pairs = untested(_rest(members, bodies, size, least))
-        new = verified(pairs).where(F.col("score") >= least).select("a", "b")
-        if new.limit(1).count():
-            labels = components(new if links is None else links.unionByName(new))
-    wide = read.select("id", "node", F.xxhash64("text").alias("digest"))
+                                 "a bigint, b bigint, score double"), "scored")
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        return stash(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+
+    def still_open(buckets: DataFrame) -> DataFrame:
+        """The buckets that hold several labels, with labels and sizes; labels only unite, so the others are done with."""
+        named = buckets.select("sketch", "key", "node")
+        named = named.withColumn("label", F.col("node")) if labels is None else named.join(
+            labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        kept = named.groupBy("sketch", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        return stash(named.join(stash(kept.where("low <> high").select("sketch", "key", F.col("n").alias("size")), "open-keys"), ["sketch", "key"]), "open-buckets")
+
+    def united(new: DataFrame) -> DataFrame | None:
+        """The labels after more links, found among the labels that they join."""
+        if not new.limit(1).count():
+            return labels
+        if labels is None:
+            return components(new)
+        ends = new
+        for end in ("a", "b"):
+            of_end = labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+            ends = ends.join(of_end, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
+        tops = components(ends.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).where("a <> b").distinct())
+        moved = labels.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select(
+            "node", F.coalesce("top", "label").alias("label"))
+        return stash(moved.unionByName(tops.join(labels.select("node"), "node", "left_anti")), "labels")
+
+    labels = None
+    tested = verified(_candidates(buckets, 0))
+    labels = united(tested.where(F.col("score") >= least).select("a", "b"))
+    buckets = still_open(buckets)
+    more = verified(untested(_candidates(buckets, 1)))
+    tested = tested.unionByName(more)
+    labels = united(more.where(F.col("score") >= least).select("a", "b"))
+    # Small buckets are done; what is still open in large ones is compared exactly.
+    members = stash(still_open(buckets.where(f"size > {SMALL}")).select("node", "label").distinct(), "members")
+    if members.limit(1).count():
+        labels = united(verified(untested(_rest(members, bodies, size, least))).where(F.col("score") >= least).select("a", "b"))
+    wide = read.select("id", F.col("name").alias("node"), F.xxhash64("text").alias("digest"))
+    wide = wide.join(nodes.select(F.col("name").alias("node"), F.col("node").alias("number")), "node", "left")
     if labels is not None:
-        wide = wide.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        wide = wide.join(labels.select(F.col("node").alias("number"), "label"), "number", "left").withColumn("label", F.coalesce("label", "number"))
     else:
-        wide = wide.withColumn("label", F.col("node"))
+        wide = wide.withColumn("label", F.col("number"))
+    wide = wide.drop("number")
     named = wide.where("label IS NOT NULL").groupBy("label").agg(
         F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_class"))
     named = stash(named, "class-ids")
