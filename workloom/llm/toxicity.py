@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from workloom.llm import logistic
 from workloom.llm.frames import map_batches, text_of
 from workloom.llm.words import Words, chunks
+from workloom.session import stash
 
 MAX_TRAIN = 20_000
-MAX_TERMS = 4_000
 LEAST_FUZZY = 5
 REACH = 20
 #: How much of a hit's weight is left for a hit by one edit, and for one in quotation.
@@ -36,7 +36,7 @@ STEMS = range(4, 9)
 #: Signs beyond ASCII count as parts of words; these are taken off before matching.
 _MARKS = "“”„‘’‚«»‹›…–—"
 _MARK_BYTES = np.array([m.encode() for m in _MARKS], "S3")
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 200_000
 
 
 @dataclass
@@ -197,8 +197,11 @@ def features(lexicon: Lexicon, column: pa.Array) -> np.ndarray:
     return np.log1p(np.concatenate(rows)) if rows else np.zeros((0, 4))
 
 
-def _lexicon(sample: DataFrame, max_terms: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Terms and stems with their weights, from (text, toxic). Counts are of distinct texts."""
+def _lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Terms and stems with their weights, from (text, toxic). Counts are of distinct texts.
+
+    A term stands in at least three toxic texts of the bounded sample, which bounds the lexicon; nothing else does.
+    """
     texts = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
     totals = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
@@ -206,22 +209,21 @@ def _lexicon(sample: DataFrame, max_terms: int) -> tuple[dict[str, float], dict[
         return {}, {}
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = (texts.select("toxic", F.explode(F.array_distinct(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))).alias("word"))
-             .where("word <> '' AND length(word) <= 60")
+             .where("word <> ''")
              .groupBy("word").agg(F.sum("toxic").cast("long").alias("t"), F.sum(1 - F.col("toxic")).cast("long").alias("c")))
-    words = words.persist()
+    words = stash(words, "words")
 
     def weight(t, c):
         return F.log((t + 0.5) / (n_toxic + 1)) - F.log((c + 0.5) / (n_clean + 1))
 
     least = max(3, n_toxic // 200)
     terms = (words.where(f"t >= {least} AND t >= 3 * c AND length(word) >= 3").withColumn("w", weight(F.col("t"), F.col("c")))
-             .where("w >= 2.5").orderBy(F.desc("t"), "word").limit(max_terms).collect())
+             .where("w >= 2.5").collect())
     stems = (words.select("t", "c", F.explode(F.array(*[F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in STEMS])).alias("stem"))
              .where("stem IS NOT NULL").groupBy("stem")
              .agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"))
              .where(f"n >= 3 AND t >= {2 * least + 1} AND t >= 20 * c").withColumn("w", weight(F.col("t"), F.col("c")))
-             .where("w >= 2.5").orderBy(F.desc("w"), F.desc("t"), "stem").limit(max_terms).collect())
-    words.unpersist()
+             .where("w >= 2.5").collect())
     kept: dict[str, float] = {}
     for r in sorted(stems, key=lambda r: r.stem):  # in order, so a stem comes before its own extensions
         if not any(r.stem[:k] in kept for k in STEMS if k < len(r.stem)):
@@ -241,7 +243,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         used.pop(int(np.argmin(w[:-1])))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> tuple[dict, dict, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[dict, dict, np.ndarray]:
     """(terms, stems, curve) from the rows of `labels` (doc_id, toxic) that are not held out."""
     usable = (labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
               .where("id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("id")))
@@ -249,11 +251,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_te
               .orderBy(F.xxhash64("id"), "id").limit(max_train))
     texts = docs.select(docs["doc_id"].alias("id"), text_of(docs, "text"))
     sample = texts.join(F.broadcast(usable), "id").withColumn("half", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(2)))
-    sample = sample.persist()
-    terms, stems = _lexicon(sample.where("half = 0").select("text", "toxic"), max_terms)
+    sample = stash(sample, "sample")
+    terms, stems = _lexicon(sample.where("half = 0").select("text", "toxic"))
     fitted = _features_of(sample.where("half = 1").select("toxic", "text"), terms, stems, "toxic int").collect()
-    terms, stems = _lexicon(sample.select("text", "toxic"), max_terms)
-    sample.unpersist()
+    terms, stems = _lexicon(sample.select("text", "toxic"))
     x, y = np.array([r.features for r in fitted]), np.array([r.toxic for r in fitted], float)
     if not len(y) or y.min() == y.max() or not (terms or stems):
         share = float(y.mean()) if len(y) else 0.0
@@ -264,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_te
 
 def _features_of(df: DataFrame, terms: dict, stems: dict, carried: str, curve: np.ndarray | None = None) -> DataFrame:
     """The first columns of `df`, and from its last, the text, the features, or the score if a curve is given."""
-    model = df.sparkSession.sparkContext.broadcast((terms, stems))  # at most 2 * max_terms entries
+    model = df.sparkSession.sparkContext.broadcast((terms, stems))  # bounded by the sample, see _lexicon
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon_of(model)
