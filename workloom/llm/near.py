@@ -41,6 +41,8 @@ SIMILARITY = 0.8
 SKETCHES, PICKS = 16, 3
 #: Buckets of so many nodes are compared pair by pair where labels differ.
 SMALL = 64
+#: So many of a node's earlier prefix shingles keep a pair from being met again and again.
+EARLIER = 16
 
 _SEEDS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -237,18 +239,23 @@ def _rest(members: DataFrame, bodies: DataFrame, size: int, least: float) -> Dat
     ranked = each.join(held, "shingle").groupBy("node", "label", "n").agg(
         F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("common"))
     # What no other node holds comes first in the order, so the common ones are its end.
-    prefix = ranked.select("node", "label", "n", F.size("common").alias("m"), F.posexplode("common").alias("place", "x")).select(
-        "node", "label", "n", (F.col("m") - F.col("place")).alias("left"), F.col("x.shingle").alias("shingle"))
-    prefix = stash(prefix.where(F.col("left") >= F.ceil(least * F.col("n") - 1e-6)), "prefixes")
+    start = ranked.withColumn("m", F.size("common")).select("node", "label", "n", "m", F.slice(F.transform("common", lambda x: x["shingle"]), F.lit(1), F.greatest(
+        F.col("m") - F.ceil(least * F.col("n") - 1e-6).cast("int") + 1, F.lit(0))).alias("start"))
+    # A row also bears the few prefix shingles before its own: a pair that shares one of those has met there already.
+    prefix = start.select("node", "label", "n", "m", "start", F.posexplode("start").alias("place", "shingle")).select(
+        "node", "label", "n", (F.col("m") - F.col("place")).alias("left"), "shingle",
+        F.slice("start", F.greatest(F.col("place") - EARLIER, F.lit(0)) + 1, F.least("place", F.lit(EARLIER))).alias("earlier"))
+    prefix = stash(prefix, "prefixes")
     of_label = prefix.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = stash(of_label.groupBy("shingle").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"))
                   .where("labels > 1").select("shingle", F.col("most.label").alias("main")), "mixed-shingles")
     met = prefix.join(mixed, "shingle")
-    x, y = (stash(rows.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "label", "n", "left")], *more), f"rest-{side}")
+    x, y = (stash(rows.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "label", "n", "left", "earlier")], *more), f"rest-{side}")
             for side, rows, more in (("x", met.where("label <> main"), ["main"]), ("y", met, [])))
     need = F.ceil(least / (1 + least) * (F.col("x_n") + F.col("y_n")) - 1e-6)
     pairs = x.join(y, "shingle").where(
-        F.expr("x_label <> y_label AND (y_label = main OR x_label < y_label)") & (F.least("x_left", "y_left") >= need))
+        F.expr("x_label <> y_label AND (y_label = main OR x_label < y_label)") & (F.least("x_left", "y_left") >= need)
+        & ~F.arrays_overlap("x_earlier", "y_earlier"))
     return _ordered(pairs.select(F.col("x_node").alias("x"), F.col("y_node").alias("y")))
 
 
