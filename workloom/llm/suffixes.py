@@ -468,7 +468,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array([s[0] for _, _, t, *m in _texts(batch) for s in suffixes(t, *m, width, step)], pa.binary())], names=["s"])
 
-        sampled = marked(some.select("k1", "k2", *[F.col("x")[c].alias(c) for c in ("at", "first", "last")]))
+        # At most 40 times MOST_PARTS of them, but for chance, so they go to the texts and not the texts to them.
+        sampled = marked(F.broadcast(some.select("k1", "k2", *[F.col("x")[c].alias(c) for c in ("at", "first", "last")])))
         got = sorted({bytes(r.s) for r in map_batches(sampled, picked, "s binary").collect()})
         splitters = sorted({got[len(got) * i // parts] for i in range(1, parts)}) if got else []
     runs = map_batches(marked(), _run_rows(splitters, width, step), "part int, run bigint, seq int, block binary")
