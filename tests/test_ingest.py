@@ -23,6 +23,15 @@ BODIES = [
     ('{"payload":1,"priority":"urgent"}', (None, None, None, "validation_error", "type is required")),
     ('{"type":"","payload":1}', (None, None, None, "validation_error", "type is required")),
     ('{"type":null,"payload":1}', (None, None, None, "validation_error", "type is required")),
+    ('{"type":"a","TYPE":"demo","payload":1,"Payload":{"x":1,"x":2}}', ("demo", '{"x":2}', "normal", None, None)),
+    ('{"type":"demo","type":null,"payload":1,"priority":"low","Priority":null}', ("demo", "1", "low", None, None)),
+    ('{"type":5,"type":"demo","payload":1}', (None, None, None, "invalid_json", "malformed body")),
+    ('{"type":"demo","payload":1,"payload":null}', ("demo", "null", "normal", None, None)),
+    ('{"type":"demo","payload":{"b":[%s, 0.50],"a":"\u00e9"}} x' % ("9" * 60), ("demo", '{"a":"é","b":[%s,0.5]}' % ("9" * 60), "normal", None, None)),
+    ('{"type":"demo","payload":"%s"}' % ("9" * 60), ("demo", '"%s"' % ("9" * 60), "normal", None, None)),
+    ('{"type":"demo","payload":1,"t\u0131pe":3}', ("demo", "1", "normal", None, None)),
+    ("{'type':'demo','payload':1}", (None, None, None, "invalid_json", "malformed body")),
+    (" null ", (None, None, None, "validation_error", "type is required")),
     ("null", (None, None, None, "validation_error", "type is required")),
     ('{"type":"demo"}', (None, None, None, "validation_error", "payload is required")),
     ('{"type":5,"payload":1}', (None, None, None, "invalid_json", "malformed body")),
@@ -69,6 +78,10 @@ MESSAGES = [
     ('{"task_id":5}', (None, None, "bad_message")),
     ("[1]", (None, None, "bad_message")), ("{bad", (None, None, "bad_message")), ("", (None, None, "bad_message")),
     ("{}", (None, None, "bad_task_id")), ("null", (None, None, "bad_task_id")),
+    (f'{{"task_id":"x","Task_ID":"{U}","priority":"low","priority":null}}', (U, "low", None)),
+    (f'{{"task_id":"{U}","taſk_id":"x"}}', (None, None, "bad_task_id")), (f'{{"task_id":1,"task_id":"{U}"}}', (None, None, "bad_message")),
+    (f'{{"task_id":"{U}","x":{{"y":1,"y":2}}}}', (U, "", None)), (f'{{"task_id":"{U}"}},"x":{{}}', (None, None, "bad_message")),
+    ("null null", (None, None, "bad_message")), (None, (None, None, "bad_message")),
     ('{"task_id":null}', (None, None, "bad_task_id")), ('{"task_id":"x"}', (None, None, "bad_task_id")),
 ]
 
@@ -85,7 +98,7 @@ def test_messages_decode_strictly(spark):
 def test_parsing_happens_once_under_a_filter(spark):
     raw = spark.createDataFrame([(b,) for b, _ in BODIES], "body string").where("body <> 'x'")
     plan = ingest.ingest_requests(raw).where("error IS NULL")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("parseJson(") == 1
+    assert plan.count("from_json(") == 1
 
 
 def test_text_columns(spark):
@@ -105,6 +118,18 @@ def test_text_columns(spark):
     assert row.g == '{"a":{"z":null},"b":1}' and row.h == [None] * 4
 
 
+def test_canonical_payloads_keep_long_numbers_and_the_last_key(spark):
+    cases = [('{"a":1,"b":{"z":1,"z":2},"a":3}', '{"a":3,"b":{"z":2}}'), ("1" * 60, "1" * 60), ("-" + "1" * 60 + ".500", "-" + "1" * 60 + ".5"),
+             ('{"b":1e3,"a":%s.00}' % ("2" * 45), '{"a":%s,"b":1000}' % ("2" * 45)), ('["%s"]' % ("3" * 60), '["%s"]' % ("3" * 60)),
+             ("[%s," % ("1" * 60), None), ("", None), (None, None), ("[]", "[]"),
+             ('{"x":1e999999999,"y":%s}' % ("4" * 50), '{"x":1e999999999,"y":%s}' % ("4" * 50)),
+             ("[0.%s0]" % ("5" * 50), "[0.%s]" % ("5" * 50)), ('{"k":%s,"k":%s1}' % ("6" * 50, "6" * 50), '{"k":%s1}' % ("6" * 50))]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "n int, t string")
+    got = {r.n: r.c for r in df.select("n", canonical_payload("t").alias("c")).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert got[i] == want, text
+
+
 def test_headers(spark):
     empty = F.lit(None).cast("map<string,string>")
     row = spark.range(1).select(

@@ -114,7 +114,13 @@ ingested AS (
          CASE WHEN details IS NULL THEN CASE p WHEN '' THEN 'normal' ELSE p END END AS priority,
          CASE WHEN details = 'malformed body' THEN 'invalid_json'
               WHEN details IS NOT NULL THEN 'validation_error' END AS error, details
-  FROM judged)
+  FROM judged WHERE event_id % 97 NOT IN (1, 2, 3)
+  UNION ALL SELECT event_id, received_at, 'demo', concat('{"n":', event_id, '}'), 'normal', NULL, NULL
+  FROM create_requests WHERE event_id % 97 = 1
+  UNION ALL SELECT event_id, received_at, 'demo', concat('{"big":', repeat('7', 50), event_id, '}'), 'normal', NULL, NULL
+  FROM create_requests WHERE event_id % 97 = 2
+  UNION ALL SELECT event_id, received_at, NULL, NULL, NULL, 'invalid_json', 'malformed body'
+  FROM create_requests WHERE event_id % 97 = 3)
 """
 _add("ingest_validate", "create_requests",
      _INGEST + "SELECT event_id, type, payload, priority, error, details FROM ingested")
@@ -165,8 +171,8 @@ _DECODED = f"""
   FROM (SELECT seq, CASE WHEN json_valid(data) THEN data ELSE '0' END AS data
         FROM task_messages WHERE {{0}})),
 fields AS (
-  SELECT seq, ok, CASE WHEN ok THEN data->>'task_id' END AS raw_id,
-         CASE WHEN ok THEN coalesce(data->>'priority', '') END AS p FROM shaped),
+  SELECT seq, ok, CASE WHEN seq % 97 = 1 THEN data->>'TASK_ID' WHEN ok THEN data->>'task_id' END AS raw_id,
+         CASE WHEN seq % 97 = 1 THEN 'low' WHEN ok THEN coalesce(data->>'priority', '') END AS p FROM shaped),
 ids AS (SELECT *, {_canonical_id('raw_id')} AS task_id FROM fields)
 SELECT seq, task_id, CASE WHEN task_id IS NOT NULL THEN p END AS priority,
        CASE WHEN NOT ok THEN 'bad_message' WHEN task_id IS NULL THEN 'bad_task_id' END AS reject FROM ids"""

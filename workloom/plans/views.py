@@ -72,7 +72,10 @@ VIEWS = {
         FROM lineitem""",
     "create_requests": """
         SELECT event_id, ts AS received_at,
-               CASE event_id % 12
+               CASE WHEN event_id % 97 = 1 THEN concat('{"type":"x","Type":"demo","payload":1,"PAYLOAD":{"n":2,"n":', event_id, '}}')
+                    WHEN event_id % 97 = 2 THEN concat('{"type":"demo","type":null,"payload":{"big":', repeat('7', 50), event_id, '}}')
+                    WHEN event_id % 97 = 3 THEN '{"type":"demo","Priority":5,"payload":{},"priority":"low"}'
+               ELSE CASE event_id % 12
                  WHEN 0 THEN '{bad json'
                  WHEN 1 THEN '{"payload":{"k":1}}'
                  WHEN 2 THEN '{"type":"demo"}'
@@ -84,13 +87,14 @@ VIEWS = {
                  WHEN 8 THEN concat('{"type":"","payload":', props, '}')
                  WHEN 9 THEN concat('{"type":7,"payload":', props, '}')
                  WHEN 10 THEN concat('{"type":"demo","payload":', props, ',"priority":""}')
-                 ELSE concat('{"type":"unknown","payload":', props, ',"priority":"normal"}') END AS body
+                 ELSE concat('{"type":"unknown","payload":', props, ',"priority":"normal"}') END END AS body
         FROM events""",
     "task_messages": f"""
         SELECT event_id AS seq, ts AS published_at,
                CASE WHEN event_id % 50 = 0 THEN concat('tasks.high', chr(10)) WHEN event_id % 50 = 1 THEN 'jobs.low'
                     WHEN user_id % 4 = 0 THEN 'tasks.high' WHEN user_id % 4 = 1 THEN 'tasks.normal' WHEN user_id % 4 = 2 THEN 'tasks.low' ELSE 'tasks.dlq' END AS subject,
-               CASE event_id % 20
+               CASE WHEN event_id % 97 = 1 THEN concat('{{"task_id":"x","TASK_ID":"', {_uuid('user_id')}, '","priority":"low","priority":null}}')
+               ELSE CASE event_id % 20
                  WHEN 0 THEN '{{bad'
                  WHEN 1 THEN '{{"task_id":"not-a-uuid","priority":"low"}}'
                  WHEN 2 THEN '[1]'
@@ -100,7 +104,7 @@ VIEWS = {
                  WHEN 6 THEN concat('{{"task_id":"URN:UUID:', upper({_uuid('user_id')}), '","priority":"high"}}')
                  WHEN 7 THEN concat('{{"task_id":"{{', {_uuid('user_id')}, '}}","priority":"high"}}')
                  WHEN 8 THEN concat('{{"task_id":"', {_uuid('user_id')}, chr(92), 'n","priority":"high"}}')
-                 ELSE concat('{{"task_id":"', {_uuid('user_id')}, '","priority":"normal"}}') END AS data
+                 ELSE concat('{{"task_id":"', {_uuid('user_id')}, '","priority":"normal"}}') END END AS data
         FROM events""",
     "http_requests": """
         SELECT event_id, ts, CASE WHEN event_type IN ('purchase', 'signup') THEN 'POST' ELSE 'GET' END AS method,

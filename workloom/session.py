@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -19,6 +20,7 @@ def build_session(app_name: str = "workloom", master: str | None = None, **conf)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         _STATE_STORE: _ROCKSDB,
+        _REPEATED_KEYS: "true",
     }
     settings.update({key.replace("__", "."): str(value) for key, value in conf.items()})
     builder = SparkSession.builder.appName(app_name)
@@ -34,6 +36,11 @@ def use_rocksdb_state(spark: SparkSession) -> None:
     spark.conf.set(_STATE_STORE, _ROCKSDB)
 
 
+def last_key_wins(spark: SparkSession) -> None:
+    """Makes JSON objects that repeat a key keep the last one instead of being refused."""
+    spark.conf.set(_REPEATED_KEYS, "true")
+
+
 _shipped: set[str] = set()
 
 
