@@ -163,7 +163,8 @@ def test_url_rules(spark):
 
 def test_trust_spreads_along_links_and_distrust_against_them(spark):
     links = {"good.org": ["friend.com", "friend.com/x"], "friend.com": ["far.com"], "bad.net": ["victim.com"], "fan.com": ["bad.net", "bad.net/2"],
-             "mixed.com": ["bad.net", "good.org"], "alone.com": []}
+             "mixed.com": ["bad.net", "good.org"], "alone.com": [], "lost.com": ["unseen.net"],
+             "ring1.com": ["ring2.com"], "ring2.com": ["ring1.com"]}
     rows = [(h, f"http://{h}/{'fr/' if h == 'good.org' else ''}", "".join(f'<a class=x href="http://{t}">t</a>' for t in to)) for h, to in links.items()]
     pages = spark.createDataFrame(rows, "page_id string, url string, html string")
     got = {r.page_id: r.judged for r in urls.judge(pages).collect()}
@@ -172,25 +173,32 @@ def test_trust_spreads_along_links_and_distrust_against_them(spark):
         for t in to:
             edges[h, t.split("/")[0]] = edges.get((h, t.split("/")[0]), 0) + 1
 
-    def walk(edges, seed):
-        rank = {seed: 1.0}
+    back = {(b, a): w for (a, b), w in edges.items()}
+    everyone = {h for e in edges for h in e}
+
+    def walk(edges, seeds):
+        rank = dict.fromkeys(seeds, 1.0)
         for _ in range(urls.ROUNDS):
-            new = {seed: 1.0}
+            got = {}
             for (a, b), w in edges.items():
-                new[b] = new.get(b, 0) + urls.DAMPING * rank.get(a, 0) * w / sum(v for (s, _), v in edges.items() if s == a)
-            rank = new
-        return rank
+                got[b] = got.get(b, 0) + urls.DAMPING * rank.get(a, 0) * w / sum(v for (s, _), v in edges.items() if s == a)
+            rank = {h: got.get(h, 0) + (h in seeds) for h in {*got, *seeds}}
+        return rank, got
 
-    trust, distrust = walk(edges, "good.org"), walk({(b, a): w for (a, b), w in edges.items()}, "bad.net")
+    (trust, good), (distrust, bad) = walk(edges, {"good.org"}), walk(back, {"bad.net", "unseen.net"})
+    forward, backward = walk(edges, everyone)[1], walk(back, everyone)[1]
     for h, j in got.items():
         assert j.trust == pytest.approx(trust.get(h, 0)) and j.distrust == pytest.approx(distrust.get(h, 0))
+        shares = good.get(h, 0) / forward[h] if forward.get(h) else 0, bad.get(h, 0) / backward[h] if backward.get(h) else 0
+        assert (j.trust_share, j.distrust_share) == pytest.approx(shares) and 0 <= min(shares) and max(shares) <= 1
         if not j.rule:
-            assert j.verdict == ("block" if j.distrust - j.trust > .5 else "allow")
-    assert got["fan.com"].verdict == "block" and got["friend.com"].verdict == got["alone.com"].verdict == "allow"
+            assert j.verdict == ("block" if j.distrust_share - j.trust_share > .5 else "allow")
+    assert got["fan.com"].verdict == got["lost.com"].verdict == "block"
+    assert got["friend.com"].verdict == got["alone.com"].verdict == got["ring1.com"].verdict == "allow"
 
 
 def test_all_linkers_of_a_blocked_host_are_blocked(spark):
-    links = {f"fan{i}.com": ["bad.net"] for i in range(300)} | {"half.com": ["bad.net", "other.com"], "bad.net": [], "other.com": []}
+    links = {f"fan{i}.com": ["bad.net"] for i in range(10_000)} | {"half.com": ["bad.net", "other.com"], "bad.net": [], "other.com": []}
     rows = [(h, f"http://{h}/", "".join(f'<a href="http://{t}">t</a>' for t in to)) for h, to in links.items()]
     pages = spark.createDataFrame(rows, "page_id string, url string, html string")
     got = {r.page_id: r.judged.verdict for r in urls.judge(pages).collect()}
