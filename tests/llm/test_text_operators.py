@@ -1,6 +1,7 @@
 """Decontamination, near-dedup, line templates and suffix dedup against brute force."""
 
 import hashlib
+import pickle
 import random
 import re
 
@@ -67,6 +68,16 @@ def test_decontamination(spark, block_bytes):
     assert decontaminate.scan(docs, bench.limit(0)).where(decontaminate.n_hit(c) > 0).count() == 0
 
 
+def test_a_block_of_the_benchmark_stays_small():
+    texts = [prose(400) for _ in range(600)] + ["the same thirteen words stand in each of these short items of the test set again"] * 3000
+    size = sum(map(len, texts))
+    windows = decontaminate._Windows(texts, 13)
+    assert len(pickle.dumps(windows)) < 14 * size + (1 << 20)
+    found = list(windows.find(Words(*next(chunks(pa.array([texts[3], texts[-1]])))[1:])))
+    assert [f[2] for f in found[:388]] == [[3]] * 388 and [len(f[2]) for f in found[388:]] == [3000] * (len(found) - 388)
+    assert len(found) == 388 + len(words_of(texts[-1])) - 12
+
+
 def test_common_subsequence():
     for t in range(200):
         a = [rng.randrange(6) for _ in range(rng.randrange(1, 40))]

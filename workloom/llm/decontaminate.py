@@ -4,8 +4,11 @@ Every benchmark text gives windows of `n` consecutive words (a shorter text is o
 word inside an occurrence of a window is hit. Window hashes only nominate; each nominated window is
 compared word by word before it counts.
 
-The benchmark is cut into blocks of at most `block_bytes` of text. Only one block is broadcast per pass,
-and the passes are chained without a shuffle, so a benchmark of any size works with bounded memory.
+The benchmark is cut into blocks of about half of `block_bytes` of text, by a hash of id and text. Each block is collected,
+indexed in arrays of about ten bytes a byte of text, broadcast, used in one pass over the documents without a shuffle, and
+dropped before the next one is read; between two passes the documents are written to the shared folder. So driver and workers
+hold one block at a time, whatever the size of the benchmark, and the work grows with documents times blocks. A
+benchmark of one block needs no writing. A single item longer than a block is a block by itself.
 
 Nulls and empty texts have no words and are never hit. Repeated benchmark rows count once per id; a null
 id marks words but is not listed. Repeated documents are judged alike. Empty tables give empty results.
@@ -19,48 +22,66 @@ from pyspark.sql import DataFrame, functions as F
 
 from workloom.llm.frames import free_name, map_batches, text_of
 from workloom.llm.words import Words, chunks
+from workloom.session import stash
 
 #: Bytes of benchmark text that one broadcast holds at most; one longer item stands alone.
 BLOCK_BYTES = 8 << 20
 
 
 class _Windows:
-    """The windows of one block of benchmark texts by length, with the items that hold each."""
+    """The windows of one block of benchmark texts: per length, their hashes in order, and the words they begin with."""
 
     def __init__(self, texts: list[str], n: int):
-        self.items: dict[int, dict[int, dict[bytes, list[int]]]] = {}
-        column = pa.array(texts, pa.large_string())
-        for row, data, offsets in chunks(column):
+        self.words: list[Words] = []
+        found: dict[int, list[np.ndarray]] = {}
+        for row, data, offsets in chunks(pa.array(texts, pa.large_string())):
             words = Words(data, offsets)
             counts = words.counts()
             for length in {min(n, int(c)) for c in counts if c}:
                 at, hashes = words.windows(length)
                 owner = np.searchsorted(words.first, at, "right") - 1
                 wanted = (counts[owner] == length) if length < n else (counts[owner] >= n)
-                by_hash = self.items.setdefault(length, {})
-                for i, h, o in zip(at[wanted].tolist(), hashes[wanted].tolist(), owner[wanted].tolist()):
-                    holders = by_hash.setdefault(h, {}).setdefault(words.phrase(i, length), [])
-                    if not holders or holders[-1] != row + o:
-                        holders.append(row + o)
-        self.filters = {}
-        for length, by_hash in self.items.items():
-            keys = np.fromiter(by_hash, np.uint64, len(by_hash))
+                kind = [("hash", np.uint64), ("part", np.int32), ("at", np.int32), ("owner", np.int32)]
+                rows = np.empty(int(wanted.sum()), kind)
+                rows["hash"], rows["part"], rows["at"], rows["owner"] = (
+                    hashes[wanted], len(self.words), at[wanted], owner[wanted] + row)
+                found.setdefault(length, []).append(rows)
+            words.hashes = None  # not needed to compare words
+            self.words.append(words)
+        self.index = {}
+        for length, parts in found.items():
+            rows = np.concatenate(parts)
+            rows = rows[np.argsort(rows["hash"], kind="stable")]  # a window's owners stay in order
+            keys = np.ascontiguousarray(rows["hash"])
             coarse = np.zeros(1 << 20, bool)
             coarse[keys >> np.uint64(44)] = True
-            self.filters[length] = (coarse, np.sort(keys))
+            self.index[length] = coarse, keys, rows[["part", "at", "owner"]]
+        self.known: dict[tuple[int, int], dict[bytes, list[int]]] = {}
 
     def find(self, words: Words) -> Iterator[tuple[int, int, list[int]]]:
         """(first word, length, items) of every occurrence."""
-        for length, (coarse, keys) in self.filters.items():
+        for length, (coarse, keys, _) in self.index.items():
             at, hashes = words.windows(length)
             near = np.flatnonzero(coarse[hashes >> np.uint64(44)])
             place = np.searchsorted(keys, hashes[near])
-            near = near[keys[np.minimum(place, len(keys) - 1)] == hashes[near]]
-            for i, h in zip(at[near].tolist(), hashes[near].tolist()):
-                holders = self.items[length][h].get(words.phrase(i, length))
+            same = keys[np.minimum(place, len(keys) - 1)] == hashes[near]
+            for i, p in zip(at[near[same]].tolist(), place[same].tolist()):
+                holders = self._holders(length, p).get(words.phrase(i, length))
                 if holders:
                     yield i, length, holders
 
+    def _holders(self, length: int, place: int) -> dict[bytes, list[int]]:
+        """The different windows with the hash at `place`, and the items that hold each; kept once asked for."""
+        if (length, place) not in self.known:
+            _, keys, rows = self.index[length]
+            held: dict[bytes, list[int]] = {}
+            for part, at, owner in rows[place:np.searchsorted(keys, keys[place], "right")].tolist():
+                items = held.setdefault(self.words[part].phrase(at, length), [])
+                if not items or items[-1] != owner:
+                    items.append(owner)
+            self.known[length, place] = held
+        return self.known[length, place]
+
 
 def _runs(marked: np.ndarray) -> np.ndarray:
     """(start, end) of each run of true values."""
@@ -112,16 +133,19 @@ def _pass(windows, ids, last: bool):
 
 
 def _blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int):
-    """The benchmark's texts and ids, block by block; a block is all that reaches the driver at once."""
+    """The number of blocks, and their texts and ids; a block is all that reaches the driver at once."""
     rows = benchmark.select(F.col(id_column).cast("string").alias("id"), text_of(benchmark, text_column))
     rows = rows.distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-2 * size // block_bytes))
-    for block in range(n_blocks):
-        part = rows if n_blocks == 1 else rows.where(
-            F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block)
-        got = part.orderBy("text", "id").collect()
-        yield [r.text for r in got], [r.id for r in got]
+
+    def texts_and_ids():
+        for block in range(n_blocks):
+            part = rows if n_blocks == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block)
+            got = part.orderBy("text", "id").collect()
+            yield [r.text for r in got], [r.id for r in got]
+
+    return n_blocks, texts_and_ids()
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
@@ -138,21 +162,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                        F.lit(None).cast("struct<n_words:bigint,runs:array<bigint>,items:array<string>>").alias("__found"),
                        *[docs[c].alias(f"__{i}") for i, c in enumerate(keep)])
     kept = [f"__{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    blocks = list(_blocks_broadcast(spark, benchmark, item_id, item_text, n, block_bytes))
-    for k, (windows, ids) in enumerate(blocks):
-        last = k == len(blocks) - 1
+    n_blocks, blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    for k, (texts, names) in enumerate(blocks):
+        last = k == n_blocks - 1
+        windows, ids = (spark.sparkContext.broadcast(x) for x in (_Windows(texts, n), names))  # one block, see block_bytes
         found = "struct<n_words:bigint,runs:array<bigint>,items:array<string>" + (
             ",spans:array<struct<start:bigint,end:bigint>>>" if last else ">")
-        names = [f"__found {found}"] if last else ["__text string", f"__found {found}"]
-        body = map_batches(body, _pass(windows, ids, last), ", ".join([*names, *kept]))
+        columns = [f"__found {found}"] if last else ["__text string", f"__found {found}"]
+        body = map_batches(body, _pass(windows, ids, last), ", ".join([*columns, *kept]))
+        if not last:
+            body = stash(body, "scanned")
+            for used in (windows, ids):
+                used.destroy()
     return body.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], F.col("__found").alias(into))
 
 
-def _blocks_broadcast(spark, benchmark, item_id, item_text, n, block_bytes):
-    for texts, ids in _blocks(benchmark, item_id, item_text, block_bytes):
-        yield spark.sparkContext.broadcast(_Windows(texts, n)), spark.sparkContext.broadcast(ids)
-
-
 def n_hit(found) -> F.Column:
     """Hit words, from the struct of `scan`."""
     runs = found["runs"]
