@@ -1,6 +1,6 @@
 """Lookups by id and ordered listings."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from workloom.functions.ids import parse_uuid, valid_uuid
 from workloom.schemas import (
@@ -68,6 +68,16 @@ def checked_task_id(task_id: str) -> str:
     return found
 
 
+def check_status(status: str | None, strict: bool = True) -> None:
+    if status and status not in TASK_STATUSES and strict:
+        raise ValueError(INVALID_STATUS)
+
+
+def list_order() -> list[Column]:
+    """The order of the task list."""
+    return [F.desc("created_at"), F.col("id")]
+
+
 def filter_tasks(tasks: DataFrame, status: str | None = None, type: str | None = None) -> DataFrame:
     """Equality filters that apply only when given; both reach the file scan."""
     if status:
@@ -83,9 +93,8 @@ def list_tasks(tasks: DataFrame, status: str | None = None, type: str | None = N
 
     `strict` rejects arguments outside their ranges; otherwise they fall back to the defaults.
     """
-    if status and status not in TASK_STATUSES and strict:
-        raise ValueError(INVALID_STATUS)
-    page = filter_tasks(tasks, status, type).orderBy(F.desc("created_at"), "id")
+    check_status(status, strict)
+    page = filter_tasks(tasks, status, type).orderBy(*list_order())
     offset = checked_offset(offset, strict)
     if offset:
         page = page.offset(offset)

@@ -11,7 +11,7 @@ from workloom.functions.text import (
 )
 from workloom.functions.timing import epoch_micros
 from workloom.operators import (
-    changes, checks, handlers, ingest, lifecycle, logs, lookup, metrics, stored, traces,
+    changes, checks, handlers, ingest, lifecycle, logs, lookup, metrics, pages, stored, traces,
 )
 from workloom.plans.views import stream_view, view
 from workloom.session import fresh_path, use_rocksdb_state
@@ -387,6 +387,12 @@ def list_tasks(spark, sf_dir):
     return lookup.list_tasks(view(spark, sf_dir, "tasks"), status="queued", limit=50, offset=20)
 
 
+@query
+def list_tasks_by_position(spark, sf_dir):
+    listing = pages.build_listing(view(spark, sf_dir, "tasks"), fresh_path(spark, "listing"), rows_per_range=1000)
+    return listing.page(type="demo", limit=200, offset=700)
+
+
 @query
 def list_executions(spark, sf_dir):
     task_id = "10000000-0000-4000-8000-000000000000"

@@ -356,6 +356,8 @@ SELECT task_id, attempt, delivered_at, disposition,
 
 _add("list_tasks", "tasks", f"""
 SELECT {_TASK_COLUMNS} FROM tasks WHERE status = 'queued' ORDER BY created_at DESC, id LIMIT 50 OFFSET 20""")
+_add("list_tasks_by_position", "tasks", f"""
+SELECT {_TASK_COLUMNS} FROM tasks WHERE type = 'demo' ORDER BY created_at DESC, id LIMIT 200 OFFSET 700""")
 _add("list_executions", "execution_attempts", """
 SELECT id, task_id, attempt, status, error, started_at, finished_at FROM execution_attempts
 WHERE task_id = '10000000-0000-4000-8000-000000000000' ORDER BY attempt DESC, id LIMIT 50""")
