@@ -183,6 +183,23 @@ def test_logs_for_spans_equal_brute_force(spark):
     assert sorted((r.span, r.log) for r in pairs.collect()) == want
 
 
+def test_long_spans_touch_two_panes_and_meet_all_their_logs(spark):
+    import random
+    rng = random.Random(6)
+    at = lambda: dt.datetime(1969, 12, 1) + dt.timedelta(minutes=rng.randint(0, 150_000))
+    spans = [(rng.choice(["hot", "hot", "k", None]), i, s, s + dt.timedelta(minutes=rng.choice([0, 100, 5_000, 43_200, 20_000_000]))) for i in range(50) for s in [at()]]
+    spans += [("hot", 98, None, T0), ("hot", 99, at(), None)]
+    lines = [(rng.choice(["hot", "hot", "k", None]), i, at()) for i in range(400)] + [("hot", 900, None)]
+    left = spark.createDataFrame(spans, "k string, span int, start_ts timestamp, end_ts timestamp")
+    right = spark.createDataFrame(lines, "k string, log int, ts timestamp")
+    hour = dt.timedelta(hours=1)
+    want = sorted((s, n) for k, s, a, b in spans if k and a for j, n, t in lines if k == j and t and a - hour <= t <= (b or a) + hour)
+    assert sorted((r.span, r.log) for r in traces.logs_for_spans(left, right, ["k"]).collect()) == want
+    month = spark.range(1).selectExpr("1000000L AS _opens", f"{30 * 86_400_000_000}L AS _closes")
+    assert len(traces._in_panes(month, 3_600_000_000).first()._panes) <= 2
+    assert traces.logs_for_spans(left.limit(0), right, ["k"]).count() == traces.logs_for_spans(left, right.limit(0), ["k"]).count() == 0
+
+
 def test_trace_sampling(spark):
     ids = [f"{'0' * 16}{x:016x}" for x in (0, 1, int(0.1 * 2**63) * 2 - 2, int(0.1 * 2**63) * 2, 2**64 - 1)]
     df = spark.createDataFrame([(i,) for i in ids], "trace_id string")
