@@ -3,6 +3,7 @@
 import html as decoder
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -139,6 +140,29 @@ def test_odd_pages(spark):
     assert html.extract(pages).columns == ["page_id", "html", "text"] and html.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    '<div class="x' * 80_000, '<a ">"' * 160_000, '<div class="x' * 80_000 + ">", "<a '>\"" * 150_000, "<" * 1_000_000, "<!-" * 300_000,
+    "<p>" + "<div>" * 100_000 + "</section>" * 60_000, "<script" * 140_000, "</script <svg>" * 70_000, "<a b='" * 150_000 + '">'])
+def test_a_page_is_scanned_once(page):
+    start = time.process_time()
+    html.blocks(page)
+    assert time.process_time() - start < 6
+
+
+TAGS = re.compile(  # the same tags by a pattern that may follow quotation marks again and again
+    r"<!--.*?(?:-->|\Z)|<(RAW)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>".replace("RAW", html._RAW), re.S | re.I)
+
+
+def test_tags_equal_those_of_a_pattern():
+    g = random.Random(8)
+    pieces = ["<p>", "</p>", "<a href=", '"', "'", ">", "<", "/>", "<!--", "-->", "<script>", "</script >", "<SVG", "</svg>", "text ", "<br/>", "<!doctype", "</", "<1", "?", "="]
+    for _ in range(20_000):
+        page = "".join(g.choices(pieces, k=g.randrange(1, 14)))
+        want = [(*m.span(), m[2] or "", (m[3] or "").lower(), m[4] or "") for m in TAGS.finditer(page)]
+        assert list(html._tags(page)) == want, page
+
+
 def judged(url):
     at = (url or "").find("://")
     host = path = ""

@@ -12,6 +12,7 @@ a `<` that opens no tag is text. Pages that repeat give the same text each time.
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -23,10 +24,10 @@ from workloom.llm.frames import map_batches
 
 #: Elements whose content is no text of the page.
 _RAW = "script|style|template|noscript|svg|math|title|textarea|select|object|iframe|canvas|audio|video"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
-    re.S | re.I)
+_OPENER = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+_RAW_OPENER = re.compile(rf"<({_RAW})\b", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW.split("|")}
+_QUOTE_OR_END = re.compile("[\"'>]")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
                     "small span strike strong sub sup time tt u var wbr nobr".split())
 _CONTAINERS = frozenset("article main section div nav header footer aside form ul ol dl menu table figure blockquote "
@@ -62,10 +63,55 @@ def _kind(tag: str, attributes: str) -> int:
     return kind
 
 
+def _tags(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of every tag; what else is no text has an empty name.
+
+    One pass: a quote from which no tag end was found is not followed again, and no tag is sought behind the last `>`.
+    """
+    last, at, open_ended = html.rfind(">") + 1, 0, set()
+
+    def tag_end(at: int) -> int:
+        """The place behind the first `>` outside quotation marks, or -1."""
+        passed = []
+        while found := _QUOTE_OR_END.search(html, at, last):
+            mark = found.start()
+            if html[mark] == ">":
+                return mark + 1
+            if mark in open_ended:
+                break
+            passed.append(mark)
+            at = html.find(html[mark], mark + 1) + 1
+            if not at:
+                break
+        open_ended.update(passed)
+        return -1
+
+    while found := _OPENER.search(html, at):
+        start, at = found.span()
+        if found[1]:
+            at = html.find("-->", at) + 3
+            at = at if at > 2 else len(html)
+            yield start, at, "", "", ""
+        elif start < last:
+            end = tag_end(found.end()) if found[3] else -1
+            raw = _RAW_OPENER.match(html, start) if end > 0 else None
+            if end < 0:  # a declaration, or a tag whose quotation marks don't close
+                at = html.find(">", start) + 1
+                yield start, at, "", "", ""
+            elif raw:
+                close = None if html[end - 2] == "/" else _RAW_END[raw[1].lower()].search(html, end)
+                at = end if html[end - 2] == "/" else close.end() if close else len(html)
+                yield start, at, "", "", ""
+            else:
+                at = end
+                yield start, at, found[2], found[3].lower(), html[found.end():end - 1]
+
+
 def blocks(html: str) -> list[tuple[str, int, int, int, bool, bool]]:
     """The page's text blocks: text, words, words in links, enclosing kinds, whether a heading, whether listed."""
     found = []
     stack: list[tuple[str, int]] = [("", 0)]
+    depth: Counter[str] = Counter()
     parts: list[tuple[str, bool]] = []
     at, linked, heading, listed = 0, False, False, False
 
@@ -77,38 +123,37 @@ def blocks(html: str) -> list[tuple[str, int, int, int, bool, bool]]:
                 found.append((text, len(text.split()), anchors, stack[-1][1], heading, listed))
             parts.clear()
 
-    for token in _TOKEN.finditer(html):
-        if token.start() > at:
-            parts.append((html[at:token.start()], linked))
-        at = token.end()
-        tag = token[3]
-        if tag is None:
+    for start, behind, slash, tag, attributes in _tags(html):
+        if start > at:
+            parts.append((html[at:start], linked))
+        at = behind
+        if not tag:
             continue
-        tag = tag.lower()
         if tag in _INLINE:
             if tag == "a":
-                linked = not token[2]
+                linked = not slash
             continue
         if tag == "br":
             parts.append((" ", linked))
             continue
         end()
-        if token[2]:
-            if tag in _CONTAINERS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+        if slash:
+            if depth.get(tag):
+                while (closed := stack.pop()[0]) != tag:
+                    depth[closed] -= 1
+                depth[tag] -= 1
             heading = False
             listed = listed and tag != "li"
         else:
-            kind = _kind(tag, token[4])
+            kind = _kind(tag, attributes)
             if tag in _CONTAINERS:
                 linked = False
                 if tag == "body":
                     stack[1:] = []
-                if not token[4].endswith("/"):
+                    depth.clear()
+                if not attributes.endswith("/"):
                     stack.append((tag, stack[-1][1] | kind))
+                    depth[tag] += 1
             elif kind & (FURNITURE | BESIDE) and tag in ("p", "span", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6"):
                 # Marked text that is no container counts for itself: a container of one block.
                 while stack[-1][0] == "*":
