@@ -389,7 +389,7 @@ def list_tasks(spark, sf_dir):
 
 @query
 def list_tasks_by_position(spark, sf_dir):
-    listing = pages.build_listing(view(spark, sf_dir, "tasks"), fresh_path(spark, "listing"), rows_per_range=1000)
+    listing = pages.build_listing(view(spark, sf_dir, "tasks"), fresh_path(spark, "listing"), rows_per_range=5000)
     return listing.page(type="demo", limit=200, offset=700)
 
 
