@@ -99,6 +99,45 @@ def test_quality_shrinks_sparse_sites(spark):
     assert [r.quality for r in none] == [pytest.approx(.5)]
 
 
+def test_quality_rates_equal_brute_force(spark):
+    g = random.Random(9)
+    leaning = {(h, p): g.random() for h in ("a", "b", None) for p in ("x", "y", None)}
+    rows = [(i, "some words", *g.choices(list(leaning), [50, 9, 1, 5, 5, 5, 2, 1, 1])[0]) for i in range(300)] + [(7, "again", "b", "y")]
+    marks = {i: int(g.random() < leaning[h, p]) for i, _, h, p in rows[:200]}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, site string, path string")
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    got = [(r.id, r.host, r.path, r.host_rate, r.path_rate) for r in quality.score(docs, labels, F.col("site"), F.col("path")).collect()]
+
+    def counts(key):
+        found = {}
+        for r in rows:
+            if r[0] in marks:
+                n, k = found.get(key(r), (0, 0))
+                found[key(r)] = n + 1, k + marks[r[0]]
+        return found
+
+    def strength(groups):  # (n, k, prior)
+        total = sum(n for n, _, _ in groups)
+        room = total - sum(n * n for n, _, _ in groups) / total - (len(groups) - 1)
+        alike = (sum(n * (k / n - p) ** 2 / (p * (1 - p)) for n, k, p in groups) - (len(groups) - 1)) / room
+        alike = min(max(alike, 1e-4), 1 / 3)
+        return (1 - alike) / alike
+
+    by_host, by_path = counts(lambda r: r[2]), counts(lambda r: r[2:])
+    n_all, k_all = map(sum, zip(*by_host.values()))
+    rate = k_all / n_all
+    hs = strength([(n, k, rate) for n, k in by_host.values()])
+    ps = strength([(n, k, (by_host[h][1] + hs * rate) / (by_host[h][0] + hs)) for (h, p), (n, k) in by_path.items()])
+    want = []
+    for i, _, h, p in rows:
+        (hn, hk), (pn, pk), own = by_host.get(h, (0, 0)), by_path.get((h, p), (0, 0)), (i in marks, marks.get(i, 0))
+        host_rate = (hk - own[1] + hs * rate) / (hn - own[0] + hs)
+        want.append((i, h, p, host_rate, (pk - own[1] + ps * host_rate) / (pn - own[0] + ps)))
+    key = lambda r: (r[0], str(r[1]), str(r[2]))
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:])
+
+
 def test_quality_counts_all_labels_unless_held_out(spark):
     docs = spark.createDataFrame([(i, "some words here", f"h{i % 2}", "p") for i in range(200)], "doc_id long, text string, site string, path string")
     held = docs.where(toxicity.held_out(F.col("doc_id"))).select("doc_id", (F.col("site") == "h0").cast("int").alias("quality"))

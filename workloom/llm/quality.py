@@ -4,12 +4,13 @@
    most `max_train` labelled rows, those with the least hash of their id.
 2. All labelled rows are counted per host and per path. A host's rate of good documents is shrunk towards the
    global rate, a path's rate towards its host's. How strongly is estimated from the counts themselves: the
-   less the groups differ beyond chance, the more rows a group needs to leave its prior.
+   less the groups differ beyond chance, the more rows a group needs to leave its prior. A labelled row is judged by
+   the counts without its own label.
 3. log-odds of the score = log-odds of the document + log-odds of the path - log-odds of the global rate.
 
 Hosts and paths are tables that Spark joins; nothing is collected but the bounded sample and a few sums.
 Rows that are held out (see `toxicity.held_out`) are left out only if asked for. Null hosts and paths are groups
-of their own. Null and empty texts have all features zero. Without labels every score is one half.
+of their own. Null and empty texts have all features zero. Rows that repeat an id count its label each. Without labels every score is one half.
 """
 
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from workloom.llm import logistic
 from workloom.llm.frames import map_batches, text_of
 from workloom.llm.toxicity import held_out
 from workloom.llm.words import Words, chunks, mix
+from workloom.session import stash
 
 MAX_TRAIN = 20_000
 _CLASSES = np.zeros(256, np.int64)  # 1 lower-case letters and other scripts, 2 capitals, 3 digits, 4 space, 5 line ends, 6 other signs
@@ -110,25 +112,31 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, doc_id
     fitted = len(y) > 0 and y.min() < y.max()
     weights = logistic.fit(x, y) if fitted else np.zeros(N_FEATURES + 1)
 
-    by_path = sites.join(marks, "id").groupBy("host", "path").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("good").alias("k")).persist()
+    by_path = stash(sites.join(marks, "id").groupBy("host", "path").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("good").alias("k")), "label-counts")
     total = by_path.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     rate = total.k / total.n if total.n else 0.5
     by_host = by_path.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    s = _strength(by_host.withColumn("prior", F.lit(rate)), "prior")
-    hosts = by_host.select("host", ((F.col("k") + s * rate) / (F.col("n") + s)).alias("host_rate"))
+    host_strength = _strength(by_host.withColumn("prior", F.lit(rate)), "prior")
+
+    def shrunk(k, n, strength: float, prior):
+        return (k + strength * prior) / (n + strength)
+
+    hosts = by_host.select("host", shrunk(F.col("k"), F.col("n"), host_strength, F.lit(rate)).alias("host_rate"))
     nested = by_path.join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).drop("of")
-    s = _strength(nested, "host_rate")
-    paths = nested.select(F.col("host").alias("p_host"), F.col("path").alias("p_path"),
-                          ((F.col("k") + s * F.col("host_rate")) / (F.col("n") + s)).alias("path_rate"))
-    hosts = hosts.withColumnRenamed("host", "h_host")
+    path_strength = _strength(nested, "host_rate")
+    hosts, paths = (df.select(*[F.col(c).alias(f"{kind}_{c}") for c in df.columns]) for kind, df in (("h", by_host), ("p", by_path)))
 
     body = docs.select(docs[doc_id].alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"),
                        text_of(docs, text))
     own = _with_text(body, f"id {kind}, host string, path string", weights).withColumnRenamed("made", "evidence")
     joined = (own.join(paths, F.col("host").eqNullSafe(F.col("p_host")) & F.col("path").eqNullSafe(F.col("p_path")), "left")
               .join(hosts, F.col("host").eqNullSafe(F.col("h_host")), "left"))
-    joined = joined.withColumn("host_rate", F.coalesce("host_rate", F.lit(rate)))
-    joined = joined.withColumn("path_rate", F.coalesce("path_rate", "host_rate"))
+    joined = joined.join(marks.withColumnRenamed("id", "m_id"), F.col("id") == F.col("m_id"), "left")
+    # A row's own label is no evidence about it.
+    counts = {f"{kind}_{c}": F.coalesce(f"{kind}_{c}", F.lit(0)) - own for kind in "hp"
+              for c, own in (("n", F.col("good").isNotNull().cast("int")), ("k", F.coalesce("good", F.lit(0))))}
+    joined = joined.withColumn("host_rate", shrunk(counts["h_k"], counts["h_n"], host_strength, F.lit(rate)))
+    joined = joined.withColumn("path_rate", shrunk(counts["p_k"], counts["p_n"], path_strength, F.col("host_rate")))
     odds = _log_odds(F.col("evidence")) + _log_odds(F.col("path_rate")) - _log_odds(F.lit(rate))
     return joined.select("id", "host", "path", "evidence", "host_rate", "path_rate", (1 / (1 + F.exp(-odds))).alias("quality"))
