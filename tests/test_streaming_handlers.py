@@ -198,3 +198,30 @@ def test_retry_rounds(spark):
     assert {(r.task_id, r.attempt): r.retry_after_ms for r in executions.collect()} == {
         ("a", 1): None, ("b", 1): None, ("d", 1): 500, ("d", 2): 1000, ("d", 3): None, ("e", 1): None}
     assert {(r.task_id, r.attempt) for r in dead.collect()} == {("b", 1), ("d", 3), ("e", 1)}
+
+
+@pytest.mark.parametrize("initial_state", [False, True])
+def test_a_bucket_of_state_holds_many_tasks(spark, tmp_path, initial_state):
+    tasks, log, _ = random_case(12, n=300)
+    task_df, delivery_df = frames(spark, tasks, log)
+    expected, _, _ = fold_deliveries(tasks, [r[:3] for r in log], set())
+    stream = staged(spark, delivery_df, str(tmp_path / "log"), 2, "seq")
+    got = drain(stream_replay(stream, task_df, ORDER, initial_state=initial_state, buckets=3), tmp_path)
+    counts = {}
+    for (key, *_), disposition in zip(log, expected):
+        counts[key, disposition] = counts.get((key, disposition), 0) + 1
+    assert {(r.task_id, r.disposition): r.n for r in got.groupBy("task_id", "disposition").agg(F.sum("n_deliveries").alias("n")).collect()} == counts
+    state = spark.read.format("statestore").option("stateVarName", "tasks").load(str(tmp_path / "cp"))
+    assert 0 < state.count() <= 3
+
+
+def test_redelivery_in_one_bucket(spark, tmp_path):
+    registry = HandlerRegistry.with_defaults()
+    registry.register("some", _sometimes)
+    tasks = queued(spark, [(str(i), "some", "never" if i % 2 else "", "queued") for i in range(40)]).withColumn("priority", F.lit("low"))
+    log = [(0, str(i), 1, T0 + dt.timedelta(seconds=i)) for i in range(40)] + [(1, None, 1, T0 + dt.timedelta(days=1))]
+    stream = staged(spark, spark.createDataFrame(log, "seq int, task_id string, attempt int, delivered_at timestamp"), str(tmp_path / "in"), 2, "seq")
+    got = drain(stream_redelivery(stream, tasks, registry, max_attempts=3, buckets=1), tmp_path).where("task_id IS NOT NULL").collect()
+    assert sorted((int(r.task_id), r.attempt, r.disposition) for r in got) == sorted(
+        [(i, 1, "completed") for i in range(0, 40, 2)]
+        + [(i, n, "exhausted_dlq" if n == 3 else "requeued") for i in range(1, 40, 2) for n in (1, 2, 3)])
