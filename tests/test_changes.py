@@ -119,3 +119,17 @@ def test_updates_without_an_expected_version(spark, partitions):
     got = {r.requested_at: r.outcome for r in outcomes.collect()}
     first = next(r[3] for r in rows if r[0] == "a" and r[1] == 1)
     assert got == {r[3]: "not_found" if r[0] == "zz" else "updated" if r[3] == first else "version_conflict" for r in rows}
+
+
+def test_delete_sorts_no_table(spark):
+    tasks = spark.range(2000).selectExpr("cast(id AS string) AS id")
+    executions = spark.range(6000).selectExpr("cast(id AS string) AS id", "cast(id % 2000 AS string) AS task_id")
+    ids = spark.range(0, 4000, 2).selectExpr("cast(id % 2000 AS string) AS id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, kept = changes.delete_tasks(tasks, executions, ids)
+        assert left.count() == 1000 and kept.count() == 3000
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort " not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

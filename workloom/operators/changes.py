@@ -239,8 +239,11 @@ def finish_executions(executions: DataFrame, results: DataFrame,
 
 
 def delete_tasks(tasks: DataFrame, executions: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables without the given tasks and their executions."""
-    gone = ids.select("id").distinct()
+    """Both tables without the given tasks and their executions.
+
+    Only the ids are held, each partition's own in one hash table; the tables' rows pass by it unsorted.
+    """
+    gone = ids.select("id").distinct().hint("shuffle_hash")
     left = tasks.join(gone, "id", "left_anti")
     kept = executions.join(gone.select(F.col("id").alias("task_id")), "task_id", "left_anti")
     return left, kept
