@@ -266,3 +266,13 @@ def test_suffix_dedup_of_a_long_text(spark):
     got = {r.id: (r.n_bytes, r.n_removed, [(s.start, s.end) for s in r.spans]) for r in suffixes.remove_repeats(docs).collect()}
     end = 700 + len(middle)
     assert got == {1: (end + 700, 1_400, [(0, 700), (end, end + 700)]), 2: (5, 0, [])}
+
+
+def test_a_task_of_lines_leaves_in_small_batches():
+    import pyarrow as pa
+    from workloom.llm.templates import _parsing
+    text = "\n".join(f"the line of words number {'x' * 100} {i}" for i in range(100))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1000)), "digest": list(range(1000)), "text": [text] * 1000})
+    made = list(_parsing(4, 10)(iter([batch])))
+    assert sum(b.num_rows for b in made) == 100_000
+    assert max(b.nbytes for b in made) < 4 << 20

@@ -32,6 +32,8 @@ DEPTH, CONSTANT, MIN_DOCS, MIN_CHARS = 4, 0.6, 2, 10
 VARIABLE = "<*>"
 #: So many leaves are sent to every task; more are joined by shuffle, with the same result.
 _BROADCAST_LEAVES = 500_000
+#: Masked lines leave a task in batches of about so many characters.
+_FLUSH_CHARS = 1 << 20
 _DIGIT = re.compile(r"\d")
 
 
@@ -82,7 +84,7 @@ def _parsing(depth: int, min_chars: int):
                     seen.add(key)
                     texts.append(masked)
                     size += len(masked)
-                if size > 1 << 23:
+                if size > _FLUSH_CHARS:
                     size = 0
                     yield flush()
             if rows:
@@ -131,8 +133,10 @@ def templates(lines: DataFrame, constant: float = CONSTANT, min_docs: int = MIN_
     shared = placed.join(often, ["leaf", "place", "token"]).groupBy("leaf", "line", "n").agg(F.sort_array(F.collect_list(
         F.struct("place", "token", F.floor(F.log2("held")).cast("int").alias("power")))).alias("held"))
     levels = shared.select("leaf", "line", "n", "held", F.explode(F.array_distinct("held.power")).alias("level"))
-    fixed = F.map_from_entries(F.transform(F.filter("held", lambda x: x["power"] >= F.col("level")), lambda x: F.struct(x["place"], x["token"])))
-    signed = levels.withColumn("fixed", fixed).where(F.size("fixed") >= constant * F.col("n")).select(
+    held = F.filter("held", lambda x: x["power"] >= F.col("level"))
+    fixed = F.map_from_entries(F.transform(held, lambda x: F.struct(x["place"], x["token"])))
+    # Few levels hold enough places; only theirs are made into patterns.
+    signed = levels.where(F.size(held) >= constant * F.col("n")).withColumn("fixed", fixed).select(
         "leaf", "line", "level", F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(
             F.element_at("fixed", i), F.lit(VARIABLE))), " ").alias("pattern"))
     signed = stash(signed.withColumn("template", F.xxhash64("leaf", "pattern")), "signatures")
