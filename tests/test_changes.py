@@ -133,3 +133,16 @@ def test_delete_sorts_no_table(spark):
         assert "ShuffledHashJoin" in plan and "Sort " not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_unknown_tasks_need_no_second_join(spark):
+    schema = "id string, task_id string, attempt int, started_at timestamp"
+    at = dt.datetime(2024, 1, 1)
+    new = spark.createDataFrame([("a", "t", 1, at), ("b", "t", 1, at), ("c", "gone", 1, at), ("d", None, 1, at), ("e", "t", 2, at), ("f", "t", None, at)], schema)
+    old = spark.createDataFrame([("z", "t", 2, at)], schema)
+    table, outcomes = changes.insert_executions(old, new, ["started_at"], tasks=spark.createDataFrame([("t",)], "id string"))
+    assert {r.id: r.outcome for r in outcomes.collect()} == {
+        "a": "inserted", "b": "already_exists", "c": "unknown_task", "d": "unknown_task", "e": "already_exists", "f": "already_exists"}
+    assert sorted(r.id for r in table.collect()) == ["a", "f", "z"]
+    assert set(outcomes.columns) == {*new.columns, "outcome"}
+    assert "Union" not in outcomes._jdf.queryExecution().optimizedPlan().toString()

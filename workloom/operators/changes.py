@@ -195,8 +195,9 @@ def insert_executions(executions: DataFrame, new: DataFrame, order: list[str],
     order = [*order, "id"] if "id" not in order else list(order)
     offered = new
     if tasks is not None:
-        known = tasks.select(F.col("id").alias("task_id")).distinct()
-        new = offered.join(known, "task_id", "left_semi")
+        known = tasks.select(F.col("id").alias("task_id")).distinct().withColumn("_known", F.lit(True))
+        offered = offered.join(known, "task_id", "left")
+        new = offered.where("_known").drop("_known")
     first = Window.partitionBy(*pair).orderBy(*order)
     winners = (
         new.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1).drop("_nth")
@@ -204,15 +205,11 @@ def insert_executions(executions: DataFrame, new: DataFrame, order: list[str],
     )
     table = executions.unionByName(winners.select(*executions.columns))
     winning = winners.select(*pair, F.struct(*order).alias("_winner"))
-    outcomes = (
-        new.join(winning, pair, "left")
-        .withColumn("outcome", F.when(F.struct(*order) == F.col("_winner"), "inserted")
-                    .otherwise("already_exists"))
-        .drop("_winner")
-    )
+    outcome = F.when(F.struct(*order) == F.col("_winner"), "inserted").otherwise("already_exists")
     if tasks is not None:
-        unknown = offered.join(known, "task_id", "left_anti").withColumn("outcome", F.lit("unknown_task"))
-        outcomes = outcomes.unionByName(unknown)
+        # The winners' tasks are known, so the rows of other tasks find none.
+        outcome = F.when(F.col("_known").isNull(), "unknown_task").otherwise(outcome)
+    outcomes = offered.join(winning, pair, "left").withColumn("outcome", outcome).drop("_winner", "_known")
     return table, outcomes
 
 
