@@ -276,3 +276,22 @@ def test_a_task_of_lines_leaves_in_small_batches():
     made = list(_parsing(4, 10)(iter([batch])))
     assert sum(b.num_rows for b in made) == 100_000
     assert max(b.nbytes for b in made) < 4 << 20
+
+
+def test_a_lines_tokens_are_filtered_once_a_level(spark, monkeypatch):
+    """The pattern of a line is made in one pass over its tokens, not with one filter for each place."""
+    plans, write = {}, templates.stash
+
+    def watched(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(templates, "stash", watched)
+    lead, body = "This page was last", " ".join(f"{word()}x" for _ in range(40))
+    texts = [f"{lead} {chr(97 + i)}o {chr(97 + i)}p {body} {chr(97 + i)}q of it" for i in range(16)]
+    texts += [f"{lead} {' '.join(f'{word()}{chr(97 + i % 26)}{chr(97 + i // 26)}{j}' for j in 'pqr' * 15)}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = templates.templates(write(templates.parsed_lines(docs), "lines")).where("pattern IS NOT NULL").collect()
+    assert [r.pattern for r in found] == [f"{lead} <*> <*> {body} <*> of it"] * 16
+    made = [x for x in plans["signatures"].splitlines() if "Project" in x and "transform(" in x]
+    assert made and not any("filter(" in x for x in made)

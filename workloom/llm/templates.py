@@ -132,13 +132,15 @@ def templates(lines: DataFrame, constant: float = CONSTANT, min_docs: int = MIN_
     # A token counts at all powers of two up to the lines that hold it. As a plain table, so that a join can split a hot leaf.
     shared = placed.join(often, ["leaf", "place", "token"]).groupBy("leaf", "line", "n").agg(F.sort_array(F.collect_list(
         F.struct("place", "token", F.floor(F.log2("held")).cast("int").alias("power")))).alias("held"))
-    levels = shared.select("leaf", "line", "n", "held", F.explode(F.array_distinct("held.power")).alias("level"))
-    held = F.filter("held", lambda x: x["power"] >= F.col("level"))
-    fixed = F.map_from_entries(F.transform(held, lambda x: F.struct(x["place"], x["token"])))
-    # Few levels hold enough places; only theirs are made into patterns.
-    signed = levels.where(F.size(held) >= constant * F.col("n")).withColumn("fixed", fixed).select(
-        "leaf", "line", "level", F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(
-            F.element_at("fixed", i), F.lit(VARIABLE))), " ").alias("pattern"))
+    # Few levels hold enough places; only theirs are made into patterns. `inline` makes `fixed` a column: inside a lambda it
+    # would be filtered anew for every place.
+    levels = F.transform(F.array_distinct("held.power"), lambda level: F.struct(
+        level.alias("level"), F.filter("held", lambda x: x["power"] >= level).alias("fixed")))
+    chosen = shared.select("leaf", "line", "n", F.inline(F.filter(levels, lambda x: F.size(x["fixed"]) >= constant * F.col("n"))))
+    before = lambda i: F.coalesce(F.get("fixed", i - 1)["place"], F.lit(-1))
+    signed = chosen.select("leaf", "line", "level", F.concat(
+        F.array_join(F.transform("fixed", lambda x, i: F.concat(F.repeat(F.lit(VARIABLE + " "), x["place"] - before(i) - 1), x["token"])), " "),
+        F.repeat(F.lit(" " + VARIABLE), F.col("n") - 1 - F.element_at("fixed", -1)["place"])).alias("pattern"))
     signed = stash(signed.withColumn("template", F.xxhash64("leaf", "pattern")), "signatures")
     several = stash(signed.groupBy("leaf", "template").agg(F.min("line").alias("low"), F.max("line").alias("high"))
                     .where("low <> high").select("leaf", "template"), "several-lines")
