@@ -165,3 +165,15 @@ def test_violations(spark):
         ("task_executions", "status check", "e2"): 1, ("task_executions", "unique task_id attempt", "a/1"): 2,
         ("task_executions", "foreign key task_id", "z"): 1}
     assert checks.constraint_violations(tasks, execs)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+
+
+def test_unique_keys_are_told_apart_in_more_tasks_the_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(checks, "ROWS_PER_TASK", 100)
+    tasks = spark.range(450).select(F.when(F.col("id") < 440, F.concat(F.lit("k"), F.col("id") % 437)).alias("id"))
+    execs = spark.range(1000).select(F.concat(F.lit("e"), "id").alias("id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(
+        F.concat(F.lit("t"), "id")).alias("task_id"), F.when(F.col("id") % 10 > 0, 1).alias("attempt"))
+    found = checks.unique_violations(tasks, execs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("task_executions", "unique task_id attempt", "hot/1", 400),
+                                                   *[("tasks", "primary key", f"k{i}", 2) for i in range(3)]]
+    assert plan.count("Exchange") == 3 and plan.count(", 5), REPARTITION_BY_NUM") == 1 and plan.count(", 10), REPARTITION_BY_NUM") == 2
