@@ -19,8 +19,10 @@ class PermanentError(Exception):
 
 def is_permanent(error: BaseException | None) -> bool:
     """Whether the error, or one it was raised from, is permanent."""
+    # By name: a class that travels with a query is a copy of the one that a function's own module imports.
+    wanted = (PermanentError.__module__, PermanentError.__qualname__)
     while error is not None:
-        if isinstance(error, PermanentError):
+        if any((kind.__module__, kind.__qualname__) == wanted for kind in type(error).__mro__):
             return True
         error = error.__cause__
     return False
