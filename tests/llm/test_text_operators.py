@@ -144,6 +144,43 @@ def test_near_copies_in_large_buckets(spark):
     assert {r.id: r.class_id for r in near.classes(docs).collect()} == {d: root(d) for d in range(len(texts))}
 
 
+def test_rest_of_large_buckets_joins_prefixes_only(spark, monkeypatch):
+    passage, made = prose(150), []
+    texts = [f"{passage} {prose(50)}" for _ in range(240)]
+
+    frame = type(spark.range(1))
+    join = frame.join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == "shingle":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(frame, "join", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.id: r.class_id for r in near.classes(docs).collect()} == {d: d for d in range(240)}
+    # Each holds 146 of the passage's shingles, too few of its 196 for a copy.
+    assert made and sum(made) < 240 * 146 / 10
+
+
+@pytest.mark.parametrize("slots", [1, 50, 1 << 21])
+def test_rest_in_any_order_of_shingles(spark, monkeypatch, slots):
+    form = prose(200)
+    texts = [f"{form} {prose(25)}" for _ in range(100)]
+    texts += [f"{form} {' '.join(t.split(' ')[200:202])} {prose(23)}" for t in texts[:30]] + [edited(form, .01) for _ in range(30)]
+    rows: list[np.ndarray] = []
+    for _, data, offsets in chunks(pa.array(texts, pa.string())):
+        rows += [near._labelled(x) for x in near.shingles(Words(data, offsets))]
+    alike = {(i, j) for j in range(len(rows)) for i in range(j) if near.similarity(rows[i], rows[j]) >= .8}
+    assert len(alike) > 30
+    monkeypatch.setattr(near, "SLOTS", slots)
+    members = spark.createDataFrame([(i, i) for i in range(len(texts))], "node long, label long")
+    bodies = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    pairs = {(r.a, r.b) for r in near._rest(members, bodies, near.SHINGLE, near.SIMILARITY).collect()}
+    assert alike <= pairs
+
+
 def test_line_templates(spark):
     common = "All rights reserved by the owner"
     texts = [f"{prose(8)}\nUser {i} logged in from host 10.0.0.{i}\n{common}\nok then\n{prose(9)}" for i in range(6)]

@@ -14,8 +14,9 @@ with repeats counted and with matches in different order refused.
    for each bucket. So a large bucket of n nodes costs about n comparisons, and copies of copies meet
    through labels instead of pairs.
 4. The members of large buckets that then still hold several labels are joined on their rarest shingles by an
-   exact prefix filter: sequences that align well enough share one of them. Every pair across labels that the
-   filter leaves is verified, so that no link is lost in large buckets either.
+   exact prefix filter: sequences that align well enough share one of them. How rare a shingle is, counts in a
+   fixed number of slots say. Every pair across labels that the filter leaves is verified, so that no link is
+   lost in large buckets either.
 5. A bit-parallel banded alignment verifies each candidate. The band is as wide as the threshold needs, so
    within it the result is exact.
 
@@ -43,6 +44,9 @@ SKETCHES, PICKS = 16, 3
 SMALL = 64
 #: So many of a node's earlier prefix shingles keep a pair from being met again and again.
 EARLIER = 16
+#: Counts of holders, by a hash of the shingle, that order the shingles of members of large buckets.
+SLOTS = 1 << 21
+BLOCK = 1 << 12
 
 _SEEDS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -192,6 +196,77 @@ def _shingling(size: int):
     return work
 
 
+def _slots(row: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(row.view(np.uint64)) % np.uint64(slots)).astype(np.int64)
+
+
+def _counting(slots: int):
+    """A task's counts by slot, in blocks that are added up afterwards."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(slots, np.int64)
+        for batch in batches:
+            at, n = np.unique(_slots(batch.column(0).flatten().to_numpy(), slots), return_counts=True)
+            held[at] += n
+        for begin in range(0, slots, BLOCK):
+            if held[begin:begin + BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([begin], pa.int32()), pa.array([held[begin:begin + BLOCK].tobytes()], pa.binary())],
+                                                 names=["begin", "held"])
+    return work
+
+
+def _adding(slots: int):
+    def work(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, total = None, np.zeros(0, np.int64)
+        for block in blocks:
+            for at, held in zip(block.column(0).to_pylist(), block.column(1)):
+                if at != begin:
+                    if begin is not None:
+                        yield table(begin, total)
+                    begin, total = at, np.zeros(min(BLOCK, slots - at), np.int64)
+                total += np.frombuffer(held.as_buffer(), np.int64)
+        if begin is not None:
+            yield table(begin, total)
+
+    def table(begin: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([begin], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["begin", "held"])
+    return work
+
+
+def prefix(row: np.ndarray, held: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, int]:
+    """The shingles, rarest slot first, of which a node alike must hold one, and how many are left from the first on.
+
+    A slot with one holder is that of a shingle that no other node holds; those come first and are left out.
+    """
+    slots = held[_slots(row, len(held))]
+    order = np.lexsort((row, slots))
+    alone = int((slots < 2).sum())
+    end = len(row) - int(np.ceil(least * len(row) - 1e-6)) + 1
+    return row[order[alone:max(alone, end)]], len(row) - alone
+
+
+def _prefixing(held, least: float):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)],
+                                              names=["node", "label", "n", "left", "shingle", "earlier"])
+
+        rows: list[tuple] = []
+        for batch in batches:
+            for node, label, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = own.values.to_numpy()
+                start, left = prefix(own, held.value, least)
+                for place, shingle in enumerate(start):
+                    rows.append((node, label, len(own), left - place, shingle, start[max(place - EARLIER, 0):place]))
+                    if len(rows) >= 50_000:
+                        yield table(rows)
+                        rows = []
+        if rows:
+            yield table(rows)
+    return work
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -228,28 +303,26 @@ def _candidates(buckets: DataFrame, turn: int) -> DataFrame:
 def _rest(members: DataFrame, bodies: DataFrame, size: int, least: float) -> DataFrame:
     """All pairs of `members` (node, label) of different labels that may be alike.
 
-    With shingles in one order, rarest first, a pair with `need` common ones has its first common one where both
-    sides have at least `need` left. The label with most holders of a shingle doesn't meet itself.
+    With shingles in one order, a pair with `need` common ones has its first common one where both sides have at
+    least `need` left. That holds in any order; a rare-first one keeps the pairs few. So shingles are ordered by
+    the holders of their slot, one of SLOTS, and the counts go to the texts, not each shingle to its count. Shingles
+    that share a slot only seem less rare. The label with most holders of a shingle doesn't meet itself.
     """
     texts = members.join(bodies, "node").select("node", "label", "text")
     found = stash(map_batches(texts, _shingling(size), "node bigint, label bigint, shingles array<bigint>"), "rest")
-    held = stash(found.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
-                 .where("held > 1"), "shingle-counts")
-    each = found.select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    ranked = each.join(held, "shingle").groupBy("node", "label", "n").agg(
-        F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("common"))
-    # What no other node holds comes first in the order, so the common ones are its end.
-    start = ranked.withColumn("m", F.size("common")).select("node", "label", "n", "m", F.slice(F.transform("common", lambda x: x["shingle"]), F.lit(1), F.greatest(
-        F.col("m") - F.ceil(least * F.col("n") - 1e-6).cast("int") + 1, F.lit(0))).alias("start"))
+    blocks = map_batches(found.select("shingles"), _counting(SLOTS), "begin int, held binary")
+    blocks = map_batches(blocks.repartition("begin").sortWithinPartitions("begin"), _adding(SLOTS), "begin int, held binary")
+    held = np.zeros(SLOTS, np.int64)
+    for block in blocks.collect():
+        held[block.begin:block.begin + BLOCK] = np.frombuffer(block.held, np.int64)
+    held = members.sparkSession.sparkContext.broadcast(held)  # SLOTS counts, whatever the number of members
     # A row also bears the few prefix shingles before its own: a pair that shares one of those has met there already.
-    prefix = start.select("node", "label", "n", "m", "start", F.posexplode("start").alias("place", "shingle")).select(
-        "node", "label", "n", (F.col("m") - F.col("place")).alias("left"), "shingle",
-        F.slice("start", F.greatest(F.col("place") - EARLIER, F.lit(0)) + 1, F.least("place", F.lit(EARLIER))).alias("earlier"))
-    prefix = stash(prefix, "prefixes")
-    of_label = prefix.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
+    start = stash(map_batches(found, _prefixing(held, least), "node bigint, label bigint, n int, left int, shingle bigint, "
+                              "earlier array<bigint>"), "prefixes")
+    of_label = start.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = stash(of_label.groupBy("shingle").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"))
                   .where("labels > 1").select("shingle", F.col("most.label").alias("main")), "mixed-shingles")
-    met = prefix.join(mixed, "shingle")
+    met = start.join(mixed, "shingle")
     x, y = (stash(rows.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "label", "n", "left", "earlier")], *more), f"rest-{side}")
             for side, rows, more in (("x", met.where("label <> main"), ["main"]), ("y", met, [])))
     need = F.ceil(least / (1 + least) * (F.col("x_n") + F.col("y_n")) - 1e-6)
