@@ -2,6 +2,9 @@
 
 import random
 import re
+import tracemalloc
+import types
+import weakref
 import zlib
 from collections import Counter
 
@@ -10,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from workloom.llm import packing
+from workloom.llm import packing, toxicity
 from workloom.llm.catalog import tokenizer_path
 from workloom.llm.words import Words, chunks
 
@@ -112,3 +115,28 @@ def test_pack(spark):
         assert at <= 4096
     assert len(by_sequence) * 4096 <= 1.2 * sum(r.length for r in got) + 4096
     assert packing.pack(docs.where(F.lit(False)), tokenizer_path()).count() == 0
+
+
+def test_encoding_holds_little_memory():
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(rng.choices(letters, k=8)) for _ in range(1000)) for _ in range(400)]
+    encoder = packing.Encoder(tokenizer_path())
+    tracemalloc.start()
+    try:
+        for _ in encoder.encode(pa.array(texts)):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(encoder.slots) <= 200_000
+    assert peak < 100e6
+
+
+def test_a_worker_keeps_one_model():
+    first = packing.encoder_of(tokenizer_path(), 2)
+    assert packing.encoder_of(tokenizer_path(), 2) is first
+    gone = weakref.ref(first)
+    del first
+    toxicity._lexicon_of(types.SimpleNamespace(value=({"word": 1.0}, {})))
+    assert gone() is None

@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from workloom.llm.frames import map_batches, text_of
+from workloom.llm.frames import kept, map_batches, text_of
 from workloom.llm.words import Words, chunks
 from workloom.session import stash
 
 WINDOW, UNIT, END_ID = 4096, 64, 2
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 200_000
 #: Rows of one length that a task numbers at most, roughly.
 _GROUP_ROWS = 2_000_000
 _LEAST_GROUPS = 64
@@ -135,15 +135,9 @@ class Encoder:
                 yield np.append(ids[cuts[d]:cuts[d + 1]], np.uint32(self.end_id))
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encoder_of(*settings) -> Encoder:
-    """This process's encoder, so that a worker keeps what it has learned from task to task."""
-    if settings not in _encoders:
-        _encoders.clear()
-        _encoders[settings] = Encoder(*settings)
-    return _encoders[settings]
+    """This process's encoder."""
+    return kept(("encoder", settings), lambda: Encoder(*settings))
 
 
 def cuts_of(n: int, window: int = WINDOW, unit: int = UNIT) -> list[int]:

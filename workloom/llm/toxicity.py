@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from workloom.llm import logistic
-from workloom.llm.frames import map_batches, text_of
+from workloom.llm.frames import kept, map_batches, text_of
 from workloom.llm.words import Words, chunks
 from workloom.session import stash
 
@@ -135,16 +135,10 @@ class Lexicon:
         return hits, got[where][hits]
 
 
-_lexicons: dict[int, Lexicon] = {}
-
-
 def _lexicon_of(model) -> Lexicon:
-    """This process's lexicon of a broadcast model, so that a worker keeps what it has learned from task to task."""
+    """This process's lexicon of a broadcast model."""
     key = hash((tuple(sorted(model.value[0].items())), tuple(sorted(model.value[1].items()))))
-    if key not in _lexicons:
-        _lexicons.clear()
-        _lexicons[key] = Lexicon(*model.value)
-    return _lexicons[key]
+    return kept(("lexicon", key), lambda: Lexicon(*model.value))
 
 
 def _letters(data: np.ndarray, starts: np.ndarray | None = None, ends: np.ndarray | None = None):
