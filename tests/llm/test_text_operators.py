@@ -181,6 +181,24 @@ def test_rest_in_any_order_of_shingles(spark, monkeypatch, slots):
     assert alike <= pairs
 
 
+def test_rest_leaves_out_pairs_that_differ_too_much(spark):
+    # Every fifth or so of 30 places holds one of two words, so rare shingles are shared but few texts are alike.
+    form, other = prose(150).split(" "), prose(150).split(" ")
+    texts = []
+    for _ in range(150):
+        at = set(random.sample(range(0, 150, 5), 6))
+        texts.append(" ".join(other[i] if i in at else w for i, w in enumerate(form)))
+    rows: list[np.ndarray] = []
+    for _, data, offsets in chunks(pa.array(texts, pa.string())):
+        rows += [near._labelled(x) for x in near.shingles(Words(data, offsets))]
+    alike = {(i, j) for j in range(len(rows)) for i in range(j) if near.similarity(rows[i], rows[j]) >= .8}
+    members = spark.createDataFrame([(i, i) for i in range(len(texts))], "node long, label long")
+    bodies = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    pairs = {(r.a, r.b) for r in near._rest(members, bodies, near.SHINGLE, near.SIMILARITY).collect()}
+    assert alike <= pairs
+    assert len(pairs) < 150 * 149 / 2 / 10
+
+
 def test_line_templates(spark):
     common = "All rights reserved by the owner"
     texts = [f"{prose(8)}\nUser {i} logged in from host 10.0.0.{i}\n{common}\nok then\n{prose(9)}" for i in range(6)]

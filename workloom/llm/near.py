@@ -15,8 +15,8 @@ with repeats counted and with matches in different order refused.
    through labels instead of pairs.
 4. The members of large buckets that then still hold several labels are joined on their rarest shingles by an
    exact prefix filter: sequences that align well enough share one of them. How rare a shingle is, counts in a
-   fixed number of slots say. Every pair across labels that the filter leaves is verified, so that no link is
-   lost in large buckets either.
+   fixed number of slots say. Bitmaps of the shingles leave out pairs that surely have too few in common. Every
+   other pair across labels is verified, so that no link is lost in large buckets either.
 5. A bit-parallel banded alignment verifies each candidate. The band is as wide as the threshold needs, so
    within it the result is exact.
 
@@ -47,6 +47,8 @@ EARLIER = 16
 #: Counts of holders, by a hash of the shingle, that order the shingles of members of large buckets.
 SLOTS = 1 << 21
 BLOCK = 1 << 12
+#: 64-bit parts of a node's bitmap, which shows at once that most pairs differ too much.
+PARTS = 8
 
 _SEEDS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -232,6 +234,12 @@ def _adding(slots: int):
     return work
 
 
+def bitmap(row: np.ndarray) -> np.ndarray:
+    """Bits that each labelled shingle turns over. Two bitmaps differ in at most as many bits as shingles stand on one side alone."""
+    odd = np.bincount((mix(row.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % (64 * PARTS), minlength=64 * PARTS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix(row: np.ndarray, held: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, int]:
     """The shingles, rarest slot first, of which a node alike must hold one, and how many are left from the first on.
 
@@ -246,19 +254,20 @@ def prefix(row: np.ndarray, held: np.ndarray, least: float = SIMILARITY) -> tupl
 
 def _prefixing(held, least: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)],
-                                              names=["node", "label", "n", "left", "shingle", "earlier"])
+                                              names=["node", "label", "n", "left", "shingle", "earlier", "bits"])
 
         rows: list[tuple] = []
         for batch in batches:
             for node, label, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 own = own.values.to_numpy()
                 start, left = prefix(own, held.value, least)
+                bits = bitmap(own)
                 for place, shingle in enumerate(start):
-                    rows.append((node, label, len(own), left - place, shingle, start[max(place - EARLIER, 0):place]))
+                    rows.append((node, label, len(own), left - place, shingle, start[max(place - EARLIER, 0):place], bits))
                     if len(rows) >= 50_000:
                         yield table(rows)
                         rows = []
@@ -306,7 +315,9 @@ def _rest(members: DataFrame, bodies: DataFrame, size: int, least: float) -> Dat
     With shingles in one order, a pair with `need` common ones has its first common one where both sides have at
     least `need` left. That holds in any order; a rare-first one keeps the pairs few. So shingles are ordered by
     the holders of their slot, one of SLOTS, and the counts go to the texts, not each shingle to its count. Shingles
-    that share a slot only seem less rare. The label with most holders of a shingle doesn't meet itself.
+    that share a slot only seem less rare. The label with most holders of a shingle doesn't meet itself. A large group of
+    texts that are nearly alike enough shares many prefix shingles; the join itself drops its pairs whose bitmaps differ in
+    more places than `need` common shingles allow, before any text is fetched.
     """
     texts = members.join(bodies, "node").select("node", "label", "text")
     found = stash(map_batches(texts, _shingling(size), "node bigint, label bigint, shingles array<bigint>"), "rest")
@@ -318,16 +329,18 @@ def _rest(members: DataFrame, bodies: DataFrame, size: int, least: float) -> Dat
     held = members.sparkSession.sparkContext.broadcast(held)  # SLOTS counts, whatever the number of members
     # A row also bears the few prefix shingles before its own: a pair that shares one of those has met there already.
     start = stash(map_batches(found, _prefixing(held, least), "node bigint, label bigint, n int, left int, shingle bigint, "
-                              "earlier array<bigint>"), "prefixes")
+                              "earlier array<bigint>, bits array<bigint>"), "prefixes")
     of_label = start.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = stash(of_label.groupBy("shingle").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"))
                   .where("labels > 1").select("shingle", F.col("most.label").alias("main")), "mixed-shingles")
     met = start.join(mixed, "shingle")
-    x, y = (stash(rows.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "label", "n", "left", "earlier")], *more), f"rest-{side}")
+    x, y = (stash(rows.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "label", "n", "left", "earlier", "bits")], *more), f"rest-{side}")
             for side, rows, more in (("x", met.where("label <> main"), ["main"]), ("y", met, [])))
     need = F.ceil(least / (1 + least) * (F.col("x_n") + F.col("y_n")) - 1e-6)
+    differ = sum((F.bit_count(F.col("x_bits")[i].bitwiseXOR(F.col("y_bits")[i])) for i in range(PARTS)), F.lit(0))
     pairs = x.join(y, "shingle").where(
         F.expr("x_label <> y_label AND (y_label = main OR x_label < y_label)") & (F.least("x_left", "y_left") >= need)
+        & (differ <= F.col("x_n") + F.col("y_n") - 2 * need)
         & ~F.arrays_overlap("x_earlier", "y_earlier"))
     return _ordered(pairs.select(F.col("x_node").alias("x"), F.col("y_node").alias("y")))
 
