@@ -17,10 +17,12 @@ Vectors that are null, zero, of another length than most, or hold null or non-fi
 Repeated rows are candidates each; a query's own id never answers it. Ties go to the smaller id. Fewer than k candidates give fewer rows; empty tables give none.
 """
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from workloom.llm.frames import map_batches
@@ -164,6 +166,37 @@ def _searching(d: int, centre: np.ndarray, k: int):
     return work
 
 
+def _averaging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The length of most vectors and the mean of the usable ones, as one row; none if all are empty."""
+    columns = [batch.column(0) for batch in batches]
+    sizes = Counter(n for column in columns for n in pc.list_value_length(column).to_pylist() if n)
+    if sizes:
+        d = max(sizes, key=lambda n: (sizes[n], n))
+        found = np.concatenate([_usable(column, d)[1] for column in columns])
+        centre = found.mean(0) if len(found) else np.zeros(d)
+        yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([centre.tolist()], pa.list_(pa.float64()))], names=["d", "centre"])
+
+
+def centre_of(rows: DataFrame, sample: int) -> tuple[int, np.ndarray] | None:
+    """The length of most and the mean of the `sample` rows (id, v) with the least hash of their id; None without vectors.
+
+    Rows are first counted by the power of two that their hash reaches, so that only about twice the sample is sorted.
+    An executor takes the mean; the driver gets at most 65 counts and one row.
+    """
+    place = F.xxhash64("id")
+    reach = F.floor(F.log2(place.cast("double") + F.lit(2.0 ** 63) + F.lit(1.0)))
+    counts = rows.groupBy(reach.alias("reach")).agg(F.count(F.lit(1)).alias("n")).collect()
+    far = held = 0
+    for far, n in sorted((r.reach, r.n) for r in counts):
+        held += n
+        if held >= sample:
+            break
+    # One partition, also where Spark knows that there are fewer rows and leaves out the limit.
+    some = rows.where(reach <= far).orderBy(place, "id").limit(sample).select("v").coalesce(1)
+    got = map_batches(some, _averaging, "d bigint, centre array<double>").collect()
+    return (got[0].d, np.array(got[0].centre)) if got else None
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding",
             sample: int = SAMPLE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of `vectors`, never its own id."""
@@ -173,14 +206,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
         return df.where(df[vec_id].isNotNull() & df[embedding].isNotNull()).select(
             df[vec_id].cast("bigint").alias("id"), df[embedding].cast("array<double>").alias("v"))
 
-    # The centre and the length come from the `sample` rows with the least hash of their id.
-    some = pick(vectors).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    sizes = [len(r.v) for r in some if r.v]
-    if not sizes:
+    middle = centre_of(pick(vectors), sample)
+    if middle is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    d = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    _, found = _usable(pa.array([r.v for r in some], pa.list_(pa.float64())), d)
-    centre = found.mean(0) if len(found) else np.zeros(d)
+    d, centre = middle
     packed = "n bigint, ids binary, vectors binary"
     left = stash(map_batches(pick(vectors), _packing(d, block), packed), "vector-blocks")
     right = stash(map_batches(pick(queries), _packing(d, query_block), packed), "query-blocks")
