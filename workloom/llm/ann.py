@@ -7,11 +7,11 @@ x = signs / sqrt(d) in the rotated space, <o, q> is estimated by <x, Pq> / <x, P
 `EPS` * sqrt((1 - <x, Po>^2) / <x, Po>^2 / (d - 1)) but for a small chance, which gives each candidate a least
 distance. A query's bits are packed in four planes of a small integer code, so estimates are bit counts.
 
-Both sides are packed in blocks, and blocks meet by an equi-join on slots: every query block with every block
-of vectors. In a pair of blocks a query first takes the k candidates with the best estimates, measures
-them exactly, and then every candidate whose least distance is within the k-th of these, so ties and copies are
-not lost to the estimate. Each pair gives k rows per query, and Spark keeps the best k of all. The code is a
-filter: the score is the exact Euclidean distance in double precision.
+Both sides are packed in blocks and dealt into parts, and each part of the queries meets each part of the vectors in
+a task: every query block with every block of vectors. In a pair of blocks a query first takes the k candidates with
+the best estimates, measures them exactly, and then every candidate whose least distance is within the k-th of these,
+so ties and copies are not lost to the estimate. Each task gives k rows per query, and Spark keeps the best k of all.
+The code is a filter: the score is the exact Euclidean distance in double precision.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
 Repeated rows are candidates each; a query's own id never answers it. Ties go to the smaller id. Fewer than k candidates give fewer rows; empty tables give none.
@@ -24,12 +24,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import FloatType
 
 from workloom.llm.frames import map_batches
 from workloom.session import stash
 
 SAMPLE = 4_096
 BLOCK, QUERY_BLOCK = 8_192, 512
+GROUP = 16  # blocks of queries in a part
+LISTS = 64 << 20  # bytes of result lists that are always few
 EPS = 2.2
 PLANES = 4
 
@@ -82,17 +85,14 @@ class Codes:
 
 def _usable(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows that take part, and their vectors."""
-    rows, vectors = [], []
-    for i, v in enumerate(column):
-        if v.is_valid and len(v) == d and v.values.null_count == 0:
-            x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
-            if np.isfinite(x).all() and x.any():
-                rows.append(i)
-                vectors.append(x)
-    return np.array(rows, np.int64), np.array(vectors).reshape(len(rows), d)
+    rows = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), d), False).to_numpy(zero_copy_only=False))
+    values = column.take(pa.array(rows)).flatten()
+    vectors = pc.fill_null(values.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False).reshape(len(rows), d)
+    good = np.isfinite(vectors).all(1) & vectors.any(1)
+    return rows[good], vectors[good]
 
 
-def _packing(d: int, size: int):
+def _packing(d: int, size: int, kind: str):
     """Usable rows packed in blocks: how many, ids and vectors."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, held = [], [], 0
@@ -100,7 +100,7 @@ def _packing(d: int, size: int):
         def block() -> pa.RecordBatch:
             i, v = np.concatenate(ids), np.concatenate(vectors)
             out = pa.RecordBatch.from_arrays([pa.array([len(i)], pa.int64()), pa.array([i.astype("<i8").tobytes()], pa.binary()),
-                                              pa.array([v.astype("<f8").tobytes()], pa.binary())], names=["n", "ids", "vectors"])
+                                              pa.array([v.astype(kind).tobytes()], pa.binary())], names=["n", "ids", "vectors"])
             ids.clear()
             vectors.clear()
             return out
@@ -143,26 +143,39 @@ def nearest_in_block(ids: np.ndarray, vectors: np.ndarray, codes: Codes, q_id: i
     return ids[chosen][order], exact[order]
 
 
-def _searching(d: int, centre: np.ndarray, k: int):
+def _nearer(best: tuple[np.ndarray, ...] | None, found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """Ids, distances and whether there is none, with a row for each query: the k nearest of both, by distance and id."""
+    if best is None:
+        return found
+    ids, scores, none = (np.concatenate(pair, axis=1) for pair in zip(best, found))
+    order = np.lexsort((ids, scores, none), axis=-1)[:, :k]
+    return tuple(np.take_along_axis(x, order, axis=1) for x in (ids, scores, none))
+
+
+def _searching(d: int, centre: np.ndarray, k: int, kind: str, q_kind: str):
+    """Each pair of blocks is searched by itself; a task gives k rows for each of its queries, whatever its pairs."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = rotation(d)
         last, codes, ids, vectors = None, None, None, None
+        best = {}  # by the ids of a block of queries
         for batch in batches:
             for q_ids, q_vectors, b_ids, b_vectors in zip(*(batch.column(i) for i in range(4))):
                 raw = b_ids.as_py(), b_vectors.as_py()
                 if last is None or raw != last:
                     last = raw
                     ids = np.frombuffer(raw[0], "<i8")
-                    vectors = np.frombuffer(raw[1], "<f8").reshape(-1, d)
+                    vectors = np.frombuffer(raw[1], kind).reshape(-1, d).astype(np.float64)
                     codes = Codes(vectors, centre, turn)
-                out = [], [], []
-                for q_id, query in zip(np.frombuffer(q_ids.as_py(), "<i8"), np.frombuffer(q_vectors.as_py(), "<f8").reshape(-1, d)):
-                    near, score = nearest_in_block(ids, vectors, codes, q_id, query, centre, turn, k)
-                    out[0].append(np.full(len(near), q_id))
-                    out[1].append(near)
-                    out[2].append(score)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
+                asked = q_ids.as_py()
+                own = np.frombuffer(asked, "<i8")
+                found = np.zeros((len(own), k), np.int64), np.zeros((len(own), k)), np.ones((len(own), k), bool)
+                for i, query in enumerate(np.frombuffer(q_vectors.as_py(), q_kind).reshape(-1, d).astype(np.float64)):
+                    near, score = nearest_in_block(ids, vectors, codes, own[i], query, centre, turn, k)
+                    found[0][i, :len(near)], found[1][i, :len(near)], found[2][i, :len(near)] = near, score, False
+                best[asked] = _nearer(best.get(asked), found, k)
+        for asked, (near, score, none) in best.items():
+            own = np.repeat(np.frombuffer(asked, "<i8"), (~none).sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, near[~none], score[~none])], names=["query_id", "vec_id", "score"])
     return work
 
 
@@ -177,8 +190,9 @@ def _averaging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([centre.tolist()], pa.list_(pa.float64()))], names=["d", "centre"])
 
 
-def centre_of(rows: DataFrame, sample: int) -> tuple[int, np.ndarray] | None:
-    """The length of most and the mean of the `sample` rows (id, v) with the least hash of their id; None without vectors.
+def centre_of(rows: DataFrame, sample: int) -> tuple[int, int, np.ndarray] | None:
+    """How many rows (id, v) there are, and of the `sample` rows with the least hash of their id the length of most and
+    the mean; None without vectors.
 
     Rows are first counted by the power of two that their hash reaches, so that only about twice the sample is sorted.
     An executor takes the mean; the driver gets at most 65 counts and one row.
@@ -194,7 +208,17 @@ def centre_of(rows: DataFrame, sample: int) -> tuple[int, np.ndarray] | None:
     # One partition, also where Spark knows that there are fewer rows and leaves out the limit.
     some = rows.where(reach <= far).orderBy(place, "id").limit(sample).select("v").coalesce(1)
     got = map_batches(some, _averaging, "d bigint, centre array<double>").collect()
-    return (got[0].d, np.array(got[0].centre)) if got else None
+    return (sum(r.n for r in counts), got[0].d, np.array(got[0].centre)) if got else None
+
+
+def grid(n: int, asked: int, d: int, k: int, block: int, query_block: int) -> tuple[int, int]:
+    """Into how many parts vectors and queries are dealt; each part of one meets each of the other in a task.
+
+    A task gives k rows for each of its queries, so more parts of vectors make more rows: no more bytes in all than half
+    of the vectors' as doubles, but for small tables. More parts of queries only read the vectors more often.
+    """
+    lists = max(1, asked) * k * 24
+    return max(1, min(-(-n // block), max(n * d * 4, LISTS) // lists)), max(1, -(-asked // (GROUP * query_block)))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -209,16 +233,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     middle = centre_of(pick(vectors), sample)
     if middle is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    d, centre = middle
+    n, d, centre = middle
+    kind, q_kind = ("<f4" if df.schema[embedding].dataType.elementType == FloatType() else "<f8" for df in (vectors, queries))
     packed = "n bigint, ids binary, vectors binary"
-    left = stash(map_batches(pick(vectors), _packing(d, block), packed), "vector-blocks")
-    right = stash(map_batches(pick(queries), _packing(d, query_block), packed), "query-blocks")
-    # Every pair of blocks meets in the slot of the vectors' block; slots spread pairs over tasks.
-    slots = max(1, left.count())
-    left = left.select(F.pmod(F.xxhash64("ids"), F.lit(slots)).alias("slot"), F.col("ids").alias("b_ids"), F.col("vectors").alias("b_vectors"))
-    right = right.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))).alias("slot"), "ids", "vectors")
-    pairs = right.join(left, "slot").select("ids", "vectors", "b_ids", "b_vectors")
-    best = map_batches(pairs, _searching(d, centre, k), "query_id bigint, vec_id bigint, score double")
+    right = stash(map_batches(pick(queries), _packing(d, query_block, q_kind), packed), "query-blocks")
+    parts, groups = grid(n, right.agg(F.sum("n")).first()[0] or 0, d, k, block, query_block)
+    left = (map_batches(pick(vectors), _packing(d, block, kind), packed).select(F.col("ids").alias("b_ids"), F.col("vectors").alias("b_vectors"))
+            .repartition(parts, F.xxhash64("b_ids")))
+    right = right.select("ids", "vectors").repartition(groups, F.xxhash64("ids"))
+    # Every pair of blocks meets once. No block is copied for it: tasks read a part of each side where it lies.
+    pairs = left.crossJoin(right).select("ids", "vectors", "b_ids", "b_vectors")
+    best = map_batches(pairs, _searching(d, centre, k, kind, q_kind), "query_id bigint, vec_id bigint, score double")
     own = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
